@@ -25,6 +25,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines").cast("long").alias("lines"), F.col("_cut_lines").cast("long").alias("cut_lines"), "text")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import shard
 
@@ -38,6 +44,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html_text import main_text
 
@@ -58,8 +70,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_ann": op5_ann,
     "op6_html_text": op6_html_text,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
