@@ -8,7 +8,9 @@ that stands in links.  The best container is kept, with those siblings that scor
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from html import unescape
 
 import pyarrow as pa
@@ -36,10 +38,12 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Ancestors that a paragraph passes points to.
+_REACH = 30
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "block", "score", "length", "linked", "good")
+    __slots__ = ("tag", "parent", "children", "skip", "block", "score", "length", "linked", "good", "within", "kept")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool = False):
         self.tag, self.parent, self.skip = tag, parent, skip
@@ -48,6 +52,8 @@ class Node:
         self.score = 0.0
         self.length = self.linked = 0
         self.good = tag in ("article", "main")
+        self.within = self.good or parent is not None and parent.within  # a marked article or something in one
+        self.kept = False
 
 
 def _unwanted(tag: str, attributes: str, within: bool) -> bool:
@@ -67,9 +73,11 @@ def _unwanted(tag: str, attributes: str, within: bool) -> bool:
     return False
 
 
-def parse(html: str) -> Node:
-    """A tree of what the page shows; what :func:`_unwanted` names is marked, with all below it."""
+def parse(html: str) -> list[Node]:
+    """A tree of what the page shows; what :func:`_unwanted` names is marked, with all below it.  Nodes in page order."""
     root = now = Node("#", None)
+    nodes = [root]
+    open_: Counter[str] = Counter()  # of each tag, how many of its elements hold the place read now
     at = 0
     while at < len(html):
         m = _MARKUP.search(html, at)
@@ -83,14 +91,14 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = now
+            up = now if open_[tag] else root
             while up.parent is not None and up.tag != tag:
                 if tag not in BLOCKS and up.block:  # the end of a line element does not end a block
                     up = root
                     break
                 up = up.parent
             if up.parent is not None:
-                now = up.parent
+                now = _closed(now, up.parent, open_)
             continue
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
             ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
@@ -98,20 +106,29 @@ def parse(html: str) -> Node:
             up = now
             while up.parent is not None and up.tag not in stop:
                 if up.tag in ends or up.tag == "p" and tag in CLOSES_P:
-                    now = up.parent
+                    now = _closed(now, up.parent, open_)
                     if up.tag == "p" or tag != "tr":
                         break
                 elif up.block and not ends:
                     break
                 up = up.parent
-        node = Node(tag, now, now.skip or _unwanted(tag, m[3], any(x.good for x in _up(now))))
+        node = Node(tag, now, now.skip or _unwanted(tag, m[3], now.within))
         now.children.append(node)
+        nodes.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID:
             now = node
-    return root
+            open_[tag] += 1
+    return nodes
+
+
+def _closed(now: Node, to: Node, open_: Counter[str]) -> Node:
+    while now is not to:
+        open_[now.tag] -= 1
+        now = now.parent
+    return to
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -160,36 +177,39 @@ def blocks(node: Node) -> list[tuple[str, Node, int]]:
 
 def extract(html: str) -> str:
     """The article of a page, one block a line; empty if the page shows no text."""
-    root = parse(html)
-    found = blocks(root)
+    nodes = parse(html)
+    found = blocks(nodes[0])
     if not found:
         return ""
-    scored: dict[int, Node] = {}
     for text, owner, linked in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3) if owner.tag in PARAGRAPHS or len(text) >= 25 else 0.2
-        for step, up in enumerate(_up(owner if owner.tag not in PARAGRAPHS else owner.parent)):
+        paragraph = owner.tag in PARAGRAPHS
+        points = 1 + text.count(",") + min(len(text) / 100, 3) if paragraph or len(text) >= 25 else 0.2
+        for step, up in enumerate(islice(_up(owner.parent if paragraph else owner), _REACH)):
             up.score += points / 2**step
-            scored[id(up)] = up
-        for up in _up(owner):
-            up.length += len(text)
-            up.linked += linked
-    worth = {k: n.score * (1 - n.linked / max(1, n.length)) * (1.5 if n.good else 1.0) for k, n in scored.items()}
-    best = scored[max(worth, key=worth.__getitem__)]
-    while best.parent is not None and not best.good and any(x.good and worth.get(id(x), 0) > 0 for x in _up(best.parent)):
-        best = best.parent  # a section of a marked article stands for the article
-    kept = [best]
+        owner.length += len(text)
+        owner.linked += linked
+    for node in reversed(nodes[1:]):
+        node.parent.length += node.length
+        node.parent.linked += node.linked
+
+    def worth(n: Node) -> float:
+        return n.score * (1 - n.linked / max(1, n.length)) * (1.5 if n.good else 1.0)
+
+    best = max(nodes, key=worth)
+    if best.within:  # a section of a marked article stands for the article
+        while not best.good or best.parent.within:
+            best = best.parent
+    best.kept = True
     if best.parent is not None and not best.good:
-        bar = max(5.0, 0.2 * worth[id(best)])
-        kept = []
+        bar = max(5.0, 0.2 * worth(best))
         for near in best.parent.children:
-            if near is best:
-                kept.append(near)
-            elif isinstance(near, Node) and not near.skip:
+            if isinstance(near, Node) and not near.skip:
                 dense = near.linked / max(1, near.length)
-                if worth.get(id(near), 0) >= bar or near.tag in PARAGRAPHS and (near.length > 80 and dense < 0.25 or near.length and dense == 0 and near.tag[0] == "h"):
-                    kept.append(near)
-    chosen = {id(n) for n in kept}
-    return "\n".join(text for text, owner, _ in found if any(id(up) in chosen for up in _up(owner)))
+                long = near.tag in PARAGRAPHS and (near.length > 80 and dense < 0.25 or near.length and dense == 0 and near.tag[0] == "h")
+                near.kept = near.kept or worth(near) >= bar or long
+    for node in nodes[1:]:
+        node.kept = node.kept or node.parent.kept
+    return "\n".join(text for text, owner, _ in found if owner.kept)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,6 +160,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Rows without a doc_id stay only if no row with one is in their component.
     """
     groups = simhash_groups(docs, distance=distance)
-    kept = groups.where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).select(F.col("doc_id").alias("_kept"))
-    joined = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    kept = written(groups.where(first).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+    out = docs.join(kept.select("_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    # ids are nearly always unique; only if one is not must the rows be brought together
+    return out.dropDuplicates(["doc_id"]) if kept.where("_rows > 1").limit(1).count() else out
