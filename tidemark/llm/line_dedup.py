@@ -70,12 +70,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     line stay as they are (a null text has 0 lines), as do rows without an id, which others are not compared with.  Rows
     that repeat an id are one place and are cut alike.  A text of which nothing stays becomes empty.
     """
-    gone = removals(docs, id_col, text_col).withColumnRenamed("_id", "_gone_id")
-    out = docs.join(gone, docs[id_col] == gone["_gone_id"], "left")
+    gone = removals(docs, id_col, text_col).select(F.col("_id").alias("_td_id"), F.col("gone").alias("_td_gone"))
+    out = docs.join(gone, docs[id_col] == gone["_td_id"], "left")
     chunks = _chunks(F.col(text_col))
-    kept = F.filter(chunks, lambda c: ~F.array_contains("gone", c["k"]))
-    cut = F.aggregate(F.filter(chunks, lambda c: F.array_contains("gone", c["k"])), F.lit(0), lambda a, c: a + c["lines"])
-    hit = F.col("gone").isNotNull()
+    kept = F.filter(chunks, lambda c: ~F.array_contains("_td_gone", c["k"]))
+    cut = F.aggregate(F.filter(chunks, lambda c: F.array_contains("_td_gone", c["k"])), F.lit(0), lambda a, c: a + c["lines"])
+    hit = F.col("_td_gone").isNotNull()
     return out.select(
         *[c if c != text_col else F.when(hit, F.array_join(F.transform(kept, lambda c: c["body"]), "\n")).otherwise(F.col(c)).alias(c) for c in docs.columns],
         F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1, F.lit(0)).alias("_lines"),
@@ -84,9 +84,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut; rows of which nothing is left go."""
-    out = dedup_lines(docs)
-    return out.where((F.col("_cut_lines") == 0) | (F.col("text") != "")).select(*docs.columns)
+    """``docs`` with repeated chunks cut; rows of which nothing is left go.  A column ``n_chars`` follows the text."""
+    out = dedup_lines(docs).where((F.col("_cut_lines") == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        now = F.when(F.col("_cut_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", now.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 ORACLE_SQL = """
