@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from tidemark.llm.common import written
 
 SHARDS = 40
-ROUNDS = 4
+ROUNDS = 5
 #: Rows that are numbered in one task.
 NUMBERED = 20_000
 _SCALE = 1 << 30
@@ -36,43 +36,40 @@ def _longs(values: list) -> Column:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` rows ``(node, group, shard)`` after ``rounds`` rounds of label propagation; no shard takes movers beyond ``capacity``.
+    """``linked`` rows ``(node, group, shard)`` after ``rounds`` rounds of label propagation.
 
-    A group's shards are ranked by how many of its rows they hold.  The shortest run of them whose holdings and free
-    room take the whole group are its targets; rows elsewhere choose among them by hash, in proportion to the room.
-    Where more rows ask for a shard than fit, a hash picks the quota's share of them.
+    A group ranks the shards that hold some of it, and the few with most room, by how much of it each could hold; the
+    shortest run that could hold all of it are its targets.  Rows elsewhere ask for one of these, by hash.  A shard takes
+    what its capacity leaves beside the rows that stay there; where more ask, a hash picks the quota's share of them.
     """
     for r in range(rounds):
         load = _loads(linked, shards)
-        room = _longs([float(max(0, capacity - x)) for x in load])
+        room = [max(0, capacity - x) for x in load]
+        rooms = _longs(room)
+        roomy = [] if r == 0 else sorted(range(shards), key=lambda s: (-room[s], s))[:3]
         held = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        ranked = held.groupBy("group").agg(
-            F.sum("n").alias("total"),
-            F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.xxhash64("group", "shard").alias("tie"), "shard"))).alias("at"),
-        )
-        # running sums of n + room over the ranking: at most one entry a shard
-        upto = F.transform(
-            F.sequence(F.lit(1), F.size("at")),
-            lambda i: F.aggregate(F.slice("at", 1, i), F.lit(0.0), lambda acc, x: acc - x["n"] + F.element_at(room, x["shard"] + 1)),
-        )
-        ranked = ranked.where(F.size("at") > 1).withColumn("upto", upto)
-        ranked = ranked.withColumn("k", F.least(F.size("at"), F.size(F.filter("upto", lambda x: x < F.col("total"))) + 1))
-        ranked = ranked.select(
-            "group",
-            F.transform(F.slice("at", 1, F.col("k")), lambda x: x["shard"]).alias("targets"),
-        ).withColumn("rooms", F.transform("targets", lambda s: F.element_at(room, s + 1)))
-        wish = linked.join(ranked, "group", "left")
-        u = _share("node", F.lit(r)) * F.aggregate("rooms", F.lit(0.0), lambda a, x: a + x)
-        before = lambda i: F.aggregate(F.slice("rooms", 1, i), F.lit(0.0), lambda a, x: a + x)
-        picked = F.get(F.filter(F.sequence(F.lit(1), F.size("targets")), lambda i: before(i) > u), 0)
+        groups = held.groupBy("group").agg(F.sum("n").alias("total"), F.collect_list(F.struct("shard", "n")).alias("at")).where(F.size("at") > 1)
+        for s in roomy:
+            empty = F.array(F.struct(F.lit(s).alias("shard"), F.lit(0).cast("long").alias("n")))
+            groups = groups.withColumn("at", F.when(F.array_contains(F.transform("at", lambda x: x["shard"]), F.lit(s)), F.col("at")).otherwise(F.concat("at", empty)))
+        beside = (lambda x: F.lit(capacity) - x["n"]) if r == 0 else (lambda x: F.element_at(rooms, x["shard"] + 1))
+        could = lambda x: x["n"] + F.greatest(F.lit(0), F.least(F.col("total") - x["n"], beside(x)))
+        ranked = F.sort_array(F.transform("at", lambda x: F.struct((-could(x)).alias("c"), (-x["n"]).alias("n"), F.xxhash64("group", x["shard"]).alias("tie"), x["shard"].alias("shard"))))
+        groups = groups.withColumn("at", ranked)
+        # sums over the first i shards; at most one entry a shard
+        upto = F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.aggregate(F.slice("at", 1, i), F.lit(0).cast("long"), lambda a, x: a - x["c"]))
+        k = F.least(F.size("at"), F.size(F.filter(upto, lambda x: x < F.col("total"))) + 1)
+        groups = groups.select("group", F.transform(F.slice("at", 1, k), lambda x: x["shard"]).alias("targets"))
+        wish = linked.join(groups, "group", "left")
+        to = F.get("targets", F.pmod(F.xxhash64("node", F.lit(r)), F.size("targets")).cast("int"))
         stays = F.col("targets").isNull() | F.array_contains("targets", F.col("shard"))
-        wish = wish.select("node", "group", "shard", F.when(~stays, F.get("targets", picked - 1)).alias("to"))
-        wish = written(wish)
+        wish = written(wish.select("node", "group", "shard", F.when(~stays, to).alias("to")))
         asked = {x["to"]: x["n"] for x in wish.where(F.col("to").isNotNull()).groupBy("to").agg(F.count("*").alias("n")).collect()}
         if not asked:
             break
-        pass_share = _longs([min(1.0, max(0, capacity - load[s]) / asked[s]) if asked.get(s) else 0.0 for s in range(shards)])
-        moves = F.col("to").isNotNull() & (_share("node", F.lit(-1 - r)) < F.element_at(pass_share, F.col("to") + 1))
+        stay = _loads(wish.where(F.col("to").isNull()), shards)
+        taken = _longs([min(1.0, max(0, capacity - stay[s]) / asked[s]) if s in asked else 0.0 for s in range(shards)])
+        moves = F.col("to").isNotNull() & (_share("node", F.lit(-1 - r)) < F.element_at(taken, F.col("to") + 1))
         linked = written(wish.select("node", "group", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")))
     return linked
 
