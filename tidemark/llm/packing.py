@@ -8,7 +8,6 @@ these go up as items to the next level, where several groups meet, until one gro
 from __future__ import annotations
 
 import os
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from zlib import crc32
@@ -25,8 +24,8 @@ END = b"\0\0\0\0"
 #: Pieces that one task packs at once, groups that meet at the next level, bins that a group hands up.
 GROUP, FAN_IN, HANDED_UP = 200_000, 16, 64
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
-_LONGEST = 24
+REMEMBERED = 600_000
+_LONGEST, _BREAK = 24, b"\xff\xff\xff\xff"
 
 
 class WordTokenizer:
@@ -58,8 +57,9 @@ class WordTokenizer:
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         order = np.argsort(keys)
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.plain = regex.compile(r"[!-;=?-~À-ÖØ-öø-įĲ-ž]+")
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+        self.plain = regex.compile(r"[\n!-;=?-~À-ÖØ-öø-įĲ-ž]+")
+        self.odd, self.spaced = regex.compile("[\x1c-\x1f]"), regex.compile(r"(?:\S|[\x1c-\x1f])+")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -103,19 +103,27 @@ class WordTokenizer:
             has = best > 0
             before = best[has] - 1
             rank[r[has], before], at[r[has], before] = self._ranked(ids[r[has], before], new[has])
-        return [row[row >= 0].astype("<u4").tobytes() for row in out]
+        flat = out[out >= 0].astype("<u4").tobytes()
+        edges = [0, *(4 * np.cumsum((out >= 0).sum(1))).tolist()]
+        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.plain.fullmatch(w)]
-        other = [w for w in words if not self.plain.fullmatch(w)]
-        self.words.update(zip(other, self._library(other), strict=True))
-        split = [self.parts.findall(unicodedata.normalize("NFC", w).lower()) for w in plain]
+        flat = "\n".join(words)
+        if not self.plain.fullmatch(flat):
+            other = [w for w in words if not self.plain.fullmatch(w)]
+            self.words.update(zip(other, self._library(other), strict=True))
+            words = [w for w in words if self.plain.fullmatch(w)]
+            flat = "\n".join(words)
+        if not words:
+            return
+        split = self.parts.findall(flat.lower())
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        fresh = list({p for s in split for p in s} - self.pieces.keys())
+        self.pieces["\n"] = _BREAK
+        fresh = list(set(split) - self.pieces.keys())
         short = [(p, b) for p in fresh if len(b := p.encode()) <= _LONGEST]
         for lo, hi in ((1, 4), (5, 8), (9, 12), (13, _LONGEST)):
             some = [x for x in short if lo <= len(x[1]) <= hi]
@@ -124,13 +132,13 @@ class WordTokenizer:
                 self.pieces.update(zip([p for p, _ in part], self._merge([b for _, b in part]), strict=True))
         long = [p for p in fresh if p not in self.pieces]
         self.pieces.update(zip(long, self._library(long), strict=True))
-        pieces = self.pieces
-        for w, s in zip(plain, split, strict=True):
-            self.words[w] = b"".join([pieces[p] for p in s])
+        # ids are below 2**16, so a break never stands across ids
+        self.words.update(zip(words, b"".join(map(self.pieces.__getitem__, split)).split(_BREAK), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # the separators U+001C to U+001F are white space to Python alone
+        split = [self.spaced.findall(t) if self.odd.search(t) else t.split() for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if fresh := list({w for s in split for w in s} - self.words.keys()):
