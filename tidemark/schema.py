@@ -76,7 +76,7 @@ class FieldType:
             "int": lambda: F.abs(c) > SAFE_INTEGER,
             "float": lambda: F.isnan(c) | (F.abs(c) == float("inf")),
             "one_of": lambda: ~c.isin(*self.members),
-            "json": lambda: F.try_parse_json(c).isNull(),
+            "json": lambda: c.isNotNull() & F.try_parse_json(c).isNull(),
         }.get(self.kind)
         return F.coalesce(bad(), F.lit(False)) if bad else F.lit(False)
 
