@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.identity import dim_key, row_id
 from tidemark.functions.time import landing_col, timestamp
+from tidemark.house import House
 from tidemark.operators.counter import Counter
 from tidemark.operators.event import Event, Log
 from tidemark.operators.gauge import Gauge, Timer
 from tidemark.operators.level import Level
 from tidemark.plans.snapshot import open_cells, snapshot
 from tidemark.schema import float_, int_, json_, one_of, str_
+from tidemark.sources.ledger import Ledger
+from tidemark.sources.shared import scratch
 from tidemark.sources.sinks import latest
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -449,30 +452,71 @@ def late_landing(spark, sf_dir):
     return ops.select(timestamp(at).alias("bucket_ts"), "event_type", (at > F.col("bucket_ms")).cast("long").alias("l")).groupBy("bucket_ts", "event_type").agg(F.count("*").alias("value"), F.sum("l").alias("late"))
 
 
-@query(f"SELECT CASE WHEN ms < {OPENED} THEN 'closed' ELSE 'open' END AS part, CAST(sum(value) AS BIGINT) AS total, count(*) AS cells FROM {_CELLS} GROUP BY ALL")
+def _stored(spark, metric, *writes: DataFrame) -> Ledger:
+    store = Ledger(spark, scratch(spark))
+    for w in writes:
+        store.append(metric, metric.ops(w))
+    return store
+
+
+@query(f"SELECT CASE WHEN ms < {OPENED} THEN 'claimed' ELSE 'live' END AS part, CAST(sum(value) AS BIGINT) AS total, count(*) AS cells FROM {_CELLS} GROUP BY ALL")
 def claim_closed(spark, sf_dir):
-    cells = EVENTS.cells(unit_events(before_now(spark, sf_dir)))
-    part = F.when(F.col("bucket_ms") < OPENED, "closed").otherwise("open").alias("part")
-    return cells.groupBy(part).agg(F.sum("value").alias("total"), F.count("*").alias("cells"))
+    """A claim takes the closed windows out of the store's live ones."""
+    store = _stored(spark, EVENTS, unit_events(before_now(spark, sf_dir)))
+    claim = store.claim(EVENTS, OPENED, NOW)
+    parts = store.claimed_cells(claim, EVENTS).withColumn("part", F.lit("claimed")).unionByName(store.read_buckets(EVENTS).withColumn("part", F.lit("live")))
+    return parts.groupBy("part").agg(F.sum("value").alias("total"), F.count("*").alias("cells"))
 
 
-@query(f"SELECT CAST(min(ms) AS BIGINT) AS bucket_from, CAST(max(ms) + {HOUR} AS BIGINT) AS bucket_to, CAST(sum(value) AS BIGINT) AS total FROM {_CELLS} WHERE ms < {OPENED}")
+@query(f"SELECT CAST(min(ms) AS BIGINT) AS bucket_from, CAST(max(ms) + {HOUR} AS BIGINT) AS bucket_to, CAST(sum(value) AS BIGINT) AS total, count(*) AS rows FROM {_CELLS} WHERE ms < {OPENED}")
 def claim_context(spark, sf_dir):
-    cells = EVENTS.cells(unit_events(before_now(spark, sf_dir))).where(F.col("bucket_ms") < OPENED)
-    return cells.agg(F.min("bucket_ms").alias("bucket_from"), (F.max("bucket_ms") + HOUR).alias("bucket_to"), EVENTS.total().alias("total"))
+    """What a flush tells the sink."""
+    seen = []
+    c = Counter("events_total", {"event_type": EVENT_TYPES}, resolution="1h", flush="1h", grace="0s", write=lambda rows, ctx: seen.append((ctx.bucket_from, ctx.bucket_to, ctx.total, rows.count())))
+    house = House(spark, scratch(spark), [c], now=lambda: NOW)
+    house.write(c.name, unit_events(before_now(spark, sf_dir)))
+    house.flush().raise_if_failed()
+    return spark.createDataFrame(seen, "bucket_from long, bucket_to long, total long, rows long")
 
 
 @query(f"SELECT date_trunc('hour', ts) AS bucket_ts, event_type, {_FOLD} FROM events GROUP BY ALL")
 def release_merge(spark, sf_dir):
     """A released claim (even ids) and what came since (odd ids) fold as one."""
-    ops = WORTH.ops(worth(events(spark, sf_dir)))
-    return rounded(WORTH.rows(WORTH.fold(ops.where("seq % 2 = 0").unionByName(ops.where("seq % 2 = 1")))).drop("id"))
+    e = worth(events(spark, sf_dir))
+    store = _stored(spark, WORTH, e.where("seq % 2 = 0"))
+    claim = store.claim(WORTH, 2**62, NOW)
+    store.release(claim)
+    store.files.write(f"meta/{WORTH.name}.json", {"kind": WORTH.kind, "floor": 0})  # as if the claim had not closed them
+    # the ids stand for the order of arrival
+    rows = store.live(WORTH).drop("batch", "seq").withColumnRenamed("arrival", "seq").unionByName(WORTH.ops(e.where("seq % 2 = 1")).withColumn("moved", F.lit(False)))
+    return rounded(WORTH.rows(WORTH.fold(rows)).drop("id"))
+
 
+_PARTS = "(SELECT *, CAST((event_id - (SELECT min(event_id) FROM events)) * 4 // (SELECT count(*) FROM events) AS INT) AS part FROM events)"
+_SENT_IN = f"(SELECT *, CASE WHEN event_id % 50 = 0 THEN part + 1 ELSE part END AS batch, {MS} AS ms FROM {_PARTS})"
 
-@query(f"SELECT CAST(event_id // 2500 AS BIGINT) AS batch, event_type, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY ALL")
+
+@query(
+    f"""WITH d AS (SELECT * FROM {_SENT_IN}), ends AS (SELECT part, max(ms) AS up_to FROM d WHERE batch = part GROUP BY part),
+    floors AS (SELECT e.part + 1 AS batch, (SELECT max(ms) FROM d WHERE d.batch <= e.part AND d.ms < e.up_to) + {HOUR} AS f FROM ends e),
+    placed AS (SELECT event_type, greatest(ms, coalesce(f, 0)) AS landed, ms FROM d LEFT JOIN floors ON floors.batch = d.batch)
+    SELECT make_timestamp(landed * 1000) AS bucket_ts, event_type, CAST(count(*) AS BIGINT) AS value, CAST(sum(CASE WHEN landed > ms THEN 1 ELSE 0 END) AS BIGINT) AS late FROM placed GROUP BY ALL"""
+)
 def late_batch_split(spark, sf_dir):
+    """Four batches; every 50th event comes a batch late, when its window has been claimed, and moves forward."""
     e = events(spark, sf_dir)
-    return e.groupBy(F.floor(F.col("event_id") / 2500).alias("batch"), "event_type").agg(F.count("*").alias("value"))
+    least, n = e.agg(F.min("event_id"), F.count("*")).first()
+    part = F.floor((F.col("event_id") - least) * 4 / n)
+    e = e.withColumn("batch", F.when(F.col("event_id") % 50 == 0, part + 1).otherwise(part))
+    store = Ledger(spark, scratch(spark))
+    for b in range(5):
+        own = e.where(F.col("batch") == b)
+        store.append(EVENTS, EVENTS.ops(unit_events(own)))
+        newest = EVENTS.ops(unit_events(own.where(part == b))).agg(F.max("bucket_ms")).first()[0]
+        if newest is not None:
+            store.claim(EVENTS, newest, NOW)
+    out = store._rows(EVENTS)
+    return out.groupBy(timestamp(F.col("bucket_ms")).alias("bucket_ts"), "event_type").agg(F.count("*").alias("value"), F.sum(F.col("moved").cast("long")).alias("late"))
 
 
 # ---- what users ask of shipped tables ----

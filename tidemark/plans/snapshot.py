@@ -65,11 +65,12 @@ def snapshot(
     order_by: str | None = None,
     direction: str = "desc",
     limit: int | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Rows as the sink would get them, with ``bucket_open`` and ``bucket_elapsed_ms``.
 
     ``rollup='sum'`` merges windows, ``group_by`` keeps only some dims; both at once merge both.  Without ``order_by``
-    rows come by window, then series.  An id stays where a row is one series in one window.
+    rows come by window, then series; texts sort by bytes, or by ``collation`` (``'UNICODE'``).  An id stays where a row is one series in one window.
     """
     if rollup not in ("none", "sum"):
         raise ValueError("rollup is 'none' or 'sum'")
@@ -123,6 +124,8 @@ def snapshot(
         if order_by not in out.columns or order_by == "_key":
             raise ValueError(f"{metric.name}: no row has {order_by!r}")
         at = F.col(order_by)
+        if collation is not None and dict(out.dtypes)[order_by] == "string":
+            at = F.collate(at, collation)
         tie.insert(0, at.desc_nulls_last() if direction == "desc" else at.asc_nulls_last())
     out = out.orderBy(*tie)
     return (out if limit is None else out.limit(limit)).drop("_key")

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,13 +83,31 @@ class Files:
         return self.fs.delete(self.path(name), True)
 
 
+class Store(Protocol):
+    """What a house needs of a store; any class with these can take the ledger's place."""
+
+    durable: bool
+    shared: bool
+
+    def append(self, metric: Metric, rows: DataFrame, key: str | None = None) -> int: ...
+    def read_buckets(self, metric: Bucketed, start: int | None = None, end: int | None = None, dim_key: str | None = None) -> DataFrame | None: ...
+    def read_pending(self, metric: Event, start: int | None = None, end: int | None = None, limit: int | None = None) -> DataFrame | None: ...
+    def claim(self, metric: Bucketed, up_to: int, now: int, ahead_from: int | None = None, attempt: int = 1) -> Claim | None: ...
+    def claim_records(self, metric: Event, now: int, limit: int | None = None, attempt: int = 1) -> Claim | None: ...
+    def ack(self, claim: Claim, metric: Metric) -> None: ...
+    def release(self, claim: Claim) -> None: ...
+    def recover(self, metric: Metric, now: int) -> list[Claim]: ...
+    def take_turn(self, name: str, now: int, interval: int) -> str | None: ...
+    def return_turn(self, name: str, token: str) -> bool: ...
+
+
 class Ledger:
     """``durable`` and ``shared``: it outlives processes, and any number may use one path."""
 
     durable = shared = atomic_merge = True
 
-    def __init__(self, spark: SparkSession, path: str, recover_after: int = RECOVER_AFTER, max_rows: int | None = None):
-        self.spark, self.files, self.recover_after, self.max_rows = spark, Files(spark, path), recover_after, max_rows
+    def __init__(self, spark: SparkSession, path: str, recover_after: int = RECOVER_AFTER, max_rows: int | None = None, max_series: int | None = None):
+        self.spark, self.files, self.recover_after, self.max_rows, self.max_series = spark, Files(spark, path), recover_after, max_rows, max_series
         self.path = path.rstrip("/")
 
     # ---- appends ----
@@ -122,6 +140,11 @@ class Ledger:
             own = F.col("bucket_ms")
             moved = landing_col(own, self.floor(metric), metric.res)
             rows = rows.withColumn("moved", moved > own).withColumn("bucket_ms", moved)
+            if self.max_series is not None:
+                held = self.scan_series(metric)
+                new = rows.select("dim_key").distinct()
+                if (n := (new if held is None else held.union(new).distinct()).count()) > self.max_series:
+                    raise ValueError(f"{metric.name}: {n} series would be over the cap of {self.max_series}")
         batch = 1 + max((int(n.split("=")[1]) for n in self.files.names(folder) if n.startswith("batch=")), default=0)
         while not self.files.write(f"taken/{metric.name}/{batch}.json", {"key": key}, overwrite=False):
             batch += 1
