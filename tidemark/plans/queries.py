@@ -638,10 +638,11 @@ def daily_views(spark, sf_dir):
     LEFT JOIN (SELECT date_trunc('hour', ts) AS b, event_type, count(*) AS n FROM events GROUP BY ALL) c ON c.b = g.b AND c.event_type = t.event_type"""
 )
 def zero_fill(spark, sf_dir):
-    """Each series fills its own gaps from its neighbours, with ends from the whole table's range."""
+    """Every series over the whole table's range; its two ends are all that reaches the driver."""
     cells = EVENTS.cells(unit_events(events(spark, sf_dir)))
-    ends = cells.agg(F.min("bucket_ms").alias("a"), F.max("bucket_ms").alias("b"))
-    spine = cells.select("event_type").distinct().join(F.broadcast(ends)).select("event_type", F.explode(F.sequence("a", "b", F.lit(HOUR).cast("long"))).alias("bucket_ms"))
+    first, last = cells.agg(F.min("bucket_ms"), F.max("bucket_ms")).first()
+    hours = F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"), F.lit(HOUR).cast("long"))
+    spine = cells.select("event_type").distinct().select("event_type", F.explode(hours).alias("bucket_ms"))
     found = spine.join(cells.select("event_type", "bucket_ms", "value"), ["event_type", "bucket_ms"], "left")
     return found.select(timestamp(F.col("bucket_ms")).alias("hour"), "event_type", F.coalesce("value", F.lit(0)).alias("value"))
 
