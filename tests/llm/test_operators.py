@@ -168,6 +168,15 @@ def test_the_article_alone(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_containers_without_article():
+    page = "<body><div class='site-header'>Name<ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div class='main has-sidebar'><h1>Title</h1>%s</div><div id=sidebar>Side, side, side and some more of it</div></body>"
+    listed = "".join(f"<li>item {i}, which is long enough to count" for i in range(9))
+    assert extract(page % f"<p>Intro.</p><ol>{listed}</ol><p>End.</p>").split("\n")[:2] == ["Title", "Intro."]
+    two = "<div><p>First part, with some text, that is long enough.</p></div><div><p>Second part, with other text, long as well.</p></div>"
+    assert extract(page % two).split("\n") == ["Title", "First part, with some text, that is long enough.", "Second part, with other text, long as well."]
+    assert extract("<div class='post-header'><h1>T</h1></div><div class=post><p>Text, of the post, at some length for points.</p></div>").split("\n")[-1].startswith("Text")
+
+
 def test_pages_of_the_tables(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in q.op6_html_text(spark, SF).collect():

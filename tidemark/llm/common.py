@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,18 +31,25 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing will read again."""
+    path = df._written_to
+    at = _WRITTEN.pop(path).sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def drop_written() -> None:
-    """Delete what :func:`written` left, at the end of the driver."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+    """Delete what is left of :func:`written`, at the end of the driver."""
+    for path, spark in list(_WRITTEN.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return
@@ -82,7 +89,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        now = written(large)
+        before_round, now = now, written(large)
+        discard(before_round)
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             now.join(low, "u")
@@ -91,7 +99,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .where("u > v")
             .distinct()
         )
-        now = written(small)
+        before_round, now = now, written(small)
+        discard(before_round)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -22,7 +22,7 @@ WINDOW = 13
 #: Tokens of a window that must be words, not placeholders.
 LEAST_WORDS = 7
 #: UTF-8 bytes of benchmark text whose windows one scan holds; more items are taken in further scans.
-HELD_BYTES = 32_000_000
+HELD_BYTES = 2_000_000
 
 # Units that make a quantity with the number before them.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|kmh|mph|dollars?|euros?|cents?|percent|degrees?|volts?|watts?|kwh|hz|mb|gb|tb"

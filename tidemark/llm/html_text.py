@@ -28,8 +28,13 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb "
     "breadcrumbs footer masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notification alert popup modal overlay "
-    "newsletter subscribe subscription signup share sharing social related recommended pagination pager toolbar widget complementary contentinfo search".split()
+    "newsletter subscribe subscription signup share sharing social related recommended pagination pager toolbar topbar widget complementary contentinfo search disclaimer copyright".split()
 )
+# Words before such a word that tell of the page, not the element; words that make a header one of an article.
+ABOUT_PAGE = frozenset("has with without no not hide show".split())
+OF_ARTICLE = frozenset("article entry post story content headline".split())
+# Elements that are part of what surrounds them, never an article by themselves.
+PARTS = frozenset("ul ol dl table tbody thead tr blockquote figure pre p li dd td h1 h2 h3 h4 h5 h6".split())
 
 _MARKUP = re.compile(
     r"<!--(?:>|->|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)",
@@ -68,8 +73,12 @@ def _unwanted(tag: str, attributes: str, within: bool) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                 return True
-        elif tag not in ("html", "body") and any(w.lower() in BOILERPLATE for w in _WORD.findall(value)):
-            return True
+        elif tag not in ("html", "body"):
+            words = [w.lower() for w in _WORD.findall(value)]
+            if any(w in BOILERPLATE and (i == 0 or words[i - 1] not in ABOUT_PAGE) for i, w in enumerate(words)):
+                return True
+            if "header" in words and not within and not OF_ARTICLE.intersection(words):
+                return True
     return False
 
 
@@ -199,6 +208,8 @@ def extract(html: str) -> str:
     if best.within:  # a section of a marked article stands for the article
         while not best.good or best.parent.within:
             best = best.parent
+    while best.tag in PARTS and not best.parent.skip:
+        best = best.parent
     best.kept = True
     if best.parent is not None and not best.good:
         bar = max(5.0, 0.2 * worth(best))
