@@ -62,7 +62,9 @@ class Event(Metric):
         if self.sample is None:
             return out.withColumn("_rate", F.lit(1.0))
         rate = F.lit(float(self.sample)) if isinstance(self.sample, (int, float)) else self.sample({f: F.col(f) for f in self.fields}).cast("double")
-        return out.withColumn("_rate", F.when((rate < 0) | (rate > 1) | rate.isNull() | F.isnan(rate), F.raise_error(F.lit(f"{self.name}: no sample rate"))).otherwise(rate))
+        # a column of its own first: a costly rule is then not run for each use
+        out, rate = out.withColumn("_asked", rate), F.col("_asked")
+        return out.withColumn("_rate", F.when((rate < 0) | (rate > 1) | rate.isNull() | F.isnan(rate), F.raise_error(F.lit(f"{self.name}: no sample rate"))).otherwise(rate)).drop("_asked")
 
     def staged(self, df: DataFrame, now: int | Column, ids: Column | None = None, draw: Column | None = None) -> DataFrame:
         """Rows that survive sampling: ``id, ts, <fields>, _ingested_at[, _sample_rate][, seq]``."""
