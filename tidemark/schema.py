@@ -164,11 +164,12 @@ def checked(shape: Shape, columns: Mapping[str, Column], where: str) -> dict[str
         c = kind.filled(kind.cast(columns[name])) if name in columns else kind.filled(F.lit(None).cast(kind.spark_type))
         if name not in columns and not kind.is_optional:
             raise ValueError(f"{where}: {name!r} is missing")
-        if kind.kind in ("int", "float", "one_of", "json"):
-            c = F.when(kind.invalid(c), F.raise_error(F.lit(f"{where}: {name} is no {kind.kind}"))).otherwise(c)
+        found = F
         if not kind.is_optional:
-            c = F.when(c.isNull(), F.raise_error(F.lit(f"{where}: {name} is missing"))).otherwise(c)
-        out[name] = c
+            found = found.when(c.isNull(), F.raise_error(F.lit(f"{where}: {name} is missing")))
+        if kind.kind in ("int", "float", "one_of", "json"):
+            found = found.when(kind.invalid(c), F.raise_error(F.lit(f"{where}: {name} is no {kind.kind}")))
+        out[name] = c if found is F else found.otherwise(c)
     return out
 
 
