@@ -48,19 +48,38 @@ def _chunks(text: Column) -> Column:
     return F.transform(F.array(with_hashes), cut)[0]
 
 
+def _key(c: Column) -> Column:
+    """An id as a join key that is never null, so that no filter is inferred which would set plans apart."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``(_key, _row)``: all columns of a row in one value, to be read by :func:`_row`.
+
+    Column pruning leaves that value whole, so all joins with the documents read one exchange: texts are shuffled once.
+    """
+    return docs.select(_key(docs[id_col]).alias("_key"), F.array(F.struct(*docs.columns)).alias("_row"))
+
+
+def _row() -> Column:
+    return F.get(F.reverse("_row"), F.lit(0))
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_id, gone array<int>)``: for each document with repeated multi-line chunks, the numbers of those to remove."""
+    """``(_of, gone array<int>)``: for each document with repeated multi-line chunks, the numbers of those to remove."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    chunks = F.filter(_chunks(F.col("_text")), lambda c: c["lines"] >= LEAST_LINES)
+    many = lambda text: F.filter(_chunks(text), lambda c: c["lines"] >= LEAST_LINES)
     slim = own.where((F.instr("_text", "\n") > 0) & F.col("_id").isNotNull())
-    slim = written(slim.select("_id", F.explode(F.transform(chunks, lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["body"]).alias("h")))).alias("c")).select("_id", "c.*"))
+    slim = written(slim.select("_id", F.explode(F.transform(many(F.col("_text")), lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["body"]).alias("h")))).alias("c")).select("_id", "c.*"))
     repeated = slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    asked = slim.join(repeated, "h", "left_semi").groupBy("_id").agg(F.collect_set("k").alias("ks"))
-    texts = own.join(asked, "_id").select("_id", F.explode(F.filter(chunks, lambda c: F.array_contains("ks", c["k"]))).alias("c"))
+    asked = slim.join(repeated, "h", "left_semi").groupBy(_key(F.col("_id")).alias("_of")).agg(F.collect_set("k").alias("ks"))
+    texts = _keyed(docs, id_col).join(asked, F.col("_key") == F.col("_of"), "left")
+    found = F.when(F.col("ks").isNotNull() & _row()[id_col].isNotNull(), F.filter(many(_row()[text_col]), lambda c: F.array_contains("ks", c["k"])))
+    texts = texts.select(_row()[id_col].alias("_id"), F.explode_outer(found).alias("c")).where("c is not null")
     texts = texts.select("_id", F.col("c.k").alias("k"), F.col("c.body").alias("body"))
     first = texts.groupBy("body").agg(F.min(F.struct("_id", "k")).alias("first"))
     later = texts.join(first, "body").where(F.struct("_id", "k") != F.col("first"))
-    return later.groupBy("_id").agg(F.collect_set("k").alias("gone"))
+    return later.groupBy(_key(F.col("_id")).alias("_of")).agg(F.collect_set("k").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,15 +89,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     line stay as they are (a null text has 0 lines), as do rows without an id, which others are not compared with.  Rows
     that repeat an id are one place and are cut alike.  A text of which nothing stays becomes empty.
     """
-    gone = removals(docs, id_col, text_col).select(F.col("_id").alias("_td_id"), F.col("gone").alias("_td_gone"))
-    out = docs.join(gone, docs[id_col] == gone["_td_id"], "left")
-    chunks = _chunks(F.col(text_col))
-    kept = F.filter(chunks, lambda c: ~F.array_contains("_td_gone", c["k"]))
-    cut = F.aggregate(F.filter(chunks, lambda c: F.array_contains("_td_gone", c["k"])), F.lit(0), lambda a, c: a + c["lines"])
-    hit = F.col("_td_gone").isNotNull()
+    gone = removals(docs, id_col, text_col).select("_of", F.col("gone").alias("_gone"))
+    out = _keyed(docs, id_col).join(gone, F.col("_key") == F.col("_of"), "left")
+    row = _row()
+    text = row[text_col]
+    chunks = _chunks(text)
+    kept = F.filter(chunks, lambda c: ~F.array_contains("_gone", c["k"]))
+    cut = F.aggregate(F.filter(chunks, lambda c: F.array_contains("_gone", c["k"])), F.lit(0), lambda a, c: a + c["lines"])
+    hit = F.col("_gone").isNotNull() & row[id_col].isNotNull()
     return out.select(
-        *[c if c != text_col else F.when(hit, F.array_join(F.transform(kept, lambda c: c["body"]), "\n")).otherwise(F.col(c)).alias(c) for c in docs.columns],
-        F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1, F.lit(0)).alias("_lines"),
+        *[(row[c] if c != text_col else F.when(hit, F.array_join(F.transform(kept, lambda c: c["body"]), "\n")).otherwise(text)).alias(c) for c in docs.columns],
+        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).alias("_lines"),
         F.when(hit, cut).otherwise(F.lit(0)).alias("_cut_lines"),
     )
 
