@@ -161,7 +161,9 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     groups = simhash_groups(docs, distance=distance)
     first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    kept = written(groups.where(first).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    out = docs.join(kept.select("_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    ids = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(first).alias("stays"), F.count("*").alias("rows"))
+    # far fewer rows go than stay, so texts are matched with those that go
+    ids = written(ids.where("not stays or rows > 1"))
+    out = docs.join(ids.where("not stays").select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
     # ids are nearly always unique; only if one is not must the rows be brought together
-    return out.dropDuplicates(["doc_id"]) if kept.where("_rows > 1").limit(1).count() else out
+    return out.dropDuplicates(["doc_id"]) if ids.where("stays").limit(1).count() else out
