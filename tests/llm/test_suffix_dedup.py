@@ -53,6 +53,8 @@ def test_against_all_strings(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     small = repeated_bytes(docs, block_bytes=3000)  # many blocks and buckets
     assert {r[0]: tuple(r[1:]) for r in small.collect()} == got
+    frequent = repeated_bytes(docs, block_bytes=3000, hot=2)  # most anchors count as hot
+    assert {r[0]: tuple(r[1:]) for r in frequent.collect()} == got
 
 
 def test_edge_rows(spark):

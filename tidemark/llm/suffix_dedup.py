@@ -7,7 +7,9 @@ quicksort on 8-byte words to a shallow depth, then blind tries for groups that s
 to full depth are equal strings; all but the first of each run are removed.
 
 Documents are dealt to blocks of bounded size.  Within a block, equal contexts are sent on once, so that many copies
-shrink before they are shuffled.
+shrink before they are shuffled.  An anchor that occurs very often, such as that of a notice in a third of all documents,
+would still bring all that stands around it to one bucket.  For such anchors the strings themselves are counted by hash
+in a scan more, and only those that repeat are sent, each to the bucket of its own hash.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import text_bytes, written
 
 DEPTH, GRAM, SHALLOW = 100, 32, 16
 #: UTF-8 bytes that one block of documents holds, unless a single document is longer.
 BLOCK_BYTES = 4_000_000
+#: Occurrences from which on an anchor's strings go by their own hashes.
+HOT = 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -122,22 +126,34 @@ class Block:
         self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
         self.edges = np.r_[0, np.cumsum([len(t) for t in self.texts], dtype=np.int64)]
 
+    def grams(self) -> dict[int, np.ndarray]:
+        """Hash of the 1, 2, 4, ... 64 bytes from each position on."""
+        h = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)[self.buf]
+        out = {1: h}
+        for i, mix in enumerate(_MIX):
+            size = 1 << i
+            h = h[:-size] * mix + h[size:] if len(h) > size else h[:0]
+            out[2 * size] = h
+        return out
+
+    def strings(self) -> np.ndarray:
+        """Hash of the ``DEPTH`` bytes from each position on."""
+        h = self.grams()
+        n = max(0, len(self.buf) - DEPTH + 1)
+        at, out, left = 0, np.zeros(n, np.uint64), DEPTH
+        for size in sorted(h, reverse=True):
+            while left >= size:
+                out = out * _MIX[5] + h[size][at : at + n]
+                at, left = at + size, left - size
+        return _mixed(out)
+
     def anchors(self, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each anchor, and the first and the number of the starts whose string it stands for."""
         n, width = len(self.buf), depth - gram + 1
         none = np.zeros(0, np.int64)
         if n < depth:
             return none.astype(np.uint64), none, none
-        h = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)[self.buf]
-        size = 1
-        for mix in _MIX:
-            if size == gram:
-                break
-            h = h[:-size] * mix + h[size:]
-            size *= 2
-        h ^= h >> np.uint64(29)
-        h *= _MIX[1]
-        h ^= h >> np.uint64(32)
+        h = _mixed(self.grams()[gram])
         low = np.uint64((1 << int(n).bit_length()) - 1)
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         size = 1
@@ -156,6 +172,11 @@ class Block:
         return h[at[first]], starts[first], np.diff(np.r_[first, len(at)])
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * _MIX[1]
+    return h ^ h >> np.uint64(32)
+
+
 def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket in the upper half, 32 bits of the hash in the lower."""
     mixed = h * _MIX[4]
@@ -167,8 +188,8 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_SEEN = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
-_REPEATED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary())])
+_SEEN = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
+_REPEATED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("whole", pa.bool_()), ("codes", pa.binary()), ("hot", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("places", pa.binary()), ("context", pa.binary())])
 _SPANS = pa.schema([("block", pa.int32()), ("spans", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -181,28 +202,65 @@ def _cuts(codes: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(b[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)], strict=True))
 
 
+def _counted(codes: np.ndarray, block: int) -> pa.Table:
+    codes, count = np.unique(codes, return_counts=True)
+    short = codes.astype("<u4")
+    rows = []
+    for b, i, j in _cuts(codes):
+        more = count[i:j] > 1
+        rows.append((b, block, short[i:j][~more].tobytes(), short[i:j][more].tobytes(), count[i:j][more].astype("<i8").tobytes()))
+    return _table(_SEEN, rows)
+
+
 def _see(buckets: int):
     def of(docs: pa.Table) -> pa.Table:
-        codes, count = np.unique(_codes(Block(docs).anchors()[0], buckets), return_counts=True)
-        block = docs["block"][0].as_py()
-        short = codes.astype("<u4")
-        return _table(_SEEN, [(b, block, short[i:j][count[i:j] == 1].tobytes(), short[i:j][count[i:j] > 1].tobytes()) for b, i, j in _cuts(codes)])
+        return _counted(_codes(Block(docs).anchors()[0], buckets), docs["block"][0].as_py())
 
     return of
 
 
-def _repeat(seen: pa.Table) -> pa.Table:
-    blocks = seen["block"].to_pylist()
-    once = [np.frombuffer(x, "<u4") for x in seen["once"].to_pylist()]
-    more = [np.frombuffer(x, "<u4") for x in seen["more"].to_pylist()]
-    every = np.sort(np.concatenate([*once, *more, *more]))
-    known = np.unique(every[1:][every[1:] == every[:-1]])
-    rows = []
-    for block, a, b in zip(blocks, once, more, strict=True):
-        own = np.concatenate([a[np.isin(a, known, kind="sort")], b])
-        if len(own):
-            rows.append((block, seen["bucket"][0].as_py(), own.tobytes()))
-    return _table(_REPEATED, rows)
+def _repeat(whole: bool, hot: int | None):
+    def of(seen: pa.Table) -> pa.Table:
+        once = [np.frombuffer(x, "<u4") for x in seen["once"].to_pylist()]
+        more = [np.frombuffer(x, "<u4") for x in seen["more"].to_pylist()]
+        counts = [np.frombuffer(x, "<i8") for x in seen["counts"].to_pylist()]
+        known, place = np.unique(np.concatenate([*once, *more]), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([np.ones(sum(map(len, once))), *counts]), minlength=len(known))
+        often = known[total > hot] if hot is not None else known[:0]
+        known = known[total > 1]
+        rows = []
+        for block, a, b in zip(seen["block"].to_pylist(), once, more, strict=True):
+            own = np.concatenate([a, b])
+            own = own[np.isin(own, known, kind="sort")]
+            much = np.isin(own, often, kind="sort")
+            if len(own):
+                rows.append((block, seen["bucket"][0].as_py(), whole, own[~much].tobytes(), own[much].tobytes()))
+        return _table(_REPEATED, rows)
+
+    return of
+
+
+def _full(rows: pa.Table, column: str, whole: bool) -> np.ndarray:
+    """Codes with their buckets, of anchors or of whole strings."""
+    own = [x for x in rows.to_pylist() if x["whole"] == whole]
+    return np.concatenate([np.zeros(0, np.uint64), *[np.uint64(x["bucket"]) << np.uint64(32) | np.frombuffer(x[column], "<u4").astype(np.uint64) for x in own]])
+
+
+def _starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _see_strings(buckets: int):
+    def of(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+        hot = _full(repeated, "hot", False)
+        if not docs.num_rows or not len(hot):
+            return _table(_SEEN, [])
+        block = Block(docs)
+        h, first, count = block.anchors()
+        own = np.isin(_codes(h, buckets), hot)
+        return _counted(_codes(block.strings()[_starts(first[own], count[own])], buckets), docs["block"][0].as_py())
+
+    return of
 
 
 def _send(buckets: int):
@@ -213,9 +271,17 @@ def _send(buckets: int):
         name = docs["block"][0].as_py()
         h, first, count = block.anchors()
         codes = _codes(h, buckets)
-        known = np.concatenate([np.uint64(b) << np.uint64(32) | np.frombuffer(c, "<u4").astype(np.uint64) for b, c in zip(repeated["bucket"].to_pylist(), repeated["codes"].to_pylist(), strict=True)])
-        own = np.isin(codes, known)
-        codes, first, count = codes[own], first[own], count[own]
+        hot = np.isin(codes, _full(repeated, "hot", False))
+        own = np.isin(codes, _full(repeated, "codes", False))
+        if hot.any():
+            at = _starts(first[hot], count[hot])
+            by = _codes(block.strings()[at], buckets)
+            again = np.isin(by, _full(repeated, "codes", True))
+            codes, first, count = np.r_[codes[own], by[again]], np.r_[first[own], at[again]], np.r_[count[own], np.ones(int(again.sum()), np.int64)]
+            order = np.argsort(first, kind="stable")
+            codes, first, count = codes[order], first[order], count[order]
+        else:
+            codes, first, count = codes[own], first[own], count[own]
         flat = block.buf.tobytes()
         doc = np.searchsorted(block.edges, first, side="right") - 1
         seen: set[bytes] = set()
@@ -300,7 +366,7 @@ def _finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return _table(_OUT, [(i, *found[r]) for i, r in zip(docs["doc_id"].to_pylist(), block.row, strict=True)])
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row.
 
     A byte is removed if a string of ``DEPTH`` bytes over it also starts earlier: in a smaller id, or before it in the
@@ -312,8 +378,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = max(1, -(-total // block_bytes))
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition("block")
     blocks = dealt.groupBy("block")
-    seen = blocks.applyInArrow(_see(n), "bucket int, block int, once binary, more binary")
-    repeated = seen.groupBy("bucket").applyInArrow(_repeat, "block int, bucket int, codes binary")
+    seen_shape, shape = "bucket int, block int, once binary, more binary, counts binary", "block int, bucket int, whole boolean, codes binary, hot binary"
+    seen = blocks.applyInArrow(_see(n), seen_shape)
+    repeated = written(seen.groupBy("bucket").applyInArrow(_repeat(False, hot), shape))
+    if repeated.where(F.octet_length("hot") > 0).limit(1).count():
+        strings = blocks.cogroup(repeated.groupBy("block")).applyInArrow(_see_strings(n), seen_shape)
+        repeated = repeated.unionByName(strings.groupBy("bucket").applyInArrow(_repeat(True, None), shape))
     sent = blocks.cogroup(repeated.groupBy("block")).applyInArrow(_send(n), "bucket int, block int, ids binary, places binary, context binary")
     spans = sent.groupBy("bucket").applyInArrow(_sort, "block int, spans binary")
     return blocks.cogroup(spans.groupBy("block")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
