@@ -207,6 +207,14 @@ def test_reparameterised_questions():
     assert matches("a clean document about nothing in particular that nobody asked for, at length, with no leaks at all", items) == []
 
 
+def test_windows_of_few_words_match_verbatim():
+    dense = "Add 12, 7, 30, 41 and 5, 16, 28, 9 to 3, 11, 64 and 2"
+    items = Items([(1, "What is 12 times 7?"), (2, dense), (3, ITEM)])
+    assert [m[0] for m in matches("so: What is 12 times 7? It is 84", items)] == [1]
+    assert [m[0] for m in matches(f"Now. {dense}.", items)] == [2]
+    assert matches("so: What is 13 times 7? It is 91", items) == matches(dense.replace("30", "31").replace("28", "82"), items) == []
+
+
 def test_leaks_in_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_bytes
 
 WINDOW = 13
-#: Tokens of a window that must be words, not placeholders.
+#: Words, not placeholders, from which a window may have other values; with fewer its values must be the item's own.
 LEAST_WORDS = 7
 #: UTF-8 bytes of benchmark text whose windows one scan holds; more items are taken in further scans.
 HELD_BYTES = 2_000_000
@@ -64,7 +64,7 @@ class Items:
             codes = np.array([self.number[t] for t in toks])
             words = np.array([t[0] != "\x01" for t in toks])
             for j, h in enumerate(self.hashes(codes, size).tolist()):
-                if words[j : j + size].sum() >= min(LEAST_WORDS, size):
+                if words[j : j + size].any():
                     at[size][h].append((k, j))
         for size, windows in at.items():
             self.by_size[size] = (np.sort(np.fromiter(windows, np.uint64, len(windows))), dict(windows))
@@ -118,6 +118,8 @@ def matches(text: str, items: Items) -> list[tuple[int, int, int, int]]:
                 mine = own[own_nth[j] : own_nth[j + size]]
                 theirs = values[nth[i] : nth[i + size]]
                 kinds = [t for t in item[j : j + size] if t[0] == "\x01"]
+                if size - len(kinds) < min(LEAST_WORDS, size) and mine != theirs:
+                    continue
                 pairs = list(zip(kinds, mine, theirs, strict=False))
                 if len({(c, a) for c, a, _ in pairs}) != len({(c, a, b) for c, a, b in pairs}) or len({(c, b) for c, _, b in pairs}) != len({(c, a, b) for c, a, b in pairs}):
                     continue
@@ -155,7 +157,8 @@ _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows",
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, windows, covered, item_tokens)`` for each document that holds part of an item.
 
-    Items shorter than a window count as one window.  Null or empty texts and items never match; repeated rows give
+    Items shorter than a window count as one window.  Windows of fewer than ``LEAST_WORDS`` words match verbatim only,
+    those without any word never.  Null or empty texts and items never match; repeated rows give
     repeated rows; an empty table on either side gives none.  Other columns are not read.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
