@@ -215,6 +215,31 @@ def test_windows_of_few_words_match_verbatim():
     assert matches("so: What is 13 times 7? It is 91", items) == matches(dense.replace("30", "31").replace("28", "82"), items) == []
 
 
+def test_names_do_not_depend_on_what_stands_before():
+    planet = "Which planet has rings that are seen from far away?"
+    apples = "Tom has 5 apples in a basket. Tom gives away 2 of them to a friend. Tom eats what is left over. Tom sleeps."
+    short = "If Tom has 5 apples and eats 2, how many are left?"
+    items = Items([(1, planet), (2, apples), (3, short)])
+    for before in ("He asked ", "well, ", "He asked: ", "one; ", "Then Anna Bell asked Question ", ""):
+        for i, t in enumerate((planet, apples, short), 1):
+            assert i in [m[0] for m in matches(before + t, items)], (before, t)
+    assert [m[0] for m in matches(apples.replace("Tom", "Sue").replace("5", "9"), items)] == [2]
+    assert [m[0] for m in matches("He asked If Ann has 7 apples and eats 3, how many are left?", items)] == [3]
+    mixed = "Tom has 5 apples and Bob has pears. Tom gives away two of them."
+    assert not matches("Sue has 5 apples and Sue has pears. Sue gives away two of them.", Items([(1, mixed)]))
+
+
+def test_texts_are_passed_over_only_without_a_match():
+    rng = random.Random(4)
+    vocabulary = "Tom Ann the a to İx ΑΣ σ has 5 7 km km_ 12 , . ; which Which zzz yy _ x_".split(" ")
+    for _ in range(2000):
+        items = Items([(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 6)))) for i in range(3)])
+        text = " ".join(rng.choices(vocabulary, k=30))
+        found = [m[0] for m in matches(text, items)]
+        items.parts = lambda t: t
+        assert [m[0] for m in matches(text, items)] == found
+
+
 def test_leaks_in_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -3,6 +3,9 @@
 Numbers, units and names become typed placeholders, so a question with other values keeps its template.  Windows of a
 document's template are looked up in a hash table of the benchmark's windows; a hit is compared token by token, and the
 values in its placeholders must map one to one onto the item's.
+
+Whether a capitalised word is a name cannot be told where a sentence or an item begins, so items and texts are taken in
+several readings (``READINGS``), and any of an item is looked up in any of a text.
 """
 
 from __future__ import annotations
@@ -23,43 +26,96 @@ WINDOW = 13
 LEAST_WORDS = 7
 #: UTF-8 bytes of benchmark text whose windows one scan holds; more items are taken in further scans.
 HELD_BYTES = 2_000_000
+#: Tokens that a worker remembers.
+REMEMBERED = 200_000
 
 # Units that make a quantity with the number before them.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|kmh|mph|dollars?|euros?|cents?|percent|degrees?|volts?|watts?|kwh|hz|mb|gb|tb"
 _VALUE = re.compile(rf"\d+(?:[.,:/]\d+)*(%|[ ]?(?:{UNITS})\b)?", re.IGNORECASE)
 _NAME = re.compile(r"[A-ZÀ-ÖØ-Þ](?<=[a-zß-öø-ÿ,;] .)[^\W\d_]*(?: [A-ZÀ-ÖØ-Þ][^\W\d_]*)*")
 _TOKEN = re.compile(r"[^\W_]+|\x01\w")
+_CAPITALS = re.compile(r"(?<![^\W_])([A-ZÀ-ÖØ-Þ][^\W\d_]*)((?: [A-ZÀ-ÖØ-Þ][^\W\d_]*)*)")
+#: A number, with its unit, or a word, as they stand in a text.
+_PIECE = re.compile(rf"\d+(?:[.,:/]\d+)*(?:%|[ ]?(?:{UNITS})\b)?|[^\W\d_]+", re.IGNORECASE)
+#: Names are: capitalised words after a small letter, comma or semicolon; none; all runs of capitalised words; those without
+#: their first word, which may only open a sentence.
+READINGS = ("inside", "none", "all", "tails")
+
 
+def _names(text: str, reading: str) -> list[tuple[int, int]]:
+    """Spans of the names of a text."""
+    if reading == "none":
+        return []
+    if reading == "inside":
+        return [m.span() for m in _NAME.finditer(text)]
+    return [(m.start(2) + 1 if reading == "tails" and m[2] else m.start(), m.end()) for m in _CAPITALS.finditer(text)]
 
-def template(text: str) -> list[str]:
+
+def template(text: str, reading: str = "inside") -> list[str]:
     """Lower-case tokens, with ``\\x01n`` for a number, ``\\x01u`` for a quantity with unit, ``\\x01p`` for a name."""
-    text = _NAME.sub(" \x01p ", text)
+    parts, at = [], 0
+    for start, end in _names(text, reading):
+        parts += [text[at:start], " \x01p "]
+        at = end
+    text = "".join([*parts, text[at:]])
     text = _VALUE.sub(lambda m: " \x01u " if m[1] else " \x01n ", text)
     return _TOKEN.findall(text.lower())
 
 
-def slots(text: str) -> list[str]:
+def slots(text: str, reading: str = "inside") -> list[str]:
     """What stood in each placeholder of :func:`template`, in order."""
-    found = [(m.start(), m[0]) for m in _NAME.finditer(text)]
-    blank = _NAME.sub(lambda m: " " * len(m[0]), text)
-    found += [(m.start(), m[0]) for m in _VALUE.finditer(blank)]
+    found, parts, at = [], [], 0
+    for start, end in _names(text, reading):
+        found.append((start, text[start:end]))
+        parts += [text[at:start], " " * (end - start)]
+        at = end
+    found += [(m.start(), m[0]) for m in _VALUE.finditer("".join([*parts, text[at:]]))]
     return [x.lower() for _, x in sorted(found)]
 
 
+def readings(text: str) -> list[tuple[str, list[str]]]:
+    """The different templates of a text, each with the name of its reading."""
+    out: list[tuple[str, list[str]]] = []
+    for r in READINGS:
+        toks = template(text, r)
+        if all(toks != t for _, t in out):
+            out.append((r, toks))
+    return out
+
+
+class _Seen(dict):
+    """By token as it is written: whether it is in items or begins with a capital."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+
+    def __missing__(self, token: str) -> bool:
+        if token[0].isdecimal():
+            return True
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = found = token.lower() in self.number or token[0].isupper()
+        return found
+
+    def __reduce__(self):
+        return _Seen, (self.number,)
+
+
 class Items:
     """Windows of benchmark items, by hash."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.items = [(i, toks, slots(t)) for i, t in rows if (toks := template(t))]
+        # (id, row, tokens, slots): a row for each reading
+        self.items = [(i, n, toks, slots(t, r)) for n, (i, t) in enumerate(rows) for r, toks in readings(t) if toks]
         self.number: dict[str, int] = {}
-        for _, toks, _ in self.items:
+        for _, _, toks, _ in self.items:
             for t in toks:
                 self.number.setdefault(t, len(self.number) + 1)
         rng = np.random.default_rng(7)
         self.codes = np.r_[np.zeros(1, np.uint64), rng.integers(1, 1 << 63, len(self.number), dtype=np.uint64)]
         self.by_size: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
         at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, toks, _) in enumerate(self.items):
+        for k, (_, _, toks, _) in enumerate(self.items):
             size = min(WINDOW, len(toks))
             codes = np.array([self.number[t] for t in toks])
             words = np.array([t[0] != "\x01" for t in toks])
@@ -68,6 +124,22 @@ class Items:
                     at[size][h].append((k, j))
         for size, windows in at.items():
             self.by_size[size] = (np.sort(np.fromiter(windows, np.uint64, len(windows))), dict(windows))
+        self.least = min(self.by_size, default=0)
+        self.seen = _Seen(self.number)
+
+    def parts(self, text: str) -> str:
+        """The text without stretches in which no reading has a window of tokens that are in items or may be names."""
+        if not self.least or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
+            return text if self.least else ""
+        toks = _PIECE.findall(text)
+        cuts = np.flatnonzero(~np.fromiter(map(self.seen.__getitem__, toks), bool, len(toks)))
+        edges = np.r_[-1, cuts, len(toks)]
+        long = np.flatnonzero(np.diff(edges) > self.least)
+        if not len(long):
+            return ""
+        spans = [m.span() for m in _PIECE.finditer(text)]
+        # the words at both edges stay, and what follows on them, so that a stretch is read as in the text
+        return "\n".join(text[spans[i][0] if i >= 0 else 0 : spans[j][1] + 1 if j < len(toks) else None] for i, j in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
 
     def hashes(self, numbers: np.ndarray, size: int) -> np.ndarray:
         codes = self.codes[numbers]
@@ -91,47 +163,58 @@ class Items:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             for i, code in zip(full[known[at] == h].tolist(), h[known[at] == h].tolist(), strict=True):
                 for k, j in windows[code]:
-                    if toks[i : i + size] == self.items[k][1][j : j + size]:
+                    if toks[i : i + size] == self.items[k][2][j : j + size]:
                         found[k].append((i, j, size))
         return found
 
 
 def matches(text: str, items: Items) -> list[tuple[int, int, int, int]]:
-    """``(item_id, windows, tokens covered, tokens of the item)`` for each item of which a consistent window stands in the text."""
-    toks = template(text)
-    out = []
-    values: list[str] | None = None
-    for k, at in items.hits(toks).items():
-        item_id, item, own = items.items[k]
-        values = slots(text) if values is None else values
-        nth = np.cumsum([0] + [t[0] == "\x01" for t in toks])
-        own_nth = np.cumsum([0] + [t[0] == "\x01" for t in item])
-        by_shift: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for i, j, size in at:
-            by_shift[i - j].append((i, j, size))
-        covered: set[int] = set()
-        windows = 0
-        for near in by_shift.values():
-            there: dict[tuple[str, str], str] = {}
-            back: dict[tuple[str, str], str] = {}
-            for i, j, size in near:
-                mine = own[own_nth[j] : own_nth[j + size]]
-                theirs = values[nth[i] : nth[i + size]]
-                kinds = [t for t in item[j : j + size] if t[0] == "\x01"]
-                if size - len(kinds) < min(LEAST_WORDS, size) and mine != theirs:
-                    continue
-                pairs = list(zip(kinds, mine, theirs, strict=False))
-                if len({(c, a) for c, a, _ in pairs}) != len({(c, a, b) for c, a, b in pairs}) or len({(c, b) for c, _, b in pairs}) != len({(c, a, b) for c, a, b in pairs}):
-                    continue
-                if any(there.get((c, a), b) != b or back.get((c, b), a) != a for c, a, b in pairs):
-                    continue
-                there |= {(c, a): b for c, a, b in pairs}
-                back |= {(c, b): a for c, a, b in pairs}
-                windows += 1
-                covered.update(range(j, j + size))
-        if windows:
-            out.append((item_id, windows, len(covered), len(item)))
-    return sorted(out)
+    """``(item_id, windows, tokens covered, tokens of the item)`` for each item of which a consistent window stands in the text.
+
+    The figures are those of the pair of readings that covers most of the item.
+    """
+    best: dict[int, tuple[float, int, tuple[int, int, int, int]]] = {}
+    text = items.parts(text)
+    for reading, toks in readings(text) if text else []:
+        values: list[str] | None = None
+        for k, at in items.hits(toks).items():
+            item_id, row, item, own = items.items[k]
+            values = slots(text, reading) if values is None else values
+            windows, covered = _agree(at, toks, values, item, own)
+            share = (covered / len(item), windows)
+            if windows and (row not in best or best[row][:2] < share):
+                best[row] = (*share, (item_id, windows, covered, len(item)))
+    return sorted(m for _, _, m in best.values())
+
+
+def _agree(at: list[tuple[int, int, int]], toks: list[str], values: list[str], item: list[str], own: list[str]) -> tuple[int, int]:
+    """Of the windows of :meth:`Items.hits`, how many have consistent values, and the item's tokens in them."""
+    nth = np.cumsum([0] + [t[0] == "\x01" for t in toks])
+    own_nth = np.cumsum([0] + [t[0] == "\x01" for t in item])
+    by_shift: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for i, j, size in at:
+        by_shift[i - j].append((i, j, size))
+    covered: set[int] = set()
+    windows = 0
+    for near in by_shift.values():
+        there: dict[tuple[str, str], str] = {}
+        back: dict[tuple[str, str], str] = {}
+        for i, j, size in near:
+            mine = own[own_nth[j] : own_nth[j + size]]
+            theirs = values[nth[i] : nth[i + size]]
+            kinds = [t for t in item[j : j + size] if t[0] == "\x01"]
+            if size - len(kinds) < min(LEAST_WORDS, size) and mine != theirs:
+                continue
+            pairs = list(zip(kinds, mine, theirs, strict=False))
+            if len({(c, a) for c, a, _ in pairs}) != len({(c, a, b) for c, a, b in pairs}) or len({(c, b) for c, _, b in pairs}) != len({(c, a, b) for c, a, b in pairs}):
+                continue
+            if any(there.get((c, a), b) != b or back.get((c, b), a) != a for c, a, b in pairs):
+                continue
+            there |= {(c, a): b for c, a, b in pairs}
+            back |= {(c, b): a for c, a, b in pairs}
+            windows += 1
+            covered.update(range(j, j + size))
+    return windows, len(covered)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Items]:
