@@ -156,6 +156,23 @@ def test_levels_ship_what_they_hold(spark, tmp_path, clock, sink):
     assert house.current()["depth"].first().value == 7.0
 
 
+def test_a_moved_set_gives_way_to_its_windows_own(spark, tmp_path, clock, sink):
+    v = Level("depth", {"queue": str_()}, resolution="1s", flush="2s", grace="0s", write=sink)
+    rows = [(0, "a", "set", 5.0, 1, False), (0, "a", "set", 9.0, 2, True), (0, "a", "add", 1.0, 3, False)]  # own set, then moved
+    rows += [(0, "b", "add", 2.0, 1, False), (0, "b", "set", 9.0, 2, True)]  # own add, then moved set
+    rows += [(0, "c", "set", 9.0, 1, True), (0, "c", "add", 2.0, 2, False), (0, "d", "set", 9.0, 1, True), (0, "d", "set", 4.0, 2, False)]  # moved first
+    ops = spark.createDataFrame([(b, q, q, m, x, n, late) for b, q, m, x, n, late in rows], "bucket_ms long, dim_key string, queue string, mode string, v double, seq long, moved boolean")
+    assert {r.queue: r.value for r in v.fold(ops).collect()} == {"a": 6.0, "b": 2.0, "c": 11.0, "d": 4.0}
+    house = House(spark, str(tmp_path), [v], now=clock)
+    shape = "ts timestamp_ntz, queue string, value double"
+    house.write("depth", spark.createDataFrame([(at(T0 + 2100), "q", 5.0)], shape))
+    house.flush().raise_if_failed()
+    clock.ms += 100
+    house.write("depth", spark.createDataFrame([(at(clock.ms), "q", 3.0)], shape))
+    house.write("depth", spark.createDataFrame([(at(T0 + 2200), "q", 8.0)], shape))  # late: lands in the open window
+    assert house.current()["depth"].first().value == 3.0
+
+
 def test_registry_and_house_settings(spark, tmp_path, clock, sink):
     c = counter(sink)
     house = House(spark, str(tmp_path), [c], now=clock, flush="10s", grace="1s", delivery="auto")

@@ -56,7 +56,11 @@ class Level(Bucketed):
         """One cell for each window written; windows between are not filled."""
         place, at = ["bucket_ms", *self.series], ["bucket_ms", "dim_key"]
         # with one mode for all writes the other branch is empty, and Catalyst drops it with the join
-        sets = ops.where("mode = 'set'").groupBy(*place).agg(F.max(F.struct("seq", "v")).alias("_last"))
+        sets = ops.where("mode = 'set'")
+        if "moved" in ops.columns:  # a late set that was moved forward gives way to what its window had of its own time
+            first = ops.where("not coalesce(moved, false)").groupBy(*at).agg(F.min("seq").alias("_own"))
+            sets = sets.join(first, at, "left").where("not coalesce(moved and _own < seq, false)")
+        sets = sets.groupBy(*place).agg(F.max(F.struct("seq", "v")).alias("_last"))
         known = sets.select(*at, F.col("_last.seq").alias("_seq"))
         adds = ops.where("mode = 'add'").join(known, at, "left").where("_seq is null or seq > _seq").groupBy(*place).agg(F.sum("v").alias("_moved"))
         adds = adds.select(*[F.col(c).alias(f"_a_{c}") for c in place], "_moved")
