@@ -199,7 +199,8 @@ def test_reparameterised_questions():
     assert matches(f"Well. {ITEM} Yes", items)[0][:1] == (1,)
     assert matches(ITEM.replace("5 km", "81 km").replace("3 hours", "12 hours").upper(), items)[0][0] == 1
     assert matches("that is a short one here, see", items) == [(2, 1, 3, 3)]
-    assert matches("9 8 7 6 5 4 3 2 1 9 8 7 6 5 4 3 2", items) == []
+    assert [m[0] for m in matches("9 8 7 6 5 4 3 2 1 9 8 7 6 5 4 3 2", items)] == [3]  # numbers alone, word for word
+    assert matches("9 8 7 6 5 4 3 2 1 9 8 7 6", items) == [(3, 1, 13, 17)] and matches("9 8 7 6 5 4 3 1 2 9 8 7 6", items) == []
     same = Items([(1, "first 5 apples and then 5 more apples on the table by the old wooden door of the house")])
     assert matches("first 6 apples and then 6 more apples on the table by the old wooden door of the house", same)
     other = matches("first 6 apples and then 7 more apples on the table by the old wooden door of the house", same)
@@ -236,10 +237,76 @@ def test_texts_are_passed_over_only_without_a_match():
         items = Items([(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 6)))) for i in range(3)])
         text = " ".join(rng.choices(vocabulary, k=30))
         found = [m[0] for m in matches(text, items)]
-        items.parts = lambda t: t
+        items.filter.parts = lambda t: t
         assert [m[0] for m in matches(text, items)] == found
 
 
+def test_arithmetic_is_found_word_for_word():
+    sums = "Compute 12 + 7 * 9 - 4 / 3 + 8 - 2 and then 6 + 5 * 3 over 11 plus 9 minus 4"
+    items = Items([(1, "What is 12 times 7?"), (2, sums)])
+    assert [m[0] for m in matches(f"It says 5. {sums}. Good", items)] == [2]
+    assert matches(sums.replace("+", "-"), items) == matches("What is 12 times 8?", items) == []
+
+
+def plain_windows(text):
+    """All windows of all readings, with their values."""
+    from tidemark.llm.decontaminate import readings
+
+    out = []
+    for reading, toks in readings(text):
+        values, at = slots(text, reading), 0
+        own = [(t, (at := at + 1) and values[at - 1]) if t[0] == "\x01" else (t, None) for t in toks]
+        out += [(i, own[i : i + min(13, len(own))]) for i in range(max(0, len(own) - 13) + 1) if own]
+    return out
+
+
+def plain_same(a, b):
+    if [t for t, _ in a] != [t for t, _ in b]:
+        return False
+    if sum(t[0].isalnum() for t, _ in a) < min(7, len(a)):
+        return a == b
+    pairs = {(t, x, y) for (t, x), (_, y) in zip(a, b, strict=True) if t[0] == "\x01"}
+    return len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs})
+
+
+def test_leaks_against_all_windows(spark):
+    rng = random.Random(6)
+    vocabulary = "Tom Ann Bob the a to of has 5 7 9 km 3km + - , . ; which Which is times ate them".split(" ")
+    sentence = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    items = [(i if i % 5 else None, sentence(rng.choice([3, 8, 13, 16, 25]))) for i in range(40)]
+    texts = []
+    for i in range(120):
+        leak = rng.choice(items)[1].split(" ")
+        change = rng.choice([{}, {"5": "8", "Tom": "Sue"}, {"5": "7"}, {"Ann": "Bob"}, {"+": "-"}])
+        texts.append((i, f"{sentence(rng.randint(0, 9))} {' '.join(change.get(w, w) for w in leak)} {sentence(rng.randint(0, 9))}", "x"))
+    want = {d for d, t, _ in texts if any(len(a) == len(b) and plain_same(a, b) for _, i in items for _, a in plain_windows(i) for size in {len(a)} for b in _cut(t, size))}
+    docs = spark.createDataFrame(texts, "doc_id long, text string, th string")
+    found = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == want and 0 < len(want) < 120
+    assert {r.doc_id for r in keep_clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == set(range(120)) - want
+
+
+def _cut(text, size):
+    from tidemark.llm.decontaminate import readings
+
+    for reading, toks in readings(text):
+        values, at = slots(text, reading), 0
+        own = [(t, (at := at + 1) and values[at - 1]) if t[0] == "\x01" else (t, None) for t in toks]
+        for i in range(len(own) - size + 1):
+            yield own[i : i + size]
+
+
+def test_hot_and_odd_rows_of_decontamination(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.HOT_PARTS", 4)
+    docs = [(i, f"note {i}. {ITEM}", 1, 2) for i in range(300)] + [(None, ITEM, 1, 2), (5, "other", 1, 2), (900, "word " * 300_000 + ITEM, 1, 2), (901, "\x01n 5 \x01p", 1, 2)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, _salt int, doc_ID2 int").repartition(3)
+    bench = spark.createDataFrame([(None, ITEM, 0), (3, "\x01u and \x01n", 0), (2, "", 0)], "item_id long, text string, windows int")
+    found = contaminated(docs, bench).collect()
+    assert len(found) == 302 and {r.item_id for r in found} == {None} and {r.windows for r in found} == {found[0].windows}
+    kept = keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text[:5]) for r in kept.collect()) == [(5, "other"), (901, "\x01n 5 ")]
+
+
 def test_leaks_in_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,14 @@ _WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,11 +58,24 @@ def drop_written() -> None:
             return
 
 
+_SHIPPED: set[str] = set()
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    """Let Python workers import this package: from the driver's folder in local mode, else Spark ships it to them."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.master.startswith("local"):
+        env = sc.environment
+        if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), env.get("PYTHONPATH")]))
+    elif sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        with tempfile.TemporaryDirectory() as folder:  # the driver serves its own copy of the file
+            packed = f"{folder}/tidemark-package.zip"
+            with zipfile.ZipFile(packed, "w") as z:
+                for f in sorted((root / "tidemark").rglob("*.py")):
+                    z.write(f, f.relative_to(root))
+            sc.addPyFile(packed)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +88,27 @@ def text_bytes(spark_col) -> F.Column:
     return F.coalesce(spark_col, F.lit("")).cast("binary")
 
 
+#: A key is hot above this share of all rows; fewer keys than this can be.
+HOT_PARTS, SALTS = 1000, 64
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of many ``rows`` with ``keyed``, where any key may hold any share of the rows.
+
+    The first key column's values that more than one row in ``HOT_PARTS`` has, fewer than ``HOT_PARTS`` longs, go to the
+    driver; their rows are dealt over ``SALTS`` tasks, to which the few matching rows of ``keyed`` are copied.
+    """
+    counts = rows.groupBy(on[0]).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("_n") > max(64, total // HOT_PARTS)).select(on[0]).collect() if r[0] is not None]
+    if not hot:
+        return rows.join(keyed, on)
+    is_hot = F.col(on[0]).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_salt", salt).join(keyed.withColumn("_salt", F.explode(copies)), [*on, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of an edge list of longs; root is the smallest node reachable.
 

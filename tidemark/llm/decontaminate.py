@@ -1,8 +1,10 @@
 """Benchmark decontamination by template windows.
 
-Numbers, units and names become typed placeholders, so a question with other values keeps its template.  Windows of a
-document's template are looked up in a hash table of the benchmark's windows; a hit is compared token by token, and the
-values in its placeholders must map one to one onto the item's.
+Numbers, units and names become typed placeholders, so a question with other values keeps its template.  Every window of
+every item has a key: the 128-bit hash of its tokens, in which a placeholder stands with the place of its value among the
+window's different values, so that equal keys mean equal templates whose slots map one to one.  Windows of few words carry the values
+themselves and match verbatim only.  Documents are scanned once, whatever the benchmark's size: bit tables of bounded size
+tell which windows can be the benchmark's, only their keys leave the scan, and one hash join finds the items.
 
 Whether a capitalised word is a name cannot be told where a sentence or an item begins, so items and texts are taken in
 several readings (``READINGS``), and any of an item is looked up in any of a text.
@@ -11,6 +13,7 @@ several readings (``READINGS``), and any of an item is looked up in any of a tex
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import reachable, salted_join, text_bytes, written
 
 WINDOW = 13
 #: Words, not placeholders, from which a window may have other values; with fewer its values must be the item's own.
 LEAST_WORDS = 7
-#: UTF-8 bytes of benchmark text whose windows one scan holds; more items are taken in further scans.
-HELD_BYTES = 2_000_000
+#: Bits (as a power of 2) of each of the two tables that every worker holds: 8 MB at most.
+MOST_BITS = 26
 #: Tokens that a worker remembers.
 REMEMBERED = 200_000
 
@@ -33,7 +37,8 @@ REMEMBERED = 200_000
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|kmh|mph|dollars?|euros?|cents?|percent|degrees?|volts?|watts?|kwh|hz|mb|gb|tb"
 _VALUE = re.compile(rf"\d+(?:[.,:/]\d+)*(%|[ ]?(?:{UNITS})\b)?", re.IGNORECASE)
 _NAME = re.compile(r"[A-ZÀ-ÖØ-Þ](?<=[a-zß-öø-ÿ,;] .)[^\W\d_]*(?: [A-ZÀ-ÖØ-Þ][^\W\d_]*)*")
-_TOKEN = re.compile(r"[^\W_]+|\x01\w")
+#: A word, a placeholder, or the signs between two values.
+_TOKEN = re.compile(r"[^\W_]+|\x01\w|(?<=\x01[nu] )\s*([-+*/^=<>×÷]+)(?=\s*\x01[nu])")
 _CAPITALS = re.compile(r"(?<![^\W_])([A-ZÀ-ÖØ-Þ][^\W\d_]*)((?: [A-ZÀ-ÖØ-Þ][^\W\d_]*)*)")
 #: A number, with its unit, or a word, as they stand in a text.
 _PIECE = re.compile(rf"\d+(?:[.,:/]\d+)*(?:%|[ ]?(?:{UNITS})\b)?|[^\W\d_]+", re.IGNORECASE)
@@ -59,7 +64,7 @@ def template(text: str, reading: str = "inside") -> list[str]:
         at = end
     text = "".join([*parts, text[at:]])
     text = _VALUE.sub(lambda m: " \x01u " if m[1] else " \x01n ", text)
-    return _TOKEN.findall(text.lower())
+    return [m[1] or m[0] for m in _TOKEN.finditer(text.lower())]
 
 
 def slots(text: str, reading: str = "inside") -> list[str]:
@@ -83,56 +88,112 @@ def readings(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-class _Seen(dict):
-    """By token as it is written: whether it is in items or begins with a capital."""
+def signature(toks: list[str], values: list[str]) -> str:
+    """What two windows must agree on: the tokens, and which placeholders of a kind hold equal values.
 
-    def __init__(self, number: dict[str, int]):
-        self.number = number
+    With fewer than ``LEAST_WORDS`` words (or any placeholder in a shorter window) the values themselves.
+    """
+    words = sum(t[0].isalnum() for t in toks)
+    verbatim = words < min(LEAST_WORDS, len(toks))
+    out, at, known = [], 0, {}
+    for t in toks:
+        if t[0] == "\x01":
+            slot = (t, values[at])
+            t += values[at] if verbatim else str(known.setdefault(slot, len(known)))
+            at += 1
+        out.append(t)
+    return ("=" if verbatim else "~") + "\n".join(out)
+
+
+def _key(toks: list[str], values: list[str]) -> tuple[int, int]:
+    return struct.unpack("<qq", xxh3_128_digest(signature(toks, values).encode("utf-8", "surrogatepass")))
+
+
+class Template:
+    """One reading of a text: its tokens, and what stands in its placeholders (found when first asked for)."""
+
+    def __init__(self, text: str, reading: str, toks: list[str]):
+        self.text, self.reading, self.toks = text, reading, toks
+        self.values: list[str] | None = None
+
+    def key(self, i: int, size: int) -> tuple[int, int]:
+        if self.values is None:
+            self.values = slots(self.text, self.reading)
+            self.nth = np.cumsum([0] + [t[0] == "\x01" for t in self.toks])
+        return _key(self.toks[i : i + size], self.values[self.nth[i] : self.nth[i + size]])
+
+
+def code(token: str) -> int:
+    return xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 7) | 1
+
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the tokens of each window, as a signed number."""
+    out = np.zeros(max(0, len(codes) - size + 1), np.uint64)
+    for i in range(size):
+        out = out * np.uint64(6_364_136_223_846_793_005) + codes[i : len(codes) - size + 1 + i]
+    out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ out >> np.uint64(32)).view(np.int64)
+
+
+def item_windows(text: str) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """``(reading, start, size, tokens of the item, words and values in the window, hash, key, key)`` of all windows."""
+    out, text = [], text.replace("\x01", " ")
+    for r, (reading, toks) in enumerate(readings(text)):
+        if not toks:
+            continue
+        own, size = Template(text, reading, toks), min(WINDOW, len(toks))
+        h = window_hashes(np.array([code(t) for t in toks], np.uint64), size).tolist()
+        for j in range(len(h)):
+            pieces = sum(t[0].isalnum() or t[0] == "\x01" for t in toks[j : j + size])
+            out.append((r, j, size, len(toks), pieces, h[j], *own.key(j, size)))
+    return out
 
-    def __missing__(self, token: str) -> bool:
-        if token[0].isdecimal():
-            return True
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = found = token.lower() in self.number or token[0].isupper()
-        return found
 
-    def __reduce__(self):
-        return _Seen, (self.number,)
+class Filter:
+    """Bit tables of the benchmark's words and windows, and the sizes of its windows.
 
+    A set bit is only a hint: what it lets through is decided by the join of keys.
+    """
 
-class Items:
-    """Windows of benchmark items, by hash."""
+    def __init__(self, words: np.ndarray, windows: np.ndarray, sizes: list[int], least: int):
+        self.words, self.windows, self.sizes, self.least = words, windows, sizes, least
+        self.codes: dict[str, int] = {}
+        self.seen: dict[str, bool] = {}
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        # (id, row, tokens, slots): a row for each reading
-        self.items = [(i, n, toks, slots(t, r)) for n, (i, t) in enumerate(rows) for r, toks in readings(t) if toks]
-        self.number: dict[str, int] = {}
-        for _, _, toks, _ in self.items:
-            for t in toks:
-                self.number.setdefault(t, len(self.number) + 1)
-        rng = np.random.default_rng(7)
-        self.codes = np.r_[np.zeros(1, np.uint64), rng.integers(1, 1 << 63, len(self.number), dtype=np.uint64)]
-        self.by_size: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, _, toks, _) in enumerate(self.items):
-            size = min(WINDOW, len(toks))
-            codes = np.array([self.number[t] for t in toks])
-            words = np.array([t[0] != "\x01" for t in toks])
-            for j, h in enumerate(self.hashes(codes, size).tolist()):
-                if words[j : j + size].any():
-                    at[size][h].append((k, j))
-        for size, windows in at.items():
-            self.by_size[size] = (np.sort(np.fromiter(windows, np.uint64, len(windows))), dict(windows))
-        self.least = min(self.by_size, default=0)
-        self.seen = _Seen(self.number)
+    def __reduce__(self):
+        return Filter, (self.words, self.windows, self.sizes, self.least)
+
+    def code(self, token: str) -> int:
+        """0 for a token that is in no item."""
+        found = self.codes.get(token)
+        if found is None:
+            if len(self.codes) >= REMEMBERED:
+                self.codes.clear()
+            found = code(token)
+            at = found % (8 * len(self.words))
+            self.codes[token] = found = found if self.words[at >> 3] >> (at & 7) & 1 else 0
+        return found
+
+    def may(self, token: str) -> bool:
+        """Whether a piece of a text may be part of a window: it is in items, a number or perhaps a name."""
+        found = self.seen.get(token)
+        if found is None:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[token] = found = token[0].isdecimal() or token[0].isupper() or self.code(token.lower()) > 0
+        return found
 
     def parts(self, text: str) -> str:
         """The text without stretches in which no reading has a window of tokens that are in items or may be names."""
-        if not self.least or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
-            return text if self.least else ""
+        if not self.sizes or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
+            return text.replace("\x01", " ") if self.sizes else ""
         toks = _PIECE.findall(text)
-        cuts = np.flatnonzero(~np.fromiter(map(self.seen.__getitem__, toks), bool, len(toks)))
+        get = self.seen.get
+        known = [get(t) for t in toks]
+        if None in known:
+            known = list(map(self.may, toks))
+        cuts = np.flatnonzero(~np.array(known, bool))
         edges = np.r_[-1, cuts, len(toks)]
         long = np.flatnonzero(np.diff(edges) > self.least)
         if not len(long):
@@ -141,125 +202,148 @@ class Items:
         # the words at both edges stay, and what follows on them, so that a stretch is read as in the text
         return "\n".join(text[spans[i][0] if i >= 0 else 0 : spans[j][1] + 1 if j < len(toks) else None] for i, j in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
 
-    def hashes(self, numbers: np.ndarray, size: int) -> np.ndarray:
-        codes = self.codes[numbers]
-        out = np.zeros(max(0, len(codes) - size + 1), np.uint64)
-        for i in range(size):
-            out = out * np.uint64(6_364_136_223_846_793_005) + codes[i : len(codes) - size + 1 + i]
-        return out
-
-    def hits(self, toks: list[str]) -> dict[int, list[tuple[int, int, int]]]:
-        """By item: start in the document, start in the item, size of each window that agrees."""
-        numbers = np.array(list(map(self.number.get, toks, [0] * len(toks))), np.int64)
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for size, (known, windows) in self.by_size.items():
-            if len(numbers) < size:
-                continue
-            absent = np.r_[0, np.cumsum(numbers == 0)]
-            full = np.flatnonzero(absent[size:] == absent[:-size])
-            if not len(full):
-                continue
-            h = self.hashes(numbers, size)[full]
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for i, code in zip(full[known[at] == h].tolist(), h[known[at] == h].tolist(), strict=True):
-                for k, j in windows[code]:
-                    if toks[i : i + size] == self.items[k][2][j : j + size]:
-                        found[k].append((i, j, size))
+    def keys(self, text: str) -> set[tuple[int, int]]:
+        """Keys of all windows of the text that may be the benchmark's."""
+        found: set[tuple[int, int]] = set()
+        text = self.parts(text)
+        for reading, toks in readings(text) if text else []:
+            codes = np.array(list(map(self.code, toks)), np.uint64)
+            absent = np.r_[0, np.cumsum(codes == 0)]
+            own = Template(text, reading, toks)
+            for size in self.sizes:
+                if len(toks) < size:
+                    continue
+                full = np.flatnonzero(absent[size:] == absent[:-size])
+                if len(full):
+                    at = window_hashes(codes, size)[full] & (8 * len(self.windows) - 1)
+                    full = full[self.windows[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
+                    found.update(own.key(i, size) for i in full.tolist())
         return found
 
 
+def _bits(values: int) -> int:
+    return 1 << min(MOST_BITS, max(12, (32 * values).bit_length()))
+
+
+def _bit_table(values: np.ndarray) -> np.ndarray:
+    n = _bits(len(values))
+    out = np.zeros(n // 8, np.uint8)
+    at = values.view(np.uint64) & np.uint64(n - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return out
+
+
+def _bit_table_of(values: DataFrame, column: str) -> np.ndarray:
+    """The same from a DataFrame: bits are joined on the cluster, at most ``2**MOST_BITS / 64`` numbers come to the driver."""
+    n = _bits(values.select(F.approx_count_distinct(column)).first()[0])
+    at = F.col(column).bitwiseAND(F.lit(n - 1))
+    found = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
+    out = np.zeros(n // 64, "<i8")
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    return out.view(np.uint8)
+
+
+class Items:
+    """A few items in memory, joined as :func:`contaminated` joins tables; for single texts."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.windows: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        every = [(i, w) for i, t in rows for w in item_windows(t)]
+        for i, (r, j, size, n, _, _, *key) in every:
+            self.windows[tuple(key)].append((i, r, j, size, n))
+        words = np.array([code(t) for _, t in rows for _, toks in readings(t) for t in toks] or [0], np.uint64)
+        hashes = np.array([w[5] for _, w in every] or [0], np.int64)
+        self.filter = Filter(_bit_table(words), _bit_table(hashes), sorted({w[2] for _, w in every}), min((w[4] for _, w in every), default=0))
+
+
 def matches(text: str, items: Items) -> list[tuple[int, int, int, int]]:
-    """``(item_id, windows, tokens covered, tokens of the item)`` for each item of which a consistent window stands in the text.
+    """``(item_id, windows, tokens covered, tokens of the item)`` for each item of which a window stands in the text.
 
-    The figures are those of the pair of readings that covers most of the item.
+    The figures are those of the item's reading that is covered best.
     """
-    best: dict[int, tuple[float, int, tuple[int, int, int, int]]] = {}
-    text = items.parts(text)
-    for reading, toks in readings(text) if text else []:
-        values: list[str] | None = None
-        for k, at in items.hits(toks).items():
-            item_id, row, item, own = items.items[k]
-            values = slots(text, reading) if values is None else values
-            windows, covered = _agree(at, toks, values, item, own)
-            share = (covered / len(item), windows)
-            if windows and (row not in best or best[row][:2] < share):
-                best[row] = (*share, (item_id, windows, covered, len(item)))
-    return sorted(m for _, _, m in best.values())
-
-
-def _agree(at: list[tuple[int, int, int]], toks: list[str], values: list[str], item: list[str], own: list[str]) -> tuple[int, int]:
-    """Of the windows of :meth:`Items.hits`, how many have consistent values, and the item's tokens in them."""
-    nth = np.cumsum([0] + [t[0] == "\x01" for t in toks])
-    own_nth = np.cumsum([0] + [t[0] == "\x01" for t in item])
-    by_shift: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for i, j, size in at:
-        by_shift[i - j].append((i, j, size))
-    covered: set[int] = set()
-    windows = 0
-    for near in by_shift.values():
-        there: dict[tuple[str, str], str] = {}
-        back: dict[tuple[str, str], str] = {}
-        for i, j, size in near:
-            mine = own[own_nth[j] : own_nth[j + size]]
-            theirs = values[nth[i] : nth[i + size]]
-            kinds = [t for t in item[j : j + size] if t[0] == "\x01"]
-            if size - len(kinds) < min(LEAST_WORDS, size) and mine != theirs:
-                continue
-            pairs = list(zip(kinds, mine, theirs, strict=False))
-            if len({(c, a) for c, a, _ in pairs}) != len({(c, a, b) for c, a, b in pairs}) or len({(c, b) for c, _, b in pairs}) != len({(c, a, b) for c, a, b in pairs}):
-                continue
-            if any(there.get((c, a), b) != b or back.get((c, b), a) != a for c, a, b in pairs):
-                continue
-            there |= {(c, a): b for c, a, b in pairs}
-            back |= {(c, b): a for c, a, b in pairs}
-            windows += 1
-            covered.update(range(j, j + size))
-    return windows, len(covered)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Items]:
-    """The benchmark in blocks of at most about ``HELD_BYTES``, each collected by itself."""
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
-    held = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-held // HELD_BYTES)
-    return [Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).orderBy("i", "t").collect()]) for b in range(n)]
-
-
-def _matched(items: Items):
+    at: dict[tuple[int, int, int], set[tuple[int, int]]] = defaultdict(set)
+    for key in items.filter.keys(text):
+        for i, r, j, size, n in items.windows.get(key, ()):
+            at[i, r, n].add((j, size))
+    best: dict[int, tuple[float, int, int, int]] = {}
+    for (i, _, n), spans in at.items():
+        covered = len({x for j, size in spans for x in range(j, j + size)})
+        best[i] = max(best.get(i, (0.0, 0, 0, 0)), (covered / n, len(spans), covered, n))
+    return sorted((i, *b[1:]) for i, b in best.items())
+
+
+_WINDOWS = "r int, j int, size int, n int, pieces int, h long, k1 long, k2 long"
+_ITEM = pa.schema(
+    [("item_id", pa.int64()), ("cls", pa.binary()), ("words", pa.list_(pa.int64())),
+     ("windows", pa.list_(pa.struct([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in _WINDOWS.split(", ")])))]
+)
+
+
+def _itemised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+    for batch in batches:
+        rows = []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            windows = item_windows(t)
+            if windows:
+                words = {code(x) for _, toks in readings(t) for x in toks}
+                rows.append({"item_id": i, "cls": xxh3_128_digest(repr(windows)), "words": np.array(sorted(words), np.uint64).view(np.int64), "windows": [dict(zip(names, w, strict=True)) for w in windows]})
+        yield pa.RecordBatch.from_pylist(rows, _ITEM)
+
+
+def _keyed(held: Filter):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *m) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in matches(t.as_py().decode("utf-8", "replace"), items)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_MATCH.names, r, strict=True)) for r in rows], _MATCH)
+            keys = [sorted(held.keys(t.as_py().decode("utf-8", "replace"))) for t in batch.column(3)]
+            row = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
+            flat = np.array([k for ks in keys for k in ks], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(row)) for i in range(3)], pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["row", "doc_id", "th", "k1", "k2"])
 
     return over
 
 
-_MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int32()), ("covered", pa.int32()), ("item_tokens", pa.int32())])
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """``(row, doc_id, th, item_id, items, windows, covered, item_tokens)``; th: a hash of the text.  None without items."""
+    reachable(docs.sparkSession)
+    own = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).distinct()
+    items = own.mapInArrow(_itemised, f"item_id long, cls binary, words array<long>, windows array<struct<{_WINDOWS}>>")
+    # items with all windows in common are one
+    items = written(items.groupBy("cls").agg(F.min("item_id").alias("item_id"), F.count("*").alias("items"), F.first("words").alias("words"), F.first("windows").alias("windows")))
+    windows = items.select("cls", "item_id", "items", F.explode("windows").alias("w")).select("cls", "item_id", "items", "w.*")
+    shape = windows.agg(F.collect_set("size"), F.min("pieces")).first()
+    if shape[1] is None:
+        return None
+    held = Filter(_bit_table_of(items.select(F.explode("words").alias("x")), "x"), _bit_table_of(windows, "h"), sorted(shape[0]), shape[1])
+    held = docs.sparkSession.sparkContext.broadcast(held)
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), text_bytes(F.col(text_col)).alias("t"))
+    keys = written(slim.mapInArrow(lambda batches: _keyed(held.value)(batches), "row long, doc_id long, th long, k1 long, k2 long"))
+    joined = salted_join(keys, windows.select("cls", "item_id", "items", "r", "j", "size", "n", "k1", "k2"), ["k1", "k2"])
+    each = joined.groupBy("row", "doc_id", "th", "cls", "r").agg(F.first("item_id").alias("item_id"), F.first("items").alias("items"), F.first("size").alias("size"), F.first("n").alias("n"), F.sort_array(F.collect_set("j")).alias("js"))
+    gaps = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("js") - 1), lambda k: F.least(F.col("size"), F.get("js", k) - F.get("js", k - 1))), F.lit(0), lambda a, x: a + x)
+    covered = F.col("size") + F.when(F.size("js") > 1, gaps).otherwise(0)
+    each = each.select("row", "doc_id", "th", "cls", "item_id", "items", F.struct((covered / F.col("n")).alias("share"), F.size("js").alias("windows"), covered.alias("covered"), F.col("n").alias("item_tokens")).alias("best"))
+    best = each.groupBy("row", "doc_id", "th", "cls").agg(F.first("item_id").alias("item_id"), F.first("items").alias("items"), F.max("best").alias("best"))
+    return best.select("row", "doc_id", "th", "item_id", "items", "best.windows", "best.covered", "best.item_tokens")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, item_id, windows, covered, item_tokens)`` for each document that holds part of an item.
+    """``(doc_id, item_id, items, windows, covered, item_tokens)`` for each document that holds part of an item.
 
-    Items shorter than a window count as one window.  Windows of fewer than ``LEAST_WORDS`` words match verbatim only,
-    those without any word never.  Null or empty texts and items never match; repeated rows give
-    repeated rows; an empty table on either side gives none.  Other columns are not read.
+    Items shorter than a window count as one window.  Windows of fewer than ``LEAST_WORDS`` words match verbatim only.
+    Items with all windows in common are one, named by the smallest id (null ids are taken too, and name it only if all
+    are null); ``items`` counts the different rows.  Null or empty texts and items never match.  Repeated rows give repeated
+    rows; of equally covered readings the one with more windows counts; an empty table on either side gives none.  Long
+    texts are read whole.  Other columns are not read.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
-    shape = "doc_id long, item_id long, windows int, covered int, item_tokens int"
-    found = docs.sparkSession.createDataFrame([], shape)
-    for items in _blocks(benchmark, "item_id", "text"):
-        found = found.unionByName(slim.mapInArrow(_matched(items), shape))
-    return found
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without rows that :func:`contaminated` would name."""
-    place = docs.columns.index("text")
-    for items in _blocks(benchmark, "item_id", "text"):
-
-        def over(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not matches(t or "", items) for t in batch.column(place).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(over, docs.schema)
-    return docs
+    shape = "doc_id long, item_id long, items long, windows int, covered int, item_tokens int"
+    found = _found(docs, benchmark, id_col, text_col)
+    return docs.sparkSession.createDataFrame([], shape) if found is None else found.drop("row", "th")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without rows that :func:`contaminated` would name; rows of one id are judged each by its text."""
+    found = _found(docs, benchmark, id_col, text_col)
+    if found is None:
+        return docs
+    gone = written(found.select("doc_id", "th").distinct())
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["th"]), "left_anti")
