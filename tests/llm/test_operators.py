@@ -34,16 +34,51 @@ def test_line_dedup_keeps_the_first_chunk(spark):
     got = {r.doc_id: r for r in dedup_lines(docs).collect()}
     assert got[0].text == texts[0] and got[0]._cut_lines == 0
     for i in (1, 2, 3):
-        kept = got[i].text.split("\n")
-        assert got[i]._lines == len(texts[i].split("\n")) == len(kept) + got[i]._cut_lines
-        assert got[i]._cut_lines >= 25 and kept[:1] == texts[i].split("\n")[:1]
+        own = texts[i].split("\n")
+        assert (got[i]._lines, got[i]._cut_lines) == (len(own), 40) and got[i].text.split("\n") == own[:i] + own[-1:]
     assert (got[10].text, got[10]._lines, got[11].text, got[12].text, got[13].text) == (None, 0, "", "one line", "one line")
-    assert got[None].text == texts[0]
-    assert got[14]._cut_lines >= 35
+    assert (got[None].text, got[None]._cut_lines) == (got[14].text, got[14]._cut_lines) == ("", 41)
     assert dedup_lines(docs.limit(0)).count() == 0
     assert set(keep_new_lines(docs).columns) == {"doc_id", "text", "gone", "n_chars"}
 
 
+def plain_dedup(rows):
+    """Texts after the cut, of rows in order."""
+    seen, out = set(), []
+    for t in rows:
+        lines = [] if t is None else t.split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            w = (lines[i], lines[i + 1])
+            if w in seen:
+                gone |= {i, i + 1}
+            if any(w):
+                seen.add(w)
+        out.append((None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_line_dedup_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.HOT_PARTS", 8)
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choices(["", "a", "b", "c c", "d", "é", "hot\nnotice"], weights=[2, 1, 1, 1, 1, 1, 3], k=rng.randint(0, 12))) for _ in range(150)]
+    texts += ["same\n" * 40, None, "", "x\n" * 3 + "y", "\n\n\n", "\n".join(f"l{i % 70_000}" for i in range(100_000))]
+    rows = [(i, t, 1, "q", None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cut_lines int, _row string, `_key` int").repartition(5)
+    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    assert [(got[i].text, got[i]._cut_lines) for i in range(len(texts))] == plain_dedup(texts)
+    kept = keep_new_lines(docs)
+    assert kept.columns == docs.columns and {r._row for r in kept.collect()} == {"q"}
+
+
+def test_line_dedup_cuts_by_row(spark):
+    line = iter(f"line {i}" for i in range(1000))
+    a, b = ("\n".join(next(line) for _ in range(40)) for _ in "ab")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (None, b + "\nmore"), (None, "more"), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text or "", r._cut_lines) for r in dedup_lines(docs).collect())
+    assert got == sorted([("1", a, 0), ("5", "", 40), ("5", b, 0), ("None", "more", 40), ("None", "more", 0), ("None", "", 0)])
+
+
 # ---- 3: shards ----
 
 

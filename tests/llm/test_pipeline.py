@@ -1,9 +1,9 @@
 """The whole pipeline against a plain version, on the smallest tables."""
 
-from hashlib import md5
 from zlib import crc32
 
 import numpy as np
+from test_operators import plain_dedup
 from test_simhash import plain_components
 
 import corpus_pipeline as p
@@ -13,32 +13,9 @@ from tidemark.llm.packing import default_path, tokenizer
 SF = "/root/testdata/sf0.001"
 
 
-def plain_chunks(text):
-    lines = text.split("\n")
-    h = [int(md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    out, now = [], []
-    for i, line in enumerate(lines):
-        now.append(line)
-        if (h[i] + 31 * (h[i - 1] if i else 0)) % 4 == 0:
-            out.append(now)
-            now = []
-    return [*out, now] if now else out
-
-
 def plain_lines(rows):
-    seen, out = set(), []
-    for i, t in sorted(rows):
-        kept = []
-        for chunk in plain_chunks(t):
-            body = "\n".join(chunk)
-            if len(chunk) < 2 or body not in seen:
-                kept.append(body)
-            if len(chunk) >= 2:
-                seen.add(body)
-        text = "\n".join(kept)
-        if text or not t:
-            out.append((i, text))
-    return out
+    rows = sorted(rows)
+    return [(i, kept) for (i, t), (kept, cut) in zip(rows, plain_dedup([t for _, t in rows]), strict=True) if kept or not cut]
 
 
 def plain_windows(text):

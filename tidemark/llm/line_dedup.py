@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks, on DataFrame operations alone.
 
-Every line has a hash; a rolling hash over the last lines' hashes cuts the text into chunks, so that cuts move with the
-lines around them.  Hashes of multi-line chunks are counted over all documents; only chunks whose hash repeats are then
-compared byte by byte, and of equal ones all but the first are removed.
+A rolling hash over the hashes of ``ROLLED`` lines is taken at every line.  Windows whose hash repeats anywhere are compared
+byte by byte with the first of their kind; touching windows that stood earlier make up a chunk, which is removed.  So a
+chunk's boundaries are where repeated content begins and ends: they move with the lines around them, and no head or tail of
+a repeated passage stays, as it does where texts are cut at chosen hashes first and whole chunks are compared.
 """
 
 from __future__ import annotations
@@ -10,129 +11,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import salted_join, written
 
-#: A chunk ends where the rolling hash over this many lines is 0 modulo the divisor; lines a chunk must have to be removed.
-ROLLED, DIVISOR, LEAST_LINES = 2, 4, 2
-_BASE = 31
+#: Lines of the rolling hash, the fewest that a chunk has.
+ROLLED = 2
 
 
-def _chunks(text: Column) -> Column:
-    """Array of ``(k, lines, body)``: the chunks of a text in order."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
-    with_hashes = F.struct(lines.alias("l"), hashes.alias("h"))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def cut(p: Column) -> Column:
-        # lines after which a chunk ends, counted from 1; the last line always
-        ends = F.filter(
-            F.sequence(F.lit(1), F.size(p["l"])),
-            lambda i: (i == F.size(p["l"]))
-            | ((sum((F.when(i > d, F.get(p["h"], i - 1 - d)).otherwise(F.lit(0)) * _BASE**d for d in range(ROLLED)), F.lit(0)) % DIVISOR) == 0),
-        )
-        return F.transform(F.array(F.struct(ends.alias("e"), p["l"].alias("l"))), pieces)[0]
 
-    def pieces(q: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(q["e"])),
-            lambda k: F.struct(
-                k.alias("k"),
-                (F.get(q["e"], k - 1) - F.when(k > 1, F.get(q["e"], k - 2)).otherwise(0)).alias("lines"),
-                F.array_join(
-                    F.slice(q["l"], F.when(k > 1, F.get(q["e"], k - 2)).otherwise(0) + 1, F.get(q["e"], k - 1) - F.when(k > 1, F.get(q["e"], k - 2)).otherwise(0)),
-                    "\n",
-                ).alias("body"),
-            ),
-        )
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    return F.transform(F.array(with_hashes), cut)[0]
 
+def _windows(text: Column) -> Column:
+    """Array of ``(i, h, g)``: the first line of each window and two hashes of it.  Windows of empty lines are left out."""
 
-def _key(c: Column) -> Column:
-    """An id as a join key that is never null, so that no filter is inferred which would set plans apart."""
-    return F.coalesce(c.cast("string"), F.lit(""))
+    def hashed(lines: Column) -> Column:
+        one, two = F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, lambda x: F.shiftleft(F.hash(x).cast("long"), 32) + F.crc32(x.cast("binary")))
+        return _bound(F.struct(lines.alias("l"), one.alias("h"), two.alias("g")), rolled)
 
+    def rolled(p: Column) -> Column:
+        at = F.when(F.size(p["l"]) >= ROLLED, F.sequence(F.lit(0), F.size(p["l"]) - ROLLED)).otherwise(F.array().cast("array<int>"))
+        said = lambda i: sum((F.length(F.get(p["l"], i + d)) for d in range(ROLLED)), F.lit(0)) > 0
+        both = lambda i, a: F.xxhash64(*[F.get(p[a], i + d) for d in range(ROLLED)])
+        return F.transform(F.filter(at, said), lambda i: F.struct(i.alias("i"), both(i, "h").alias("h"), both(i, "g").alias("g")))
 
-def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """``(_key, _row)``: all columns of a row in one value, to be read by :func:`_row`.
+    return _bound(_lines(text), hashed)
 
-    Column pruning leaves that value whole, so all joins with the documents read one exchange: texts are shuffled once.
-    """
-    return docs.select(_key(docs[id_col]).alias("_key"), F.array(F.struct(*docs.columns)).alias("_row"))
+
+def _body(lines: Column, i: Column) -> Column:
+    return F.concat_ws("\n", *[F.get(lines, i + d) for d in range(ROLLED)])
+
+
+def _kept(lines: Column, gone: Column) -> Column:
+    """``(text, cut)``: the lines without windows that start at ``gone`` (sorted), and how many were cut.  Linear in both."""
+
+    def runs(p: Column) -> Column:
+        g = p["g"]
+        first = F.filter(g, lambda x, k: (k == 0) | (x > F.get(g, k - 1) + ROLLED))
+        last = F.filter(g, lambda x, k: (k == F.size(g) - 1) | (F.get(g, k + 1) > x + ROLLED))
+        return _bound(F.struct(p["l"].alias("l"), first.alias("a"), F.transform(last, lambda x: x + ROLLED).alias("b")), joined)
+
+    def joined(p: Column) -> Column:
+        begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(p["b"], k - 1))
+        end = lambda k: F.when(k == F.size(p["a"]), F.size(p["l"])).otherwise(F.get(p["a"], k))
+        between = F.filter(F.sequence(F.lit(0), F.size(p["a"])), lambda k: end(k) > begin(k))
+        parts = F.transform(between, lambda k: F.array_join(F.slice(p["l"], begin(k) + 1, end(k) - begin(k)), "\n"))
+        cut = F.aggregate(p["b"], F.lit(0), lambda s, x: s + x) - F.aggregate(p["a"], F.lit(0), lambda s, x: s + x)
+        return F.struct(F.array_join(parts, "\n").alias("text"), cut.alias("cut"))
+
+    return _bound(F.struct(lines.alias("l"), gone.alias("g")), runs)
 
 
 def _row() -> Column:
+    """All columns of a row in one value, which column pruning leaves whole: both joins read one exchange of the texts."""
     return F.get(F.reverse("_row"), F.lit(0))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_of, gone array<int>)``: for each document with repeated multi-line chunks, the numbers of those to remove."""
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    many = lambda text: F.filter(_chunks(text), lambda c: c["lines"] >= LEAST_LINES)
-    slim = own.where((F.instr("_text", "\n") > 0) & F.col("_id").isNotNull())
-    slim = written(slim.select("_id", F.explode(F.transform(many(F.col("_text")), lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["body"]).alias("h")))).alias("c")).select("_id", "c.*"))
-    repeated = slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    asked = slim.join(repeated, "h", "left_semi").groupBy(_key(F.col("_id")).alias("_of")).agg(F.collect_set("k").alias("ks"))
-    texts = _keyed(docs, id_col).join(asked, F.col("_key") == F.col("_of"), "left")
-    found = F.when(F.col("ks").isNotNull() & _row()[id_col].isNotNull(), F.filter(many(_row()[text_col]), lambda c: F.array_contains("ks", c["k"])))
-    texts = texts.select(_row()[id_col].alias("_id"), F.explode_outer(found).alias("c")).where("c is not null")
-    texts = texts.select("_id", F.col("c.k").alias("k"), F.col("c.body").alias("body"))
-    first = texts.groupBy("body").agg(F.min(F.struct("_id", "k")).alias("first"))
-    later = texts.join(first, "body").where(F.struct("_id", "k") != F.col("first"))
-    return later.groupBy(_key(F.col("_id")).alias("_of")).agg(F.collect_set("k").alias("gone"))
+def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_row, _text, _n, _gone)``: each row, its text without repeated chunks, its lines, and how many of them were cut."""
+    base = written(docs.select(F.array(F.struct(*docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_key")))
+    text = _row()[text_col]
+    own = base.select("_key", _row()[id_col].alias("_id"), text.alias("_text")).where(F.instr("_text", "\n") > 0)
+    place = ["_last", "_id", "_th", "_key"]
+    own = own.select(F.col("_id").isNull().alias("_last"), "_id", F.xxhash64("_text").alias("_th"), "_key", F.explode(_windows(F.col("_text"))).alias("w"))
+    slim = written(own.select(*place, "w.i", "w.h", "w.g"))
+    first = slim.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*place, "i")).alias("f")).where("n > 1").select("h", "g", F.col("f._key").alias("_at"), F.col("f.i").alias("_i"))
+    first = written(first)
+    asked = first.groupBy("_at").agg(F.collect_list(F.struct("_i", "h", "g")).alias("asked"))
+    bodies = base.join(asked, F.col("_key") == F.col("_at"), "left")
+    read = F.when(F.col("asked").isNotNull(), _bound(_lines(_row()[text_col]), lambda lines: F.transform("asked", lambda a: F.struct(a["h"].alias("h"), a["g"].alias("g"), a["_i"].alias("_i"), _body(lines, a["_i"]).alias("body")))))
+    bodies = bodies.select(F.col("_key").alias("_at"), F.explode_outer(read).alias("r")).where("r is not null").select("_at", "r.*")
+    later = salted_join(slim.select("_key", "i", "h", "g"), bodies, ["h", "g"]).where("_key != _at or i != _i")
+    later = later.groupBy(F.col("_key").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("i", "body"))).alias("later"))
+    out = base.join(later, F.col("_key") == F.col("_of"), "left")
+
+    def cut(lines: Column) -> Column:
+        return _kept(lines, F.transform(F.filter("later", lambda w: _body(lines, w["i"]) == w["body"]), lambda w: w["i"]))
+
+    found = out.withColumn("_done", F.when(F.col("later").isNotNull(), _bound(_lines(text), cut)))
+    return found.select(
+        _row().alias("_row"),
+        F.coalesce("_done.text", text).alias("_text"),
+        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).alias("_n"),
+        F.coalesce("_done.cut", F.lit(0)).alias("_gone"),
+    )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated multi-line chunks cut from the text, and columns ``_lines``, ``_cut_lines`` (counts).
 
-    Of equal chunks the one of the smallest id, then of the earliest place, stays.  Null and empty texts and texts of one
-    line stay as they are (a null text has 0 lines), as do rows without an id, which others are not compared with.  Rows
-    that repeat an id are one place and are cut alike.  A text of which nothing stays becomes empty.
+    A line goes if it is in a window of ``ROLLED`` lines that also starts earlier: in a row of smaller id, or before it in
+    the same row.  Rows are rows, whatever their ids: those of one id come in an order of their own (by a hash of the text,
+    so that it does not depend on the files), those without an id after all others, and all are compared.  Null and empty
+    texts and texts of one line stay as they are (a null text has 0 lines), and so do windows of empty lines.  A text of
+    which nothing stays becomes empty.  Very long texts take time in proportion to their lines.  Columns of ``docs`` that
+    have the names of the two counts are replaced; an empty table gives no rows.
     """
-    gone = removals(docs, id_col, text_col).select("_of", F.col("gone").alias("_gone"))
-    out = _keyed(docs, id_col).join(gone, F.col("_key") == F.col("_of"), "left")
-    row = _row()
-    text = row[text_col]
-    chunks = _chunks(text)
-    kept = F.filter(chunks, lambda c: ~F.array_contains("_gone", c["k"]))
-    cut = F.aggregate(F.filter(chunks, lambda c: F.array_contains("_gone", c["k"])), F.lit(0), lambda a, c: a + c["lines"])
-    hit = F.col("_gone").isNotNull() & row[id_col].isNotNull()
-    return out.select(
-        *[(row[c] if c != text_col else F.when(hit, F.array_join(F.transform(kept, lambda c: c["body"]), "\n")).otherwise(text)).alias(c) for c in docs.columns],
-        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).alias("_lines"),
-        F.when(hit, cut).otherwise(F.lit(0)).alias("_cut_lines"),
-    )
+    columns = [c for c in docs.columns if c not in ("_lines", "_cut_lines")]
+    return _cut(docs, id_col, text_col).select(*[(F.col("_text") if c == text_col else F.col("_row")[c]).alias(c) for c in columns], F.col("_n").alias("_lines"), F.col("_gone").alias("_cut_lines"))
 
 
-def keep_new_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut; rows of which nothing is left go.  A column ``n_chars`` follows the text."""
-    out = dedup_lines(docs).where((F.col("_cut_lines") == 0) | (F.col("text") != ""))
-    if "n_chars" in docs.columns:
-        now = F.when(F.col("_cut_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", now.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def keep_new_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated chunks cut as by :func:`dedup_lines`; rows of which nothing is left go.
+
+    A column ``n_chars`` follows the text where it was cut; all other columns, whatever their names, stay as they are.
+    """
+    out = _cut(docs, id_col, text_col).where((F.col("_gone") == 0) | (F.col("_text") != ""))
+    columns = {c: F.col("_row")[c] for c in docs.columns} | {text_col: F.col("_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_gone") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[c.alias(name) for name, c in columns.items()])
 
 
 ORACLE_SQL = """
 WITH lines AS (
     SELECT doc_id, i, string_split(text, chr(10))[i] AS line
     FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
-), hashed AS (
-    SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines
-), rolled AS (
-    SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS ends FROM hashed
-), numbered AS (
-    SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rolled
-), chunks AS (
-    SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, k
+), windows AS (
+    SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM lines
 ), marked AS (
-    SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body ORDER BY n < 2, doc_id, k) > 1 AS gone FROM chunks
+    SELECT *, after IS NOT NULL AND (line <> '' OR after <> '') AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS again FROM windows
 ), cut AS (
-    SELECT doc_id, sum(n) AS lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS cut_lines,
-           coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
-    FROM marked GROUP BY doc_id
+    SELECT *, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS gone FROM marked
+), kept AS (
+    SELECT doc_id, count(*) AS lines, count(*) FILTER (gone) AS cut_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+    FROM cut GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(coalesce(c.lines, 0) AS BIGINT) AS lines, CAST(coalesce(c.cut_lines, 0) AS BIGINT) AS cut_lines,
-       CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text
-FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
+SELECT d.doc_id, CAST(coalesce(k.lines, 0) AS BIGINT) AS lines, CAST(coalesce(k.cut_lines, 0) AS BIGINT) AS cut_lines,
+       CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
