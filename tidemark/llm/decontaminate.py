@@ -16,6 +16,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ WINDOW = 13
 LEAST_WORDS = 7
 #: Bits (as a power of 2) of each of the two tables that every worker holds: 8 MB at most.
 MOST_BITS = 26
-#: Tokens that a worker remembers.
-REMEMBERED = 200_000
+#: Words and tokens that a worker remembers.
+REMEMBERED = 300_000
 
 # Units that make a quantity with the number before them.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|pounds?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|kmh|mph|dollars?|euros?|cents?|percent|degrees?|volts?|watts?|kwh|hz|mb|gb|tb"
@@ -42,6 +43,8 @@ _TOKEN = re.compile(r"[^\W_]+|\x01\w|(?<=\x01[nu] )\s*([-+*/^=<>×÷]+)(?=\s*\x0
 _CAPITALS = re.compile(r"(?<![^\W_])([A-ZÀ-ÖØ-Þ][^\W\d_]*)((?: [A-ZÀ-ÖØ-Þ][^\W\d_]*)*)")
 #: A number, with its unit, or a word, as they stand in a text.
 _PIECE = re.compile(rf"\d+(?:[.,:/]\d+)*(?:%|[ ]?(?:{UNITS})\b)?|[^\W\d_]+", re.IGNORECASE)
+_WORD = re.compile(r"\S+")
+_UNIT = re.compile(UNITS, re.IGNORECASE)
 #: Names are: capitalised words after a small letter, comma or semicolon; none; all runs of capitalised words; those without
 #: their first word, which may only open a sentence.
 READINGS = ("inside", "none", "all", "tails")
@@ -156,13 +159,13 @@ class Filter:
     A set bit is only a hint: what it lets through is decided by the join of keys.
     """
 
-    def __init__(self, words: np.ndarray, windows: np.ndarray, sizes: list[int], least: int):
-        self.words, self.windows, self.sizes, self.least = words, windows, sizes, least
+    def __init__(self, words: np.ndarray, windows: np.ndarray, sizes: list[int], least: int, name: str | None = None):
+        self.words, self.windows, self.sizes, self.least, self.name = words, windows, sizes, least, name or uuid4().hex
         self.codes: dict[str, int] = {}
-        self.seen: dict[str, bool] = {}
+        self.seen: dict[str, int] = {}
 
     def __reduce__(self):
-        return Filter, (self.words, self.windows, self.sizes, self.least)
+        return _restored, (self.words, self.windows, self.sizes, self.least, self.name)
 
     def code(self, token: str) -> int:
         """0 for a token that is in no item."""
@@ -175,32 +178,35 @@ class Filter:
             self.codes[token] = found = found if self.words[at >> 3] >> (at & 7) & 1 else 0
         return found
 
-    def may(self, token: str) -> bool:
-        """Whether a piece of a text may be part of a window: it is in items, a number or perhaps a name."""
-        found = self.seen.get(token)
-        if found is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[token] = found = token[0].isdecimal() or token[0].isupper() or self.code(token.lower()) > 0
-        return found
+    def pieces(self, word: str) -> int:
+        """How many pieces what stands between white space has; below 0 (-1 - that) if one can be in no window."""
+        found = _PIECE.findall(word)
+        known = all(t[0].isdecimal() or t[0].isupper() or self.code(t.lower()) or _UNIT.fullmatch(t) for t in found)
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen[word] = n = len(found) if known or len(found) >= self.least else -1 - len(found)
+        return n
 
     def parts(self, text: str) -> str:
         """The text without stretches in which no reading has a window of tokens that are in items or may be names."""
         if not self.sizes or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
             return text.replace("\x01", " ") if self.sizes else ""
-        toks = _PIECE.findall(text)
-        get = self.seen.get
-        known = [get(t) for t in toks]
+        words = text.split()
+        known = list(map(self.seen.get, words))
         if None in known:
-            known = list(map(self.may, toks))
-        cuts = np.flatnonzero(~np.array(known, bool))
-        edges = np.r_[-1, cuts, len(toks)]
-        long = np.flatnonzero(np.diff(edges) > self.least)
+            known = [self.pieces(w) if n is None else n for w, n in zip(words, known, strict=True)]
+        n = np.array(known, np.int64)
+        cuts = np.flatnonzero(n < 0)
+        edges = np.r_[-1, cuts, len(words)]
+        upto = np.r_[0, np.cumsum(np.maximum(n, 0))]
+        inside = upto[edges[1:]] - upto[edges[:-1] + 1]
+        beside = np.r_[0, -2 - n[cuts], 0]  # pieces of a cut word that may belong to a window beside it
+        long = np.flatnonzero(inside + beside[:-1] + beside[1:] >= self.least)
         if not len(long):
             return ""
-        spans = [m.span() for m in _PIECE.finditer(text)]
+        spans = [m.span() for m in _WORD.finditer(text)]
         # the words at both edges stay, and what follows on them, so that a stretch is read as in the text
-        return "\n".join(text[spans[i][0] if i >= 0 else 0 : spans[j][1] + 1 if j < len(toks) else None] for i, j in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
+        return "\n".join(text[spans[i][0] if i >= 0 else 0 : spans[j][1] + 1 if j < len(words) else None] for i, j in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
 
     def keys(self, text: str) -> set[tuple[int, int]]:
         """Keys of all windows of the text that may be the benchmark's."""
@@ -221,6 +227,16 @@ class Filter:
         return found
 
 
+_LAST: list[Filter] = []
+
+
+def _restored(*parts) -> Filter:
+    """A worker's later tasks go on with what its earlier ones remember."""
+    if not _LAST or _LAST[0].name != parts[-1]:
+        _LAST[:] = [Filter(*parts)]
+    return _LAST[0]
+
+
 def _bits(values: int) -> int:
     return 1 << min(MOST_BITS, max(12, (32 * values).bit_length()))
 
