@@ -93,9 +93,12 @@ def test_shards_are_even_and_groups_whole(spark, rows):
     assert not rows or max(count.values()) - min(count[s] for s in range(7)) <= 1
     for s in range(7):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
-    where = defaultdict(Counter)
-    for r in got:
+    where, drawn = defaultdict(Counter), defaultdict(Counter)
+    for r, s in zip(got, rng.choices(range(7), k=rows), strict=True):
         where[r.text_crc32][r.shard] += 1
+        drawn[r.text_crc32][s] += 1
+    cut = lambda w: sum(sum(p.values()) ** 2 - sum(n * n for n in p.values()) for p in w.values() if sum(p.values()) <= rows // 7)
+    assert cut(where) <= 0.1 * cut(drawn)  # links cut (each twice), of groups that fit in a shard
     for places in where.values():  # nearly all of a group is in as few shards as can hold it
         n = sum(places.values())
         least = max(1, -(-n // max(1, rows // 7)))
@@ -115,6 +118,34 @@ def test_tokens_are_the_library_ones():
     assert list(own.ids(texts)) == want
 
 
+def plain_best_fit(sizes, capacity):
+    """Each item, largest first, to the fullest bin that holds it."""
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fits = [b for b in bins if sum(b) + s <= capacity]
+        (max(fits, key=sum) if fits else bins.append([]) or bins[-1]).append(s)
+    return sorted(sorted(b) for b in bins)
+
+
+def test_best_fit_against_a_plain_version():
+    rng = np.random.default_rng(9)
+    for capacity, n in ((10, 30), (100, 120), (2048, 150)):
+        sizes = rng.integers(1, capacity, n)
+        bins, _, fill = best_fit(sizes, capacity)
+        want = plain_best_fit(sizes.tolist(), capacity)
+        assert sorted(fill.tolist()) == sorted(map(sum, want))
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    file = json.load(open(default_path(), encoding="utf-8"))
+    file["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    with pytest.raises(ValueError):
+        tokenizer(str(tmp_path / "other.json"))
+
+
 def test_best_fit_fills_exactly():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 2048, 3000)
@@ -379,6 +410,30 @@ def test_language_edge_rows(spark):
     assert identify(docs.limit(0)).count() == 0
 
 
+def test_only_texts_in_a_wanted_language_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(9000 + i, "".join(chr(0x4E00 + random.Random(i).randrange(3000)) for _ in range(500)), None) for i in range(20)] + [(9100, None, None), (9101, "12 %", None)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("score", docs.doc_id)
+    kept = keep_identified(rows)
+    assert kept.columns == rows.columns
+    ids, lang = {r.doc_id for r in kept.collect()}, {r.doc_id: r.lang_pred for r in identify(rows).collect()}
+    assert len([i for i in ids if i >= 9000]) <= 2 and len([i for i in ids if i < 9000]) >= 0.99 * docs.count()
+    assert {r.doc_id for r in keep_identified(rows, wanted=["en"]).collect()} == {i for i in ids if lang[i] == "en"}
+
+
+def test_language_sums_against_letters(spark):
+    """The bundle of a text is the sum of its bound trigrams, one by one."""
+    from tidemark.llm import language_id as m
+
+    text = "Ab cé, ßtraße x"
+    want = np.zeros(m.DIMENSIONS)
+    a, b, c = m._letters(m.DIMENSIONS)
+    symbols = [0, *[int(m._symbols()[ord(x)]) for x in text], 0]
+    for x, y, z in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        want += a[x].astype(float) * b[y] * c[z] if y else 0
+    assert np.array_equal(m.bundles([text.encode()], np.array([0]), 1)[0], want)
+
+
 # ---- 10: language model ----
 
 

@@ -92,21 +92,26 @@ def text_bytes(spark_col) -> F.Column:
 HOT_PARTS, SALTS = 1000, 64
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of many ``rows`` with ``keyed``, where any key may hold any share of the rows.
+def hot_values(rows: DataFrame, key: str) -> list[int]:
+    """Values of a long column that more than one row in ``HOT_PARTS`` has: fewer than ``HOT_PARTS``."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("_n") > max(64, total // HOT_PARTS))).select(key).collect()]
+
 
-    The first key column's values that more than one row in ``HOT_PARTS`` has, fewer than ``HOT_PARTS`` longs, go to the
-    driver; their rows are dealt over ``SALTS`` tasks, to which the few matching rows of ``keyed`` are copied.
+def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", hot: list[int] | None = None) -> DataFrame:
+    """Join of many ``rows`` with ``keyed`` (inner or left), where any key may hold any share of the rows.
+
+    Rows of the first key column's hot values are dealt over ``SALTS`` tasks, to which the few matching rows of ``keyed``
+    are copied.
     """
-    counts = rows.groupBy(on[0]).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("_n") > max(64, total // HOT_PARTS)).select(on[0]).collect() if r[0] is not None]
+    hot = hot_values(rows, on[0]) if hot is None else hot
     if not hot:
-        return rows.join(keyed, on)
-    is_hot = F.col(on[0]).isin(hot)
+        return rows.join(keyed, on, how)
+    is_hot = F.coalesce(F.col(on[0]).isin(hot), F.lit(False))
     salt = F.when(is_hot, F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")).otherwise(0)
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("_salt", salt).join(keyed.withColumn("_salt", F.explode(copies)), [*on, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(keyed.withColumn("_salt", F.explode(copies)), [*on, "_salt"], how).drop("_salt")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

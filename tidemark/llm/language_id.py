@@ -6,19 +6,26 @@ text is the sum of its trigrams, a language the sum over its training texts.  A
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import reachable
+
 DIMENSIONS = 512
 SEED = 20_240_601
 #: Letters a-z have a vector each; all others share the rest.  0 stands for what is no letter.
 SYMBOLS = 128
+#: Cosine from which a text is in a language; random letters come to about 0.05.  Bytes below which any above 0 will do.
+LEAST_SCORE, SHORT = 0.1, 64
+#: Sums that one task adds up.
+ADDED = 512
 _CHUNK, _CELLS, _SLICE = 1_000_000, 4_000_000, 16_384
 
 
@@ -95,13 +102,14 @@ def _learn(dimensions: int):
             found = bundles(batch.column(0).to_pylist(), owner, len(names), dimensions)
             for name, row in zip(names, found, strict=True):
                 sums[name] = sums.get(name, 0) + row
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+        part = pa.array([TaskContext.get().partitionId()] * len(sums), pa.int32())
+        yield pa.RecordBatch.from_pydict({"part": part, "lang": pa.array(list(sums), pa.string()), "v": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
     return over
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"lang": rows["lang"][:1], "v": [sum(np.frombuffer(v) for v in rows["v"]).tobytes()]})
+    return pd.DataFrame({"part": rows["part"][:1] // ADDED, "lang": rows["lang"][:1], "v": [sum(np.frombuffer(v) for v in rows["v"]).tobytes()]})
 
 
 def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -111,8 +119,11 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Null labels and null texts are left out.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    parts = rows.select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("lang")).mapInArrow(_learn(dimensions), "lang string, v binary")
-    sums = parts.groupBy("lang").applyInPandas(_added, "lang string, v binary").collect()
+    shape = "part int, lang string, v binary"
+    sums = rows.select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("lang")).mapInArrow(_learn(dimensions), shape)
+    for step in (F.floor(F.col("part") / ADDED), F.lit(0)):  # a tree, so that no task adds up the sums of all others
+        sums = sums.groupBy("lang", step.alias("to")).applyInPandas(_added, shape)
+    sums = sums.collect()
     found = {r["lang"]: np.frombuffer(r["v"]) for r in sorted(sums, key=lambda r: r["lang"])}
     return {k: v / n for k, v in found.items() if (n := float(np.linalg.norm(v))) > 0}
 
@@ -150,19 +161,28 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     lang_pred is ``und`` with score 0 for null texts, texts without letters, and all if nothing was learned.  Equal
     cosines go to the label that sorts first.  An empty table gives no rows; repeated rows get equal ones.
     """
+    reachable(docs.sparkSession)
     known = profiles(docs.where(~held_out()), dimensions=dimensions)
     slim = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     return slim.mapInArrow(_predict(known, dimensions), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``docs`` without rows whose language cannot be told (null text, no letters, or nothing learned)."""
+def keep_identified(docs: DataFrame, wanted: Collection[str] | None = None, least: float = LEAST_SCORE, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``docs`` without rows that are in none of the ``wanted`` languages (all that were learned, by default).
+
+    A row goes if it is ``und`` (null text, no letters, nothing learned), if its language is not wanted, or if its text is
+    like no language: a cosine below ``least``, or, in texts of fewer than ``SHORT`` bytes, whose cosines say little, none
+    above 0.  Repeated rows share their fate; columns stay as they are, whatever their names; an empty table stays empty.
+    """
+    reachable(docs.sparkSession)
     known = profiles(docs.where(~held_out()), dimensions=dimensions)
     place = docs.columns.index("text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array([x != "und" for x in classify(texts, known, dimensions)[0]], pa.bool_()))
+            found = zip(texts, *classify(texts, known, dimensions), strict=True)
+            keep = [x != "und" and (wanted is None or x in wanted) and (s >= least or len(t) < SHORT and s > 0) for t, x, s in found]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(over, docs.schema)

@@ -1,8 +1,8 @@
 """Tokenise documents and pack the pieces into sequences by hierarchical residual packing.
 
 One scan tokenises and cuts; only slim piece rows go on.  Pieces are dealt into groups of bounded size, each packed
-best-fit decreasing.  Within a group no two bins can then share a sequence, so only its emptiest bins may still gain:
-these go up as items to the next level, where several groups meet, until one group is left.  All other bins are final.
+best-fit decreasing.  Nearly full bins are final; all others go up as items to the next level, where those of several groups
+meet in fewer groups of the same size, until one group is left or a level brings nothing together.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes, written
+from tidemark.llm.common import reachable, text_bytes, written
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Pieces that one task packs at once, groups that meet at the next level, bins that a group hands up.
-GROUP, FAN_IN, HANDED_UP = 200_000, 16, 64
+#: Pieces that one task packs at once; share of a sequence from which a bin is nearly full, and final.
+GROUP, NEARLY_FULL = 8192, 0.98
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 300_000
 _LONGEST, _BREAK = 24, b"\xff\xff\xff\xff"
@@ -150,7 +150,11 @@ class WordTokenizer:
 
 @cache
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    own = WordTokenizer(path)
+    probe = ["It's a naïve TEST, 123 times: héllo wörld unbelievably antidisestablishmentarianism (x=1)!", "don't l'été\tÅngström 2nd"]
+    if list(own.ids(probe)) != [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(probe, add_special_tokens=False)]:
+        raise ValueError(f"{path}: not a word-level BPE file of the kind that this tokenizer merges")
+    return own
 
 
 def default_path() -> str:
@@ -221,8 +225,7 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
 def _packed(capacity: int, level: int):
     def of(group: pa.Table) -> pa.Table:
         bins, offsets, fill = best_fit(group["length"].to_numpy(), capacity)
-        up = np.zeros(len(fill), bool)
-        up[np.argsort(fill, kind="stable")[:HANDED_UP]] = True
+        up = fill < NEARLY_FULL * capacity
         name = (np.int64(level) << 58) | (np.int64(group["grp"][0].as_py()) << 28)
         for column, kind, values in (("bin", pa.int64(), name + bins), ("offset", pa.int64(), offsets), ("fill", pa.int64(), fill[bins]), ("up", pa.bool_(), up[bins])):
             group = group.append_column(column, pa.array(values, kind))
@@ -240,8 +243,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, a row for each piece.
 
     Null text is empty: one piece that holds only the end id.  Rows that repeat a doc_id, or have none, are packed as
-    documents of their own.  Pieces that fill a sequence are one.  An empty table gives no rows; other columns are not read.
+    documents of their own.  Pieces that fill a sequence are one.  Very long texts are cut whole; of equal pieces the one that
+    stands first in its group goes first.  An empty table gives no rows; other columns are not read.
     """
+    reachable(docs.sparkSession)
     cut = written(pieces(docs, id_col, text_col, path, capacity).withColumn("item", F.monotonically_increasing_id()))
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -250,9 +255,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     groups = max(1, -(-rest.count() // GROUP))
     levels = [_level(rest, shape, groups, 0, capacity)]
     while groups > 1:
-        groups = -(-groups // FAN_IN)
         below = levels[-1].where("up").groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("length"))
+        n = below.count()
+        if not n:
+            break
+        groups = -(-n // GROUP)
         levels.append(_level(below, "item long, length long", groups, len(levels), capacity))
+        if levels[-1].select("bin").distinct().count() == n:  # no two of them could share a sequence
+            break
     top = levels[-1]
     for below in reversed(levels[:-1]):
         higher = top.select(F.col("item").alias("_from"), F.col("bin").alias("_bin"), F.col("offset").alias("_more"))

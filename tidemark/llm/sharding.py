@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import written
+from tidemark.llm.common import hot_values, salted_join, written
 
 SHARDS = 40
 ROUNDS = 5
@@ -42,6 +42,7 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUND
     shortest run that could hold all of it are its targets.  Rows elsewhere ask for one of these, by hash.  A shard takes
     what its capacity leaves beside the rows that stay there; where more ask, a hash picks the quota's share of them.
     """
+    hot = hot_values(linked, "group")
     for r in range(rounds):
         load = _loads(linked, shards)
         room = [max(0, capacity - x) for x in load]
@@ -60,7 +61,7 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUND
         upto = F.transform(F.sequence(F.lit(1), F.size("at")), lambda i: F.aggregate(F.slice("at", 1, i), F.lit(0).cast("long"), lambda a, x: a - x["c"]))
         k = F.least(F.size("at"), F.size(F.filter(upto, lambda x: x < F.col("total"))) + 1)
         groups = groups.select("group", F.transform(F.slice("at", 1, k), lambda x: x["shard"]).alias("targets"))
-        wish = linked.join(groups, "group", "left")
+        wish = salted_join(linked, groups, ["group"], "left", hot)
         to = F.get("targets", F.pmod(F.xxhash64("node", F.lit(r)), F.size("targets")).cast("int"))
         stays = F.col("targets").isNull() | F.array_contains("targets", F.col("shard"))
         wish = written(wish.select("node", "group", "shard", F.when(~stays, to).alias("to")))
@@ -91,7 +92,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """``(doc_id, size, text_crc32, shard, slot)`` for every row: row counts of shards differ by at most one.
 
     size is the text's UTF-8 bytes plus 16, text_crc32 its checksum; null text counts as empty for both and makes a
-    group of its own.  Rows that repeat an id are rows of their own; an empty table gives none; other columns are not read.
+    group of its own.  Rows that repeat an id are rows of their own, even where their texts differ; texts of any length only
+    give a hash.  Ties between shards go by a hash of group and shard.  A group larger than a shard fills as few as can hold
+    it.  An empty table gives no rows; other columns are not read.
     """
     text = F.col(text_col)
     slim = docs.select(
@@ -105,7 +108,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     n = rows.count()
     capacity = -(-n // shards)
     shared = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    linked = written(rows.select("node", "group", "shard").join(shared, "group").select("node", "group", "shard"))
+    linked = written(salted_join(rows.select("node", "group", "shard"), shared, ["group"]).select("node", "group", "shard"))
     moved = propagate(linked, shards, capacity, rounds).select("node", F.col("shard").alias("_to"))
     placed = rows.join(moved, "node", "left").withColumn("loose", F.col("_to").isNull().cast("int")).withColumn("shard", F.coalesce("_to", "shard"))
     placed = written(placed.select("doc_id", "size", "text_crc32", "node", "shard", "loose"))

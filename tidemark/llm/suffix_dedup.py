@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes, written
+from tidemark.llm.common import reachable, text_bytes, written
 
 DEPTH, GRAM, SHALLOW = 100, 32, 16
 #: UTF-8 bytes that one block of documents holds, unless a single document is longer.
 BLOCK_BYTES = 4_000_000
-#: Occurrences from which on an anchor's strings go by their own hashes.
+#: Occurrences from which on an anchor's strings go by their own hashes: another way to the same result.
 HOT = 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -48,7 +48,7 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = DEPTH, shallo
     """
     n = len(starts)
     word = words_at(buf)
-    # shallow: multikey quicksort, one 8-byte word at a time; only suffixes equal so far are compared further
+    # shallow: multikey sort with 8-byte words as letters, partitioned by sorting each word; only groups equal so far go on
     order = np.argsort(word[starts])
     key = word[starts[order]]
     new = np.r_[True, key[1:] != key[:-1]][:n]
@@ -154,7 +154,7 @@ class Block:
         if n < depth:
             return none.astype(np.uint64), none, none
         h = _mixed(self.grams()[gram])
-        low = np.uint64((1 << int(n).bit_length()) - 1)
+        low = np.uint64(0xFFFFFFFF)  # the same for all blocks, so that equal strings choose equal anchors: leftmost of the least upper halves
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         size = 1
         while 2 * size <= width:
@@ -371,12 +371,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte is removed if a string of ``DEPTH`` bytes over it also starts earlier: in a smaller id, or before it in the
     same document.  Null text is empty; a null id counts as smaller than any.  Rows that repeat id and text are one
-    document and get equal rows.  An empty table gives no rows; other columns are not read.
+    document and get equal rows; of rows that share an id alone, the one whose string starts at the smaller place counts as
+    earlier.  ``block_bytes`` and ``hot`` divide the work and change no result; a text longer than a block is one by itself.
+    An empty table gives no rows; other columns are not read.
     """
+    reachable(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition("block")
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(n)).cast("int")).repartition("block")
     blocks = dealt.groupBy("block")
     seen_shape, shape = "bucket int, block int, once binary, more binary, counts binary", "block int, bucket int, whole boolean, codes binary, hot binary"
     seen = blocks.applyInArrow(_see(n), seen_shape)
