@@ -454,31 +454,83 @@ def test_scores_against_plain_counts(spark, tmp_path):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_probabilities_sum_to_one(spark):
+def small_model(seed):
     from tidemark.llm import lm_scoring as m
 
-    rng = random.Random(8)
+    rng = random.Random(seed)
+    shape = m.Shape(3)
     vocabulary = [bytes(rng.choices(b"abcdef", k=rng.randint(1, 5))) for _ in range(900)]
     count = Counter(rng.choices(vocabulary, k=6000))
     count[m._END] = 40
-    top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[: m.TOP]
+    top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[: shape.top]
     sums, kinds = np.zeros(m.ENDING_CLASSES), np.zeros(m.ENDING_CLASSES)
     for w, c in count.items():
         if w != m._END:
             sums[m.ending_class(w)] += c
             kinds[m.ending_class(w)] += 1
-    model = m.untrained(top, sums, kinds)
+    model = m.untrained(shape, top, sums, kinds)
     noise = np.random.default_rng(1)
     model.class_weights += noise.normal(0, 1, model.class_weights.shape).astype(np.float32)
     model.word_weights += noise.normal(0, 1, model.word_weights.shape).astype(np.float32)
+    return m, model, count
+
+
+def test_probabilities_sum_to_one(spark):
+    m, model, count = small_model(8)
     total = 0.0
-    unseen = [(m.TOP + e, 0) for e in range(m.ENDING_CLASSES)]  # one unknown word for each ending
+    unseen = [(model.shape.top + e, 0) for e in range(m.ENDING_CLASSES)]  # one unknown word for each ending
     for symbol, c in [(model.symbol(w), c) for w, c in count.items()] + unseen:
-        tokens = m.Tokens(np.array([3, m.TOP + 2, symbol]), np.array([0]))
-        total += 10 ** m.score(model, tokens, np.array([5, 1, c]))[2]
+        tokens = m.Tokens(model.shape, np.array([3, model.shape.top + 2, symbol]), np.array([0]))
+        total += 10 ** m.score(model, tokens, m.rare_share(model, np.array([3, model.shape.top + 2, symbol]), np.array([5, 1, c])))[2]
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_gradient_against_plain_sums(spark):
+    """Expected and observed sums token by token, and scores of one token at a time."""
+    m, model, _ = small_model(9)
+    shape, rng = model.shape, np.random.default_rng(3)
+    docs = [rng.integers(0, shape.start, n) for n in (1, 2, 7, 60)]
+    flat, first = np.concatenate(docs), np.cumsum([0, 1, 2, 7])
+    tokens = m.Tokens(shape, flat, first)
+    for kind, (before, after, n) in enumerate(((tokens.history, tokens.group, shape.width), (tokens.inner, tokens.word, m.IN_CLASS))):
+        codes, counts = np.unique(before * n + after, return_counts=True)
+        want = {True: np.zeros((shape.rows, n)), False: np.zeros((shape.rows, n))}
+        for h, a in zip(before.tolist(), after.tolist(), strict=True):
+            h = np.array([h])
+            p = np.exp((m.class_log if kind == 0 else m.word_log)(model, h))[0]
+            for r in m.class_rows(shape, h) if kind == 0 else [m.word_rows(shape, h)]:
+                want[True][r[0], a] += 1
+                want[False][r[0]] += p
+        for observed in (True, False):
+            assert np.allclose(m.sums(model, kind, codes, counts, observed), want[observed], atol=1e-5)
+    per = m.score(model, tokens, np.zeros(len(flat)))
+    for d, at in zip(docs, first, strict=True):
+        history = [shape.start, shape.start, *d]
+        for i, x in enumerate(d):
+            h = np.array([history[i + 1] * shape.symbols + history[i]])
+            group = x // m.IN_CLASS if x < shape.top else x - shape.top + shape.classes
+            want = m.class_log(model, h)[0, group]
+            if x < shape.top:
+                want += m.word_log(model, np.array([history[i + 1] * shape.classes + group]))[0, x % m.IN_CLASS]
+            assert per[at + i] == pytest.approx(want / np.log(10), abs=1e-5)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: r for r in lm_scores(docs.repartition(n)).collect()} for n in (1, 8, 64)]
+    for i, r in found[0].items():
+        assert all(f[i].score == pytest.approx(r.score, rel=1e-9, abs=1e-6) for f in found[1:])
+    out = [r for r in found[0].values() if r.held_out]
+    assert (sum(r.score for r in out) - sum(r.base_score for r in out)) / sum(r.n_tokens for r in out) >= 0.09
+
+
+def test_model_grows_with_the_corpus():
+    from tidemark.llm.lm_scoring import shape_for
+
+    assert [shape_for(n).classes for n in (0, 3_999_999, 4_000_000, 16_000_000, 10**12)] == [16, 16, 32, 64, 128]
+    assert shape_for(10**12).symbols < 1 << 16
+
+
 def test_lm_edge_rows(spark):
     docs = spark.createDataFrame([(None, None, 1), (0, "a b", 2), (0, "a b", 2)], "doc_id long, text string, score int")
     got = lm_scores(docs).collect()
