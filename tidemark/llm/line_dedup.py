@@ -30,14 +30,14 @@ def _windows(text: Column) -> Column:
     """Array of ``(i, h, g)``: the first line of each window and two hashes of it.  Windows of empty lines are left out."""
 
     def hashed(lines: Column) -> Column:
-        one, two = F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, lambda x: F.shiftleft(F.hash(x).cast("long"), 32) + F.crc32(x.cast("binary")))
+        one, two = F.transform(lines, lambda x: F.xxhash64(x)), F.transform(lines, lambda x: F.crc32(x.cast("binary")))
         return _bound(F.struct(lines.alias("l"), one.alias("h"), two.alias("g")), rolled)
 
     def rolled(p: Column) -> Column:
         at = F.when(F.size(p["l"]) >= ROLLED, F.sequence(F.lit(0), F.size(p["l"]) - ROLLED)).otherwise(F.array().cast("array<int>"))
         said = lambda i: sum((F.length(F.get(p["l"], i + d)) for d in range(ROLLED)), F.lit(0)) > 0
-        both = lambda i, a: F.xxhash64(*[F.get(p[a], i + d) for d in range(ROLLED)])
-        return F.transform(F.filter(at, said), lambda i: F.struct(i.alias("i"), both(i, "h").alias("h"), both(i, "g").alias("g")))
+        each = lambda i, a: [F.get(p[a], i + d) for d in range(ROLLED)]
+        return F.transform(F.filter(at, said), lambda i: F.struct(i.alias("i"), F.xxhash64(*each(i, "h")).alias("h"), F.hash(*each(i, "g")).alias("g")))
 
     return _bound(_lines(text), hashed)
 
@@ -73,21 +73,22 @@ def _row() -> Column:
 
 def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(_row, _text, _n, _gone)``: each row, its text without repeated chunks, its lines, and how many of them were cut."""
-    base = written(docs.select(F.array(F.struct(*docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_key")))
-    text = _row()[text_col]
-    own = base.select("_key", _row()[id_col].alias("_id"), text.alias("_text")).where(F.instr("_text", "\n") > 0)
-    place = ["_last", "_id", "_th", "_key"]
-    own = own.select(F.col("_id").isNull().alias("_last"), "_id", F.xxhash64("_text").alias("_th"), "_key", F.explode(_windows(F.col("_text"))).alias("w"))
+    text, key = _row()[text_col], ["_k1", "_k2"]
+    who = F.when(docs[id_col].isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(1))).otherwise(F.xxhash64(docs[id_col]))
+    base = docs.select(F.array(F.struct(*docs.columns)).alias("_row"), who.alias("_k1"), F.xxhash64(docs[text_col]).alias("_k2"))
+    own = base.select(_row()[id_col].alias("_id"), *key, text.alias("_text")).where(F.instr("_text", "\n") > 0)
+    place = ["_last", "_id", "_k2", "_k1"]
+    own = own.select(F.col("_id").isNull().alias("_last"), "_id", *key, F.explode(_windows(F.col("_text"))).alias("w"))
     slim = written(own.select(*place, "w.i", "w.h", "w.g"))
-    first = slim.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*place, "i")).alias("f")).where("n > 1").select("h", "g", F.col("f._key").alias("_at"), F.col("f.i").alias("_i"))
-    first = written(first)
-    asked = first.groupBy("_at").agg(F.collect_list(F.struct("_i", "h", "g")).alias("asked"))
-    bodies = base.join(asked, F.col("_key") == F.col("_at"), "left")
+    first = slim.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*place, "i")).alias("f")).where("n > 1")
+    first = written(first.select("h", "g", F.col("f._k1").alias("_a1"), F.col("f._k2").alias("_a2"), F.col("f.i").alias("_i")))
+    asked = first.groupBy("_a1", "_a2").agg(F.collect_list(F.struct("_i", "h", "g")).alias("asked"))
+    bodies = base.join(asked, (F.col("_k1") == F.col("_a1")) & (F.col("_k2") == F.col("_a2")), "left")
     read = F.when(F.col("asked").isNotNull(), _bound(_lines(_row()[text_col]), lambda lines: F.transform("asked", lambda a: F.struct(a["h"].alias("h"), a["g"].alias("g"), a["_i"].alias("_i"), _body(lines, a["_i"]).alias("body")))))
-    bodies = bodies.select(F.col("_key").alias("_at"), F.explode_outer(read).alias("r")).where("r is not null").select("_at", "r.*")
-    later = salted_join(slim.select("_key", "i", "h", "g"), bodies, ["h", "g"]).where("_key != _at or i != _i")
-    later = later.groupBy(F.col("_key").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("i", "body"))).alias("later"))
-    out = base.join(later, F.col("_key") == F.col("_of"), "left")
+    bodies = bodies.select("_a1", "_a2", F.explode_outer(read).alias("r")).where("r is not null").select("_a1", "_a2", "r.*").dropDuplicates(["h", "g"])
+    later = salted_join(slim.select(*key, "i", "h", "g"), bodies, ["h", "g"]).where("_k1 != _a1 or _k2 != _a2 or i != _i")
+    later = later.groupBy(F.col("_k1").alias("_o1"), F.col("_k2").alias("_o2")).agg(F.sort_array(F.collect_set(F.struct("i", "body"))).alias("later"))
+    out = base.join(later, (F.col("_k1") == F.col("_o1")) & (F.col("_k2") == F.col("_o2")), "left")
 
     def cut(lines: Column) -> Column:
         return _kept(lines, F.transform(F.filter("later", lambda w: _body(lines, w["i"]) == w["body"]), lambda w: w["i"]))
@@ -105,8 +106,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with repeated multi-line chunks cut from the text, and columns ``_lines``, ``_cut_lines`` (counts).
 
     A line goes if it is in a window of ``ROLLED`` lines that also starts earlier: in a row of smaller id, or before it in
-    the same row.  Rows are rows, whatever their ids: those of one id come in an order of their own (by a hash of the text,
-    so that it does not depend on the files), those without an id after all others, and all are compared.  Null and empty
+    the same row.  Texts of one id are told apart and come in the order of a hash, so that it does not depend on the files;
+    rows that repeat both id and text are one place and are cut alike; each row without an id is a place of its own, after
+    all others.  Null and empty
     texts and texts of one line stay as they are (a null text has 0 lines), and so do windows of empty lines.  A text of
     which nothing stays becomes empty.  Very long texts take time in proportion to their lines.  Columns of ``docs`` that
     have the names of the two counts are replaced; an empty table gives no rows.
