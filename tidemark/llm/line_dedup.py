@@ -84,7 +84,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = written(first.select("h", "g", F.col("f._k1").alias("_a1"), F.col("f._k2").alias("_a2"), F.col("f.i").alias("_i")))
     asked = first.groupBy("_a1", "_a2").agg(F.collect_list(F.struct("_i", "h", "g")).alias("asked"))
     bodies = base.join(asked, (F.col("_k1") == F.col("_a1")) & (F.col("_k2") == F.col("_a2")), "left")
-    read = F.when(F.col("asked").isNotNull(), _bound(_lines(_row()[text_col]), lambda lines: F.transform("asked", lambda a: F.struct(a["h"].alias("h"), a["g"].alias("g"), a["_i"].alias("_i"), _body(lines, a["_i"]).alias("body")))))
+    # size() asks for the whole value, so that this join's exchange of the texts is the one that the last join reads again
+    read = F.when(F.col("asked").isNotNull() & (F.size("_row") == 1), _bound(_lines(_row()[text_col]), lambda lines: F.transform("asked", lambda a: F.struct(a["h"].alias("h"), a["g"].alias("g"), a["_i"].alias("_i"), _body(lines, a["_i"]).alias("body")))))
     bodies = bodies.select("_a1", "_a2", F.explode_outer(read).alias("r")).where("r is not null").select("_a1", "_a2", "r.*").dropDuplicates(["h", "g"])
     later = salted_join(slim.select(*key, "i", "h", "g"), bodies, ["h", "g"]).where("_k1 != _a1 or _k2 != _a2 or i != _i")
     later = later.groupBy(F.col("_k1").alias("_o1"), F.col("_k2").alias("_o2")).agg(F.sort_array(F.collect_set(F.struct("i", "body"))).alias("later"))

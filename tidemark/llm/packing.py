@@ -8,6 +8,8 @@ meet in fewer groups of the same size, until one group is left or a level brings
 from __future__ import annotations
 
 import os
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from zlib import crc32
@@ -23,9 +25,11 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Pieces that one task packs at once; share of a sequence from which a bin is nearly full, and final.
 GROUP, NEARLY_FULL = 8192, 0.98
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
-_LONGEST, _BREAK = 24, b"\xff\xff\xff\xff"
+#: Words whose ids a Python worker remembers, and as many pieces of words.
+REMEMBERED = 500_000
+#: UTF-8 bytes of the pieces that are merged together, at most.
+_SIZES = (4, 8, 12, 24)
+_LONGEST, _BREAK = _SIZES[-1], b"\xff\xff\xff\xff"
 
 
 class WordTokenizer:
@@ -60,8 +64,11 @@ class WordTokenizer:
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
         self.plain = regex.compile(r"[\n!-;=?-~À-ÖØ-öø-įĲ-ž]+")
         self.odd, self.spaced = regex.compile("[\x1c-\x1f]"), regex.compile(r"(?:\S|[\x1c-\x1f])+")
+        self.latin = re.compile("[\\x00-\u012f\u0132-\u017e]*")
+        # memories of two halves: words that are still in use outlive the older half
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words, self.old_pieces = self.words, self.pieces
 
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair's merge (large: none) and where it stands."""
@@ -110,6 +117,13 @@ class WordTokenizer:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _recalled(fresh: set[str], now: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """What of ``fresh`` the older half of the memory does not hold either; the rest moves to the newer half."""
+        known = fresh & old.keys()
+        now.update(zip(known, map(old.__getitem__, known), strict=True))
+        return fresh - known
+
     def learn(self, words: list[str]) -> None:
         flat = "\n".join(words)
         if not self.plain.fullmatch(flat):
@@ -120,17 +134,19 @@ class WordTokenizer:
         if not words:
             return
         split = self.parts.findall(flat.lower())
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        if len(self.pieces) > REMEMBERED // 2:
+            self.old_pieces, self.pieces = self.pieces, {}
         self.pieces["\n"] = _BREAK
-        fresh = list(set(split) - self.pieces.keys())
-        short = [(p, b) for p in fresh if len(b := p.encode()) <= _LONGEST]
-        for lo, hi in ((1, 4), (5, 8), (9, 12), (13, _LONGEST)):
-            some = [x for x in short if lo <= len(x[1]) <= hi]
+        fresh = list(self._recalled(set(split) - self.pieces.keys(), self.pieces, self.old_pieces))
+        by_size: tuple[list[str], ...] = tuple([] for _ in _SIZES)
+        long: list[str] = []
+        for p in fresh:
+            n = len(p) if p.isascii() else len(p.encode())
+            (by_size[bisect_left(_SIZES, n)] if n <= _LONGEST else long).append(p)
+        for some in by_size:
             for i in range(0, len(some), 8192):
                 part = some[i : i + 8192]
-                self.pieces.update(zip([p for p, _ in part], self._merge([b for _, b in part]), strict=True))
-        long = [p for p in fresh if p not in self.pieces]
+                self.pieces.update(zip(part, self._merge([p.encode() for p in part]), strict=True))
         self.pieces.update(zip(long, self._library(long), strict=True))
         # ids are below 2**16, so a break never stands across ids
         self.words.update(zip(words, b"".join(map(self.pieces.__getitem__, split)).split(_BREAK), strict=True))
@@ -138,11 +154,15 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # the separators U+001C to U+001F are white space to Python alone
+        # what is lowered letter by letter is lowered before words are told apart, so that there are fewer; a special token is not
+        texts = [t.lower() if "<" not in t and self.latin.fullmatch(t) else t for t in texts]
         split = [self.spaced.findall(t) if self.odd.search(t) else t.split() for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if fresh := list({w for s in split for w in s} - self.words.keys()):
-            self.learn(fresh)
+        if len(self.words) > REMEMBERED // 2:
+            self.old_words, self.words = self.words, {}
+        fresh: set[str] = set()
+        fresh.update(*split)
+        if fresh := self._recalled(fresh - self.words.keys(), self.words, self.old_words):
+            self.learn(list(fresh))
         get = self.words.__getitem__
         for s in split:
             yield b"".join(map(get, s))
