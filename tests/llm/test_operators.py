@@ -527,8 +527,9 @@ def test_scores_do_not_depend_on_the_layout(spark):
 def test_model_grows_with_the_corpus():
     from tidemark.llm.lm_scoring import shape_for
 
-    assert [shape_for(n).classes for n in (0, 3_999_999, 4_000_000, 16_000_000, 10**12)] == [16, 16, 32, 64, 128]
-    assert shape_for(10**12).symbols < 1 << 16
+    assert [shape_for(n).classes for n in (0, 7_999_999, 8_000_000, 32_000_000, 10**12)] == [16, 16, 32, 64, 128]
+    most = shape_for(10**12)
+    assert most.symbols < 1 << 16 and most.symbols**2 * most.width < 1 << 32  # as symbols and codes are kept
 
 
 def test_lm_edge_rows(spark):

@@ -17,12 +17,14 @@ once.  Buckets follow from the data, so scores do not depend on how the table is
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,14 @@ ALPHA = 0.1
 #: Frequent words in classes of this many, the rest in classes by ending.
 IN_CLASS, ENDING_CLASSES = 32, 16
 #: Frequent classes of the smallest and the largest model; tokens from which the smallest no longer does.
-LEAST_CLASSES, MOST_CLASSES, GROWS_AT = 16, 128, 4_000_000
-#: Hashed rows of both weight tables, for each frequent class, and at most.
-ROWS_A_CLASS, MOST_ROWS = 512, 16_384
+LEAST_CLASSES, MOST_CLASSES, GROWS_AT = 16, 128, 8_000_000
+#: Hashed rows of both weight tables, at least and for each frequent class.
+LEAST_ROWS, ROWS_A_CLASS = 8192, 128
 STEPS, RATE, SMOOTH, DECAY = 8, 0.7, 3.0, 0.5
 BLOCK_BYTES = 12_000_000
-#: Training tokens whose histories one bucket counts; the most buckets (histories are bounded, so buckets may be); tokens
-#: that are scored at once; histories at once; parts that a sum of gradients is cut into.
-BUCKET_TOKENS, MOST_BUCKETS, BATCH, CHUNK, PIECES = 16_000_000, 512, 1_000_000, 16_384, 16
+#: Training tokens whose histories one bucket counts and one task sums up; the most buckets (there are fewer than 2**25
+#: histories); tokens that are counted or scored at once; histories at once; parts that a sum of gradients is cut into.
+BUCKET_TOKENS, TASK_TOKENS, MOST_BUCKETS, BATCH, CHUNK, PIECES = 2_000_000, 16_000_000, 4096, 1_000_000, 8192, 16
 #: The end of a document as a word: no word holds white space.
 _END = b"\n"
 
@@ -60,7 +62,7 @@ class Shape:
 
     @property
     def rows(self) -> int:
-        return min(MOST_ROWS, ROWS_A_CLASS * self.classes)
+        return max(LEAST_ROWS, ROWS_A_CLASS * self.classes)
 
     @property
     def start(self) -> int:
@@ -96,18 +98,23 @@ def ending_class(word: bytes) -> int:
 # ---- counts ----
 
 
-def _vocabulary(docs: pa.Table, buckets: int) -> dict[int, tuple[list[bytes], Counter]]:
-    """By bucket: the sorted distinct words of a block, and their counts in its training documents."""
+def _counts(docs: pa.Table) -> Counter:
+    """Words of a block with their counts in its training documents."""
     counts: Counter = Counter()
     for text, out in zip(docs["t"].to_pylist(), docs["held_out"].to_pylist(), strict=True):
         if out:
             counts.update(dict.fromkeys(words(text), 0))
         else:
             counts.update(words(text))
+    return counts
+
+
+def _vocabulary(words_: Iterable[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """By bucket: distinct words, sorted."""
     parts: dict[int, list[bytes]] = {}
-    for w in counts:
+    for w in words_:
         parts.setdefault(crc32(w) % buckets, []).append(w)
-    return {b: (sorted(ws), counts) for b, ws in parts.items()}
+    return {b: sorted(ws) for b, ws in parts.items()}
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
@@ -116,8 +123,8 @@ _COUNTED = "block int, bucket int, counts binary, known long, tokens long, top a
 
 def _send(buckets: int):
     def of(docs: pa.Table) -> pa.Table:
-        rows = []
-        for b, (ws, counts) in _vocabulary(docs, buckets).items():
+        rows, counts = [], _counts(docs)
+        for b, ws in _vocabulary(counts, buckets).items():
             rows.append({"bucket": b, "block": docs["block"][0].as_py(), "words": b" ".join(ws), "counts": np.array([counts[w] for w in ws], "<u4").tobytes()})
         return pa.Table.from_pylist(rows, _SENT)
 
@@ -274,7 +281,7 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
-    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+    return codes[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts
 
 
 def _counted(shape: Shape, buckets: int):
@@ -291,7 +298,7 @@ def _counted(shape: Shape, buckets: int):
             edges = np.searchsorted(which[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[b] : edges[b + 1]]
-                out.append({"bucket": b, "kind": kind, "codes": codes[own].astype("<i8").tobytes(), "counts": counts[own].astype("<i8").tobytes()})
+                out.append({"bucket": b, "kind": kind, "codes": codes[own].astype("<u4").tobytes(), "counts": counts[own].astype("<u4").tobytes()})
         return out
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +308,7 @@ def _counted(shape: Shape, buckets: int):
             for x in batch.column(0):
                 held.append(x.as_py())
                 n += len(held[-1])
-                if n >= 8 * BATCH:
+                if n >= 4 * BATCH:
                     yield pa.RecordBatch.from_pylist(rows(held), _PART_SCHEMA)
                     held, n = [], 0
         if held:
@@ -313,10 +320,10 @@ def _counted(shape: Shape, buckets: int):
 def _merged(parts: pa.Table) -> pa.Table:
     out = []
     for kind in (0, 1):
-        own = [x for x in parts.to_pylist() if x["kind"] == kind]
-        if own:
-            codes, counts = _summed(*[np.concatenate([np.frombuffer(x[c], "<i8") for x in own]) for c in ("codes", "counts")])
-            out.append({"bucket": parts["bucket"][0].as_py(), "kind": kind, "codes": codes.tobytes(), "counts": counts.tobytes()})
+        own = parts.filter(pc.equal(parts["kind"], kind))
+        if own.num_rows:
+            codes, counts = _summed(*[np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in own[c]]) for c in ("codes", "counts")])
+            out.append({"bucket": parts["bucket"][0].as_py(), "kind": kind, "codes": codes.tobytes(), "counts": counts.astype("<i8").tobytes()})
     return pa.Table.from_pylist(out, _PART_SCHEMA)
 
 
@@ -328,11 +335,11 @@ def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
         into[own[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def sums(model: Model, kind: int, codes: np.ndarray, counts: np.ndarray, observed: bool) -> np.ndarray:
-    """By hashed row and class (or word): how often it followed, observed or expected under the model."""
+def sums(model: Model, kind: int, codes: np.ndarray, counts: np.ndarray, observed: bool, out: np.ndarray | None = None) -> np.ndarray:
+    """By hashed row and class (or word): how often it followed, observed or expected under the model; added to ``out``."""
     shape = model.shape
     n = shape.width if kind == 0 else IN_CLASS
-    out = np.zeros((shape.rows, n))
+    out = np.zeros((shape.rows, n)) if out is None else out
     before = codes // n
     first = np.flatnonzero(np.r_[True, before[1:] != before[:-1]][: len(codes)])
     edges = np.r_[first, len(codes)]
@@ -351,26 +358,32 @@ def sums(model: Model, kind: int, codes: np.ndarray, counts: np.ndarray, observe
 
 
 def _gradient(model: Model, observed: bool):
-    """Sums of each bucket, in single precision by bucket, so that their total does not depend on the tasks."""
+    """Sums of each task, in double precision, so that their total depends on the tasks in its last digits only."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray | None] = [None, None]
         for batch in batches:
-            for bucket, kind, codes, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = sums(model, kind, np.frombuffer(codes, "<i8"), np.frombuffer(counts, "<i8"), observed).ravel()
-                cut = np.array_split(found.astype("<f4"), PIECES)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * PIECES, pa.int32()), "piece": pa.array([kind * PIECES + i for i in range(PIECES)], pa.int32()), "v": pa.array([c.tobytes() for c in cut], pa.binary())})
+            for kind, codes, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out[kind] = sums(model, kind, np.frombuffer(codes, "<u4").astype(np.int64), np.frombuffer(counts, "<i8"), observed, out[kind])
+        for kind, found in enumerate(out):
+            if found is not None:
+                cut = [c.tobytes() for c in np.array_split(found.ravel(), PIECES)]
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(kind * PIECES, (kind + 1) * PIECES), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * PIECES, pa.int32()), "v": pa.array(cut, pa.binary())})
 
     return over
 
 
 def _added(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("bucket")
-    total = sum(np.frombuffer(v.as_py(), "<f4").astype(float) for v in rows["v"])
-    return pa.table({"piece": rows["piece"][:1].combine_chunks(), "v": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros(len(rows["v"][0].as_py()) // 8)
+    for v in rows.sort_by("part")["v"]:
+        total += np.frombuffer(v.as_py())
+    return pa.table({"piece": rows["piece"][:1].combine_chunks(), "part": rows["part"][:1].combine_chunks(), "v": pa.array([total.tobytes()], pa.binary())})
 
 
 def _total(table: DataFrame, model: Model, observed: bool) -> list[np.ndarray]:
     """The sums over all buckets: for classes and for words."""
-    found = table.mapInArrow(_gradient(model, observed), "bucket int, piece int, v binary").groupBy("piece").applyInArrow(_added, "piece int, v binary").collect()
+    shape = "piece int, part int, v binary"
+    found = table.mapInArrow(_gradient(model, observed), shape).groupBy("piece").applyInArrow(_added, shape).collect()
     parts = {r["piece"]: np.frombuffer(r["v"]) for r in found}
     out = []
     for kind, n in ((0, model.shape.width), (1, IN_CLASS)):
@@ -385,17 +398,19 @@ def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, rate: flo
     return (weights + rate * step).astype(np.float32)
 
 
-def train(coded: DataFrame, model: Model, buckets: int, steps: int = STEPS, rate: float = RATE) -> Model:
+def train(coded: DataFrame, model: Model, tokens: int, steps: int = STEPS, rate: float = RATE) -> Model:
     """``model`` after ``steps`` gradient steps over all ``symbols`` (little-endian 16-bit) of ``coded``."""
+    buckets = min(MOST_BUCKETS, max(1, -(-tokens // BUCKET_TOKENS)))
     parts = coded.select("symbols").mapInArrow(_counted(model.shape, buckets), _PART)
-    table = written(parts.groupBy("bucket").applyInArrow(_merged, _PART))
+    table = kept = written(parts.groupBy("bucket").applyInArrow(_merged, _PART))
+    table = table.select("kind", "codes", "counts").coalesce(max(1, -(-buckets * BUCKET_TOKENS // TASK_TOKENS)))
     seen = _total(table, model, True)
     for step in range(steps if seen[0].any() else 0):
         expected = _total(table, model, False)
         now = rate if step < steps - 2 else rate / 2
         moves = [moved(w, s, e, now) for w, s, e in zip((model.class_weights, model.word_weights), seen, expected, strict=True)]
         model = Model(model.shape, model.top, *moves, model.class_bias, model.word_bias, model.ending_mass)
-    discard(table)
+    discard(kept)
     return model
 
 
@@ -415,7 +430,10 @@ def _code(model: Model, buckets: int, total: int, known: int, ends: int):
             return pa.Table.from_pylist([], _CODED_SCHEMA)
         counts = {_END: ends}
         back = dict(zip(counted["bucket"].to_pylist(), counted["counts"].to_pylist(), strict=True))
-        for b, (ws, _) in _vocabulary(docs, buckets).items():
+        found: set[bytes] = set()
+        for text in docs["t"]:
+            found.update(words(text.as_py()))
+        for b, ws in _vocabulary(found, buckets).items():
             counts.update(zip(ws, np.frombuffer(back[b], "<i8").tolist(), strict=True))
         place = dict(zip(counts, range(len(counts)), strict=True))
         symbol = np.fromiter(map(model.symbol, counts), np.int64, len(counts))
@@ -479,5 +497,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     back = counted.where("block >= 0").select("block", "bucket", "counts")
     coded = written(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_code(model, n, total, known, ends), _CODED))
     discard(counted)
-    model = train(coded.where(~F.col("held_out")), model, min(MOST_BUCKETS, max(1, -(-total // BUCKET_TOKENS))), steps)
+    model = train(coded.where(~F.col("held_out")), model, total, steps)
     return coded.mapInArrow(_score(model, total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
