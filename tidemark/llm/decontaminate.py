@@ -153,6 +153,23 @@ def item_windows(text: str) -> list[tuple[int, int, int, int, int, int, int, int
     return out
 
 
+class _Pieces(dict):
+    """How many pieces what stands between white space has, as a character; 128 more if one of them can be in no window."""
+
+    def __init__(self, held: Filter, old: dict[str, str]):
+        self.held, self.old = held, dict(old)
+
+    def __missing__(self, word: str) -> str:
+        found = self.old.get(word)
+        if found is None:
+            pieces = [word] if word.isalpha() else _PIECE.findall(word)
+            known = all(t[0].isdecimal() or t[0].isupper() or self.held.code(t.lower()) or _UNIT.fullmatch(t) for t in pieces)
+            n = min(len(pieces), 127)
+            found = chr(n if known or n >= self.held.least else 128 + n)
+        self[word] = found
+        return found
+
+
 class Filter:
     """Bit tables of the benchmark's words and windows, and the sizes of its windows.
 
@@ -162,7 +179,7 @@ class Filter:
     def __init__(self, words: np.ndarray, windows: np.ndarray, sizes: list[int], least: int, name: str | None = None):
         self.words, self.windows, self.sizes, self.least, self.name = words, windows, sizes, least, name or uuid4().hex
         self.codes: dict[str, int] = {}
-        self.seen: dict[str, int] = {}
+        self.seen = _Pieces(self, {})
 
     def __reduce__(self):
         return _restored, (self.words, self.windows, self.sizes, self.least, self.name)
@@ -178,29 +195,19 @@ class Filter:
             self.codes[token] = found = found if self.words[at >> 3] >> (at & 7) & 1 else 0
         return found
 
-    def pieces(self, word: str) -> int:
-        """How many pieces what stands between white space has; below 0 (-1 - that) if one can be in no window."""
-        found = _PIECE.findall(word)
-        known = all(t[0].isdecimal() or t[0].isupper() or self.code(t.lower()) or _UNIT.fullmatch(t) for t in found)
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        self.seen[word] = n = len(found) if known or len(found) >= self.least else -1 - len(found)
-        return n
-
     def parts(self, text: str) -> str:
         """The text without stretches in which no reading has a window of tokens that are in items or may be names."""
         if not self.sizes or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
             return text.replace("\x01", " ") if self.sizes else ""
         words = text.split()
-        known = list(map(self.seen.get, words))
-        if None in known:
-            known = [self.pieces(w) if n is None else n for w, n in zip(words, known, strict=True)]
-        n = np.array(known, np.int64)
-        cuts = np.flatnonzero(n < 0)
+        if len(self.seen) >= REMEMBERED:  # words that are still in use outlive the older half of the memory
+            self.seen = _Pieces(self, self.seen)
+        n = np.frombuffer("".join(map(self.seen.__getitem__, words)).encode("latin-1"), np.uint8)
+        cuts = np.flatnonzero(n >= 128)
         edges = np.r_[-1, cuts, len(words)]
-        upto = np.r_[0, np.cumsum(np.maximum(n, 0))]
+        upto = np.r_[0, np.cumsum(np.where(n < 128, n, 0), dtype=np.int64)]
         inside = upto[edges[1:]] - upto[edges[:-1] + 1]
-        beside = np.r_[0, -2 - n[cuts], 0]  # pieces of a cut word that may belong to a window beside it
+        beside = np.r_[0, n[cuts].astype(np.int64) - 129, 0]  # pieces of a cut word that may belong to a window beside it
         long = np.flatnonzero(inside + beside[:-1] + beside[1:] >= self.least)
         if not len(long):
             return ""
