@@ -16,6 +16,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
@@ -162,10 +163,10 @@ class _Pieces(dict):
     def __missing__(self, word: str) -> str:
         found = self.old.get(word)
         if found is None:
-            pieces = [word] if word.isalpha() else _PIECE.findall(word)
-            known = all(t[0].isdecimal() or t[0].isupper() or self.held.code(t.lower()) or _UNIT.fullmatch(t) for t in pieces)
+            pieces = (word,) if word.isalpha() else _PIECE.findall(word)
             n = min(len(pieces), 127)
-            found = chr(n if known or n >= self.held.least else 128 + n)
+            known = n >= self.held.least or all(map(self.held.may, pieces))
+            found = chr(n if known else 128 + n)
         self[word] = found
         return found
 
@@ -178,6 +179,7 @@ class Filter:
 
     def __init__(self, words: np.ndarray, windows: np.ndarray, sizes: list[int], least: int, name: str | None = None):
         self.words, self.windows, self.sizes, self.least, self.name = words, windows, sizes, least, name or uuid4().hex
+        self.bits, self.mask = words.tobytes(), 8 * len(words) - 1
         self.codes: dict[str, int] = {}
         self.seen = _Pieces(self, {})
 
@@ -191,15 +193,23 @@ class Filter:
             if len(self.codes) >= REMEMBERED:
                 self.codes.clear()
             found = code(token)
-            at = found % (8 * len(self.words))
-            self.codes[token] = found = found if self.words[at >> 3] >> (at & 7) & 1 else 0
+            at = found & self.mask
+            self.codes[token] = found = found if self.bits[at >> 3] >> (at & 7) & 1 else 0
         return found
 
+    def may(self, piece: str) -> bool:
+        """Whether a piece of a text may be part of a window: it is in items, a number, a unit or perhaps a name."""
+        if piece[0].isupper() or piece[0].isdecimal():
+            return True
+        at = code(piece.lower()) & self.mask
+        return bool(self.bits[at >> 3] >> (at & 7) & 1) or len(piece) <= 10 and _UNIT.fullmatch(piece) is not None
+
     def parts(self, text: str) -> str:
         """The text without stretches in which no reading has a window of tokens that are in items or may be names."""
         if not self.sizes or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
             return text.replace("\x01", " ") if self.sizes else ""
-        words = text.split()
+        flat = text.replace(".", " ").replace(",", " ")  # fewer different words, each where it was
+        words = flat.split()
         if len(self.seen) >= REMEMBERED:  # words that are still in use outlive the older half of the memory
             self.seen = _Pieces(self, self.seen)
         n = np.frombuffer("".join(map(self.seen.__getitem__, words)).encode("latin-1"), np.uint8)
@@ -211,7 +221,9 @@ class Filter:
         long = np.flatnonzero(inside + beside[:-1] + beside[1:] >= self.least)
         if not len(long):
             return ""
-        spans = [m.span() for m in _WORD.finditer(text)]
+        spans, words_, last = {}, _WORD.finditer(flat), -1
+        for k in sorted({*edges[long].tolist(), *edges[long + 1].tolist()} - {-1, len(words)}):
+            spans[k], last = next(islice(words_, k - last - 1, None)).span(), k
         # the words at both edges stay, and what follows on them, so that a stretch is read as in the text
         return "\n".join(text[spans[i][0] if i >= 0 else 0 : spans[j][1] + 1 if j < len(words) else None] for i, j in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
 
