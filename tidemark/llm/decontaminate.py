@@ -16,7 +16,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -42,10 +42,6 @@ _NAME = re.compile(r"[A-ZÀ-ÖØ-Þ](?<=[a-zß-öø-ÿ,;] .)[^\W\d_]*(?: [A-ZÀ-
 #: A word, a placeholder, or the signs between two values.
 _TOKEN = re.compile(r"[^\W_]+|\x01\w|(?<=\x01[nu] )\s*([-+*/^=<>×÷]+)(?=\s*\x01[nu])")
 _CAPITALS = re.compile(r"(?<![^\W_])([A-ZÀ-ÖØ-Þ][^\W\d_]*)((?: [A-ZÀ-ÖØ-Þ][^\W\d_]*)*)")
-#: A number, with its unit, or a word, as they stand in a text.
-_PIECE = re.compile(rf"\d+(?:[.,:/]\d+)*(?:%|[ ]?(?:{UNITS})\b)?|[^\W\d_]+", re.IGNORECASE)
-_WORD = re.compile(r"\S+")
-_UNIT = re.compile(UNITS, re.IGNORECASE)
 #: Names are: capitalised words after a small letter, comma or semicolon; none; all runs of capitalised words; those without
 #: their first word, which may only open a sentence.
 READINGS = ("inside", "none", "all", "tails")
@@ -136,8 +132,7 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(max(0, len(codes) - size + 1), np.uint64)
     for i in range(size):
         out = out * np.uint64(6_364_136_223_846_793_005) + codes[i : len(codes) - size + 1 + i]
-    out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (out ^ out >> np.uint64(32)).view(np.int64)
+    return _mixed(out).view(np.int64)
 
 
 def item_windows(text: str) -> list[tuple[int, int, int, int, int, int, int, int]]:
@@ -154,21 +149,58 @@ def item_windows(text: str) -> list[tuple[int, int, int, int, int, int, int, int
     return out
 
 
-class _Pieces(dict):
-    """How many pieces what stands between white space has, as a character; 128 more if one of them can be in no window."""
+#: Classes of bytes: letters (all beyond ASCII are taken for such), digits, and what stands between.
+_LETTER, _DIGIT = 1, 2
+_CLASS = np.array([_LETTER if b >= 128 or chr(b).isalpha() else _DIGIT if 48 <= b <= 57 else 0 for b in range(256)], np.uint8)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose runs are told apart at once.
+_STEP = 1 << 20
 
-    def __init__(self, held: Filter, old: dict[str, str]):
-        self.held, self.old = held, dict(old)
 
-    def __missing__(self, word: str) -> str:
-        found = self.old.get(word)
-        if found is None:
-            pieces = (word,) if word.isalpha() else _PIECE.findall(word)
-            n = min(len(pieces), 127)
-            known = n >= self.held.least or all(map(self.held.may, pieces))
-            found = chr(n if known else 128 + n)
-        self[word] = found
-        return found
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x), dtype=np.uint64)]) for x in (_ODD, inverse))
+
+
+def runs(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters and of digits in UTF-8 bytes: start, end, a hash of the lower-case letters, and whether it tells nothing.
+
+    The hash says nothing of numbers, of runs that begin with a capital, and of what lies beyond the letters up to U+00FF,
+    which is not looked into; then the last figure is the most tokens that the run can be, else 0.  ``first``: where texts start, at which runs end.
+    """
+    kind = _CLASS[raw]
+    change = np.r_[True, kind[1:] != kind[:-1]] if len(kind) else np.zeros(0, bool)
+    change[first[first < len(kind)]] = True
+    edges = np.r_[np.flatnonzero(change), len(kind)]
+    own = kind[edges[:-1]] > 0
+    start, end = edges[:-1][own], edges[1:][own]
+    low = _LOWER[raw]
+    after = np.r_[False, raw[:-1] == 0xC3]
+    upper = after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
+    low[upper] += 32
+    odd = (raw >= 0x80) & ~after & (raw != 0xC3) | after & ((raw == 0x97) | (raw == 0xB7))
+    upper[:-1] |= upper[1:]  # the first of the two bytes of a capital, which is where a run may begin
+    capital = (raw >= 65) & (raw <= 90) | upper
+    power, inverse = _powers(len(raw))
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:-1][: len(raw)], dtype=np.uint64)]
+    h = (total[end] - total[start]) * inverse[start]
+    strange = np.r_[0, np.cumsum(odd)]
+    size = np.where(strange[end] > strange[start], end - start, 1)
+    return start, end, _mixed(h), np.where((kind[start] == _DIGIT) | capital[start] | (size > 1), size, 0)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def run_hash(word: str) -> int:
+    raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
+    found = runs(raw, np.zeros(0, np.int64))[2]
+    return int(found[0]) if len(found) else 0
 
 
 class Filter:
@@ -177,14 +209,13 @@ class Filter:
     A set bit is only a hint: what it lets through is decided by the join of keys.
     """
 
-    def __init__(self, words: np.ndarray, windows: np.ndarray, sizes: list[int], least: int, name: str | None = None):
-        self.words, self.windows, self.sizes, self.least, self.name = words, windows, sizes, least, name or uuid4().hex
+    def __init__(self, words: np.ndarray, letters: np.ndarray, windows: np.ndarray, sizes: list[int], least: int, name: str | None = None):
+        self.words, self.letters, self.windows, self.sizes, self.least, self.name = words, letters, windows, sizes, least, name or uuid4().hex
         self.bits, self.mask = words.tobytes(), 8 * len(words) - 1
         self.codes: dict[str, int] = {}
-        self.seen = _Pieces(self, {})
 
     def __reduce__(self):
-        return _restored, (self.words, self.windows, self.sizes, self.least, self.name)
+        return _restored, (self.words, self.letters, self.windows, self.sizes, self.least, self.name)
 
     def code(self, token: str) -> int:
         """0 for a token that is in no item."""
@@ -197,40 +228,42 @@ class Filter:
             self.codes[token] = found = found if self.bits[at >> 3] >> (at & 7) & 1 else 0
         return found
 
-    def may(self, piece: str) -> bool:
-        """Whether a piece of a text may be part of a window: it is in items, a number, a unit or perhaps a name."""
-        if piece[0].isupper() or piece[0].isdecimal():
-            return True
-        at = code(piece.lower()) & self.mask
-        return bool(self.bits[at >> 3] >> (at & 7) & 1) or len(piece) <= 10 and _UNIT.fullmatch(piece) is not None
-
-    def parts(self, text: str) -> str:
-        """The text without stretches in which no reading has a window of tokens that are in items or may be names."""
-        if not self.sizes or re.search("[İΣ\x01]", text):  # the lower case of these depends on what stands around
-            return text.replace("\x01", " ") if self.sizes else ""
-        flat = text.replace(".", " ").replace(",", " ")  # fewer different words, each where it was
-        words = flat.split()
-        if len(self.seen) >= REMEMBERED:  # words that are still in use outlive the older half of the memory
-            self.seen = _Pieces(self, self.seen)
-        n = np.frombuffer("".join(map(self.seen.__getitem__, words)).encode("latin-1"), np.uint8)
-        cuts = np.flatnonzero(n >= 128)
-        edges = np.r_[-1, cuts, len(words)]
-        upto = np.r_[0, np.cumsum(np.where(n < 128, n, 0), dtype=np.int64)]
-        inside = upto[edges[1:]] - upto[edges[:-1] + 1]
-        beside = np.r_[0, n[cuts].astype(np.int64) - 129, 0]  # pieces of a cut word that may belong to a window beside it
-        long = np.flatnonzero(inside + beside[:-1] + beside[1:] >= self.least)
-        if not len(long):
-            return ""
-        spans, words_, last = {}, _WORD.finditer(flat), -1
-        for k in sorted({*edges[long].tolist(), *edges[long + 1].tolist()} - {-1, len(words)}):
-            spans[k], last = next(islice(words_, k - last - 1, None)).span(), k
-        # the words at both edges stay, and what follows on them, so that a stretch is read as in the text
-        return "\n".join(text[spans[i][0] if i >= 0 else 0 : spans[j][1] + 1 if j < len(words) else None] for i, j in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
+    def parts(self, texts: list[bytes]) -> list[str]:
+        """Of each text, what is left without stretches in which no reading has a window of tokens of items, values or names.
+
+        The words at both edges of a stretch stay, so that it is read as in the text.
+        """
+        if not self.sizes:
+            return [""] * len(texts)
+        flat = b"".join(texts)
+        raw = np.frombuffer(flat, np.uint8)
+        first = np.cumsum([0, *map(len, texts)])
+        found, at = [], 0
+        while at < len(raw):
+            to = min(len(raw), at + _STEP)
+            if to < len(raw):  # not amid a run
+                gap = np.flatnonzero(_CLASS[raw[at:to]] == 0)
+                to = at + int(gap[-1]) + 1 if len(gap) else to + int(np.argmax(np.r_[_CLASS[raw[to:]] == 0, True]))
+            start, end, h, free = runs(raw[at:to], first[(first >= at) & (first < to)] - at)
+            spot = h & np.uint64(8 * len(self.letters) - 1)
+            may = np.maximum(free, (self.letters[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(np.int64))
+            found.append((start + at, end + at, may))
+            at = to
+        start, end, may = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        # cuts are words that no window holds, and the ends of texts
+        lo, hi = np.r_[start[may == 0], first], np.r_[end[may == 0], first]
+        order = np.lexsort((hi, lo))
+        lo, hi = lo[order], hi[order]
+        inside = np.r_[0, np.cumsum(may)][np.searchsorted(start, lo)]
+        out: list[list[str]] = [[] for _ in texts]
+        for k in np.flatnonzero(np.diff(inside) >= self.least).tolist():
+            row = int(np.searchsorted(first, hi[k], side="right")) - 1
+            out[row].append(flat[lo[k] : hi[k + 1]].decode("utf-8", "replace").replace("\x01", " "))
+        return ["\n".join(x) for x in out]
 
     def keys(self, text: str) -> set[tuple[int, int]]:
-        """Keys of all windows of the text that may be the benchmark's."""
+        """Keys of all windows that may be the benchmark's, of what :meth:`parts` leaves of a text."""
         found: set[tuple[int, int]] = set()
-        text = self.parts(text)
         for reading, toks in readings(text) if text else []:
             codes = np.array(list(map(self.code, toks)), np.uint64)
             absent = np.r_[0, np.cumsum(codes == 0)]
@@ -246,6 +279,8 @@ class Filter:
         return found
 
 
+#: What may stand after a number without being in any item.
+_UNIT_HASHES = np.array([run_hash(x) for u in UNITS.split("|") for x in {re.sub(r"\(.*?\)\?|.\?", "", u), u.replace("(?:", "").replace(")", "").replace("?", "")}], np.uint64)
 _LAST: list[Filter] = []
 
 
@@ -286,9 +321,10 @@ class Items:
         every = [(i, w) for i, t in rows for w in item_windows(t)]
         for i, (r, j, size, n, _, _, *key) in every:
             self.windows[tuple(key)].append((i, r, j, size, n))
-        words = np.array([code(t) for _, t in rows for _, toks in readings(t) for t in toks] or [0], np.uint64)
+        known = {t for _, t in rows for _, toks in readings(t) for t in toks}
+        words, letters = (np.array([f(t) for t in known] or [0], np.uint64) for f in (code, run_hash))
         hashes = np.array([w[5] for _, w in every] or [0], np.int64)
-        self.filter = Filter(_bit_table(words), _bit_table(hashes), sorted({w[2] for _, w in every}), min((w[4] for _, w in every), default=0))
+        self.filter = Filter(_bit_table(words), _bit_table(np.r_[letters, _UNIT_HASHES]), _bit_table(hashes), sorted({w[2] for _, w in every}), min((w[4] for _, w in every), default=0))
 
 
 def matches(text: str, items: Items) -> list[tuple[int, int, int, int]]:
@@ -297,7 +333,7 @@ def matches(text: str, items: Items) -> list[tuple[int, int, int, int]]:
     The figures are those of the item's reading that is covered best.
     """
     at: dict[tuple[int, int, int], set[tuple[int, int]]] = defaultdict(set)
-    for key in items.filter.keys(text):
+    for key in items.filter.keys(items.filter.parts([text.encode("utf-8", "surrogatepass")])[0]):
         for i, r, j, size, n in items.windows.get(key, ()):
             at[i, r, n].add((j, size))
     best: dict[int, tuple[float, int, int, int]] = {}
@@ -309,7 +345,7 @@ def matches(text: str, items: Items) -> list[tuple[int, int, int, int]]:
 
 _WINDOWS = "r int, j int, size int, n int, pieces int, h long, k1 long, k2 long"
 _ITEM = pa.schema(
-    [("item_id", pa.int64()), ("cls", pa.binary()), ("words", pa.list_(pa.int64())),
+    [("item_id", pa.int64()), ("cls", pa.binary()), ("words", pa.list_(pa.int64())), ("letters", pa.list_(pa.int64())),
      ("windows", pa.list_(pa.struct([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in _WINDOWS.split(", ")])))]
 )
 
@@ -321,15 +357,24 @@ def _itemised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             windows = item_windows(t)
             if windows:
-                words = {code(x) for _, toks in readings(t) for x in toks}
-                rows.append({"item_id": i, "cls": xxh3_128_digest(repr(windows)), "words": np.array(sorted(words), np.uint64).view(np.int64), "windows": [dict(zip(names, w, strict=True)) for w in windows]})
+                known = sorted({x for _, toks in readings(t) for x in toks})
+                words, letters = (np.array([f(x) for x in known], np.uint64).view(np.int64) for f in (code, run_hash))
+                rows.append({"item_id": i, "cls": xxh3_128_digest(repr(windows)), "words": words, "letters": letters, "windows": [dict(zip(names, w, strict=True)) for w in windows]})
         yield pa.RecordBatch.from_pylist(rows, _ITEM)
 
 
 def _keyed(held: Filter):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sorted(held.keys(t.as_py().decode("utf-8", "replace"))) for t in batch.column(3)]
+            texts = batch.column(3).to_pylist()
+            keys = []
+            at = 0
+            while at < len(texts):
+                first, taken = at, 0
+                while at < len(texts) and taken < 4 * _STEP:
+                    taken += len(texts[at])
+                    at += 1
+                keys += [sorted(held.keys(t)) if t else [] for t in held.parts(texts[first:at])]
             row = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
             flat = np.array([k for ks in keys for k in ks], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(row)) for i in range(3)], pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["row", "doc_id", "th", "k1", "k2"])
@@ -341,14 +386,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) ->
     """``(row, doc_id, th, item_id, items, windows, covered, item_tokens)``; th: a hash of the text.  None without items."""
     reachable(docs.sparkSession)
     own = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).distinct()
-    items = own.mapInArrow(_itemised, f"item_id long, cls binary, words array<long>, windows array<struct<{_WINDOWS}>>")
+    items = own.mapInArrow(_itemised, f"item_id long, cls binary, words array<long>, letters array<long>, windows array<struct<{_WINDOWS}>>")
     # items with all windows in common are one
-    items = written(items.groupBy("cls").agg(F.min("item_id").alias("item_id"), F.count("*").alias("items"), F.first("words").alias("words"), F.first("windows").alias("windows")))
+    items = written(items.groupBy("cls").agg(F.min("item_id").alias("item_id"), F.count("*").alias("items"), F.first("words").alias("words"), F.first("letters").alias("letters"), F.first("windows").alias("windows")))
     windows = items.select("cls", "item_id", "items", F.explode("windows").alias("w")).select("cls", "item_id", "items", "w.*")
     shape = windows.agg(F.collect_set("size"), F.min("pieces")).first()
     if shape[1] is None:
         return None
-    held = Filter(_bit_table_of(items.select(F.explode("words").alias("x")), "x"), _bit_table_of(windows, "h"), sorted(shape[0]), shape[1])
+    units = docs.sparkSession.createDataFrame([(int(x),) for x in _UNIT_HASHES.view(np.int64)], "x long")
+    words, letters = (items.select(F.explode(c).alias("x")) for c in ("words", "letters"))
+    held = Filter(_bit_table_of(words, "x"), _bit_table_of(letters.unionByName(units), "x"), _bit_table_of(windows, "h"), sorted(shape[0]), shape[1])
     held = docs.sparkSession.sparkContext.broadcast(held)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), text_bytes(F.col(text_col)).alias("t"))
     keys = written(slim.mapInArrow(lambda batches: _keyed(held.value)(batches), "row long, doc_id long, th long, k1 long, k2 long"))
