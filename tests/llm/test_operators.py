@@ -113,9 +113,20 @@ def test_tokens_are_the_library_ones():
     rng = random.Random(3)
     alphabet = "abcdefghijklmnopqrstuvwxyzABCÉéßñüŒœſıİΣσς0123456789'’.,!?-_<|>&# \n\t　日本語한é‍👍\x1c"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 80))) for _ in range(400)]
+    plain = "abcdreslltvmABC''ÉéßàÿçÀ0123.,!?-_|>&# \n\t×÷\x00\x0b"
+    texts += ["".join(rng.choices(plain, k=rng.randint(0, 60))) for _ in range(1500)] + ["don't DON'T 'tis 're'll'd 'S's ''s 5's's x'sun", "a'" * 50, "'", "'l", "'r", "×'s"]
     texts += ["", "it's we've I'll you'd don't", "<|endoftext|> x<|startoftext|>", "ÀÉÎ naïve straße", "a" * 300, "0123 4.5", "''s'sx", "éêeux ouionan. Ça"]
     want = [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(texts, add_special_tokens=False)]
-    assert list(own.ids(texts)) == want
+    assert own.ids(texts) == want
+
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    own = tokenizer(default_path())
+    text = "Some words, it's 12 of them.  And\nmore " * 40 + "x" * 90 + " end"
+    want = np.array(own.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for step in (7, 50, 10_000):
+        monkeypatch.setattr("tidemark.llm.packing._STEP", step)
+        assert own.ids([text, "a", text]) == [want, own.ids(["a"])[0], want]
 
 
 def plain_best_fit(sizes, capacity):

@@ -11,10 +11,11 @@ import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ GROUP, NEARLY_FULL = 8192, 0.98
 REMEMBERED = 500_000
 #: UTF-8 bytes of the pieces that are merged together, at most.
 _SIZES = (4, 8, 12, 24)
+#: Characters of a text that are taken apart at once.
+_STEP = 2_000_000
 _LONGEST, _BREAK = _SIZES[-1], b"\xff\xff\xff\xff"
 
 
@@ -64,7 +67,7 @@ class WordTokenizer:
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
         self.plain = regex.compile(r"[\n!-;=?-~À-ÖØ-öø-įĲ-ž]+")
         self.odd, self.spaced = regex.compile("[\x1c-\x1f]"), regex.compile(r"(?:\S|[\x1c-\x1f])+")
-        self.latin = re.compile("[\\x00-\u012f\u0132-\u017e]*")
+        self.latin = re.compile("[\\x00-\\x1b -;=-~\u00c0-\u00ff]*")
         # memories of two halves: words that are still in use outlive the older half
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -124,20 +127,11 @@ class WordTokenizer:
         now.update(zip(known, map(old.__getitem__, known), strict=True))
         return fresh - known
 
-    def learn(self, words: list[str]) -> None:
-        flat = "\n".join(words)
-        if not self.plain.fullmatch(flat):
-            other = [w for w in words if not self.plain.fullmatch(w)]
-            self.words.update(zip(other, self._library(other), strict=True))
-            words = [w for w in words if self.plain.fullmatch(w)]
-            flat = "\n".join(words)
-        if not words:
-            return
-        split = self.parts.findall(flat.lower())
+    def _know(self, pieces: set[str]) -> None:
+        """See that the memory holds the ids of all these pieces."""
         if len(self.pieces) > REMEMBERED // 2:
             self.old_pieces, self.pieces = self.pieces, {}
-        self.pieces["\n"] = _BREAK
-        fresh = list(self._recalled(set(split) - self.pieces.keys(), self.pieces, self.old_pieces))
+        fresh = self._recalled(pieces - self.pieces.keys() - {"\n"}, self.pieces, self.old_pieces)
         by_size: tuple[list[str], ...] = tuple([] for _ in _SIZES)
         long: list[str] = []
         for p in fresh:
@@ -148,31 +142,136 @@ class WordTokenizer:
                 part = some[i : i + 8192]
                 self.pieces.update(zip(part, self._merge([p.encode() for p in part]), strict=True))
         self.pieces.update(zip(long, self._library(long), strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        flat = "\n".join(words)
+        if not self.plain.fullmatch(flat):
+            other = [w for w in words if not self.plain.fullmatch(w)]
+            self.words.update(zip(other, self._library(other), strict=True))
+            words = [w for w in words if self.plain.fullmatch(w)]
+            flat = "\n".join(words)
+        if not words:
+            return
+        split = self.parts.findall(flat.lower())
+        self._know(set(split))
+        self.pieces["\n"] = _BREAK
         # ids are below 2**16, so a break never stands across ids
         self.words.update(zip(words, b"".join(map(self.pieces.__getitem__, split)).split(_BREAK), strict=True))
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        # the separators U+001C to U+001F are white space to Python alone
-        # what is lowered letter by letter is lowered before words are told apart, so that there are fewer; a special token is not
-        texts = [t.lower() if "<" not in t and self.latin.fullmatch(t) else t for t in texts]
-        split = [self.spaced.findall(t) if self.odd.search(t) else t.split() for t in texts]
+    def _remember(self, words: set[str]) -> None:
         if len(self.words) > REMEMBERED // 2:
             self.old_words, self.words = self.words, {}
-        fresh: set[str] = set()
-        fresh.update(*split)
-        if fresh := self._recalled(fresh - self.words.keys(), self.words, self.old_words):
+        if fresh := self._recalled(words - self.words.keys(), self.words, self.old_words):
             self.learn(list(fresh))
-        get = self.words.__getitem__
-        for s in split:
-            yield b"".join(map(get, s))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        # texts of plain letters alone are taken apart on arrays; special tokens begin with "<"
+        simple = [bool(self.latin.fullmatch(t)) for t in texts]
+        own = [(i, part.encode()) for i, ok in enumerate(simple) if ok and texts[i] for part in _parts(texts[i])]
+        found = self._simple_ids([part for _, part in own])
+        if found is None:
+            simple = [False] * len(texts)
+        else:
+            for (i, _), raw in zip(own, found, strict=True):
+                out[i] += raw
+        other = [i for i, ok in enumerate(simple) if not ok]
+        # the separators U+001C to U+001F are white space to Python alone
+        split = [self.spaced.findall(texts[i]) if self.odd.search(texts[i]) else texts[i].split() for i in other]
+        self._remember(set().union(*split))
+        for i, s in zip(other, split, strict=True):
+            out[i] = b"".join(map(self.words.__getitem__, s))
+        return out
+
+    @staticmethod
+    def _contract(low: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
+        """Mark in ``new`` that an apostrophe which begins a piece takes in the ending after it, and what follows is a piece."""
+        wide = np.r_[low, np.zeros(3, np.uint8)]
+        at = np.flatnonzero((low == 39) & new)
+        one, two = wide[at + 1], wide[at + 2]
+        long = np.zeros(len(at), bool)
+        for ending in ("re", "ve", "ll"):
+            long |= (one == ord(ending[0])) & (two == ord(ending[1]))
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        for which, size in ((short, 1), (long, 2)):
+            hit = at[which]
+            new[hit + 1] = False
+            after = hit + 1 + size
+            after = after[after < len(low)]
+            new[after[kind[after] == _LETTER]] = True
+
+    def _simple_ids(self, texts: list[bytes]) -> list[bytes] | None:
+        """Ids of texts of ASCII and the letters up to U+00FF: each different piece of them all is looked up once.
+
+        Pieces are runs of letters, single digits, runs of signs, and contractions, as in the file's own pattern.  None
+        where two different pieces share a hash.
+        """
+        if not texts:
+            return []
+        flat = b" ".join(texts)
+        raw = np.frombuffer(flat, np.uint8)
+        low = _LOWER[raw]
+        low[1:][(raw[:-1] == 0xC3) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 32
+        kind = _KIND[low]
+        kind[1:][(low[:-1] == 0xC3) & ((low[1:] == 0x97) | (low[1:] == 0xB7))] = _SIGN
+        kind[:-1][(low[:-1] == 0xC3) & ((low[1:] == 0x97) | (low[1:] == 0xB7))] = _SIGN
+        new = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)]
+        self._contract(low, kind, new)
+        edges = np.r_[np.flatnonzero(new), len(raw)]
+        own = kind[edges[:-1]] != _BLANK
+        start, end = edges[:-1][own], edges[1:][own]
+        power, inverse = _powers(1 << max(20, len(raw).bit_length()))
+        total = np.r_[np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)]
+        plain = np.r_[0, np.cumsum(low, dtype=np.int64)]
+        size = end - start
+        code, different = pd.factorize((total[end] - total[start]) * inverse[start] + size.astype(np.uint64))
+        first = np.zeros(len(different), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        # pieces of one hash must also agree in length and sum
+        if (size != size[first][code]).any() or ((plain[end] - plain[start]) != (plain[end] - plain[start])[first][code]).any():
+            return None
+        lower = low.tobytes()
+        pieces = [lower[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        self._know(set(pieces))
+        made = list(map(self.pieces.__getitem__, pieces))
+        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        offset = np.cumsum(length) - length
+        count = length[code]
+        upto = np.r_[0, np.cumsum(count)]
+        ids = np.frombuffer(b"".join(made), "<u4")[np.repeat(offset[code] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cut = 4 * upto[np.searchsorted(start, np.r_[0, ends])]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that end at a space, across which no id goes."""
+    at = 0
+    while len(text) - at > _STEP and (to := text.rfind(" ", at + 1, at + _STEP)) > 0:
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
+
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_BLANK, _LETTER, _DIGIT, _SIGN = range(4)
+#: Of lower-case bytes; those of letters beyond ASCII are letters.
+_KIND = np.array([_BLANK if b == 32 or 9 <= b <= 13 else _LETTER if 97 <= b <= 122 or b >= 128 else _DIGIT if 48 <= b <= 57 else _SIGN for b in range(256)], np.uint8)
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    odd = 0xD6E8FEB86659FD93
+    return tuple(np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
 
 
 @cache
 def tokenizer(path: str) -> WordTokenizer:
     own = WordTokenizer(path)
     probe = ["It's a naïve TEST, 123 times: héllo wörld unbelievably antidisestablishmentarianism (x=1)!", "don't l'été\tÅngström 2nd"]
-    if list(own.ids(probe)) != [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(probe, add_special_tokens=False)]:
+    if own.ids(probe) != [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(probe, add_special_tokens=False)]:
         raise ValueError(f"{path}: not a word-level BPE file of the kind that this tokenizer merges")
     return own
 
@@ -194,7 +293,7 @@ def _cut(path: str, capacity: int):
             while at < batch.num_rows:
                 texts, taken = [], 0
                 first = at
-                while at < batch.num_rows and taken < 1_000_000:
+                while at < batch.num_rows and taken < _STEP:
                     texts.append(batch.column(1)[at].as_py().decode("utf-8", "replace"))
                     taken += len(texts[-1])
                     at += 1
