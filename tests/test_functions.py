@@ -27,7 +27,12 @@ def test_intervals_fit_a_timer():
 
 def test_windows():
     assert time.bucket_start(12_345, 1000) == 12_000
-    assert list(time.bucket_range(500, 3000, 1000)) == [1000, 2000]
+    # the window that the start falls into holds data in range
+    assert list(time.bucket_range(500, 3000, 1000)) == [0, 1000, 2000] and list(time.bucket_range(0, 2000, 1000)) == [0, 1000]
+    assert list(time.bucket_range(100, 200, 1000)) == [0] and not [*time.bucket_range(1500, 1500, 1000), *time.bucket_range(2000, 1000, 1000)]
+    assert time.parse_duration(" 5m ") == 300_000
+    with pytest.raises(ValueError):
+        time.parse_duration("٣m")
     assert time.closed_up_to(1000, 12_345, 2000) == 10_000 and time.closed_up_to(1000, 500, 2000) == 0
     assert time.landing(5000, 3000, 1000) == 5000 and time.landing(1000, 3001, 1000) == 4000
     with pytest.raises(ValueError):

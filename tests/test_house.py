@@ -131,6 +131,184 @@ def test_kinds_and_turns(spark, tmp_path, clock, sink):
     assert store.return_turn("hits", token) and store.take_turn("hits", 1400, 500)
 
 
+def test_rows_of_many_partitions_keep_their_order(spark, tmp_path, clock):
+    e = Event("seen", {"n": int_()})
+    store = Ledger(spark, str(tmp_path))
+    store.append(e, e.staged(spark.range(0, 1600, 1, 16).selectExpr("id AS n"), clock()))
+    assert store.read_pending(e).select("seq").distinct().count() == 1600
+    claim = store.claim_records(e, clock(), limit=10)
+    assert [r.n for r in store.claimed_records(claim, e).collect()] == list(range(10))
+    store.ack(claim, e)
+    assert [r.n for r in store.read_pending(e, limit=3).collect()] == [10, 11, 12] and store.count_pending(e) == 1590
+
+
+def test_a_batch_that_lands_after_a_claim_is_not_lost(spark, tmp_path, clock, sink):
+    """Batch 1 is begun, batch 2 shipped, then batch 1 lands."""
+    c, store = counter(sink), Ledger(spark, str(tmp_path))
+
+    class Slow(Ledger):
+        def floor(self, metric):
+            found = super().floor(metric)
+            if not hasattr(self, "done"):  # another process appends and ships between the reading of the floor and the commit
+                self.done = True
+                store.append(c, c.ops(hits(spark, (100, "a", 1), (1100, "b", 2))))
+                claim = store.claim(c, T0 + 5000, clock())
+                assert {(r.page, r.value) for r in store.claimed_cells(claim, c).collect()} == {("a", 1), ("b", 2)}
+                store.ack(claim, c)
+            return found
+
+    Slow(spark, str(tmp_path)).append(c, c.ops(hits(spark, (200, "a", 5), (6000, "a", 7))))
+    floor = store.floor(c)
+    assert floor == T0 + 1001 and store.count_pending(c) == 2
+    # its windows have shipped, so its rows moved to the first that has not
+    assert [(r.bucket_ms - T0, r.value) for r in store.read_buckets(c).collect()] == [(2000, 5), (6000, 7)]
+    claim = store.claim(c, T0 + 5000, clock())
+    assert [(r.bucket_ms - T0, r.value) for r in store.claimed_cells(claim, c).collect()] == [(2000, 5)]
+    store.release(claim)
+    assert [(r.bucket_ms - T0, r.value) for r in store.read_buckets(c).collect()] == [(2000, 5), (6000, 7)]
+    claim = store.claim(c, T0 + 5000, clock())
+    store.ack(claim, c)
+    assert [(r.bucket_ms - T0, r.value) for r in store.read_buckets(c).collect()] == [(6000, 7)] and len(store.claims(c, "acked")) == 1
+
+
+def test_two_claimers_take_a_row_once(spark, tmp_path, clock, sink):
+    from concurrent.futures import ThreadPoolExecutor
+
+    c = counter(sink)
+    Ledger(spark, str(tmp_path)).append(c, c.ops(hits(spark, (100, "a", 1), (1100, "b", 2))))
+    stores = [Ledger(spark, str(tmp_path)) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda s: s.claim(c, T0 + 5000, clock()), stores))
+        won = [f for f in found if f is not None]
+        assert len(won) == 1 and stores[0].claimed_cells(won[0], c).count() == 2
+        tokens = list(pool.map(lambda s: s.take_turn("x", 1000, 500), stores))
+        assert sum(t is not None for t in tokens) == 1
+        settled = list(pool.map(lambda s: s._settle(won[0], "acked"), stores))
+    assert sum(settled) == 1 and stores[0].floor(c) == T0 + 1001
+    assert stores[0].take_turn("x", 1400, 500) is None and stores[0].take_turn("x", 1500, 500)
+
+
+def test_a_broken_append_is_written_over(spark, tmp_path, clock, sink):
+    c, store = counter(sink), Ledger(spark, str(tmp_path))
+    number, there = store._number(c, "q-7")
+    c.ops(hits(spark, (100, "a", 9))).write.parquet(f"{tmp_path}/rows/hits/batch={number}")  # data, but no commit
+    assert not there and store.read_buckets(c) is None and store.count_pending(c) == 0
+    for _ in range(2):
+        assert store.append(c, c.ops(hits(spark, (100, "a", 1))), key="q-7") == number
+    assert [r.value for r in store.read_buckets(c).collect()] == [1]
+
+
+def test_levels_read_from_the_last_claim(spark, tmp_path, clock, sink):
+    v = Level("depth", {"queue": str_()}, resolution="1s", flush="2s", hold_for="10s")
+    store = Ledger(spark, str(tmp_path))
+    shape = "ts timestamp_ntz, queue string, value double, mode string"
+    for n in range(5):
+        rows = [(at(T0 + 2000 * n + 100), "q", 2.0 if n else 5.0, "add" if n else "set")] + ([(at(T0 + 100), "gone", 1.0, "set")] if n == 0 else [])
+        store.append(v, v.ops(spark.createDataFrame(rows, shape)))
+        claim = store.claim(v, T0 + 2000 * n + 1000, clock())
+        assert store.claim(v, T0 + 2000 * n + 1000, clock()) is None  # one at a time
+        store.ack(claim, v)
+        store.vacuum(v)
+    assert store.files.names("rows/depth") == [] or len(store.files.names("rows/depth")) <= 1
+    assert len(store.files.names("base/depth")) == 1
+    store.append(v, v.ops(spark.createDataFrame([(at(T0 + 12_100), "q", 1.0, "add")], shape)))
+    assert {(r.queue, r.value) for r in store.read_levels(v, T0 + 12_100).collect()} == {("q", 14.0)}
+    claim = store.claim(v, T0 + 13_000, clock())
+    assert {(r.bucket_ms - T0, r.queue, r.value) for r in store.claimed_cells(claim, v).collect()} == {(9000, "q", 13.0), (10_000, "q", 13.0), (11_000, "q", 13.0), (12_000, "q", 14.0), (9000, "gone", 1.0), (10_000, "gone", 1.0)}
+    store.release(claim)
+    assert {(r.bucket_ms - T0, r.value) for r in store.read_buckets(v).collect()} == {(12_000, 14.0)}
+    store.ack(store.claim(v, T0 + 13_000, clock()), v)
+    assert {r.queue for r in spark.read.parquet(f"{tmp_path}/base/depth/*").collect()} == {"q"}  # the hold of the other has run out
+
+
+class Held:
+    """A store of another make: lists in memory behind the protocol alone."""
+
+    durable, shared = False, False
+
+    def __init__(self, spark):
+        self.spark, self.rows, self.taken = spark, {}, {}
+
+    def append(self, metric, rows, key=None):
+        self.rows.setdefault(metric.name, []).append(rows.cache())
+        return len(self.rows[metric.name])
+
+    def _all(self, metric):
+        found = self.rows.get(metric.name)
+        return None if not found else __import__("functools").reduce(lambda a, b: a.unionByName(b), found)
+
+    def read_buckets(self, metric, start=None, end=None, dim_key=None):
+        return None if self._all(metric) is None else metric.fold(self._all(metric))
+
+    def read_pending(self, metric, start=None, end=None, limit=None):
+        return self._all(metric)
+
+    def count_pending(self, metric):
+        return 0 if self._all(metric) is None else self._all(metric).count()
+
+    level_cells = read_buckets
+
+    def floor(self, metric):
+        return 0
+
+    def shipped_to(self, metric):
+        return None
+
+    def claim(self, metric, up_to, now, ahead_from=None, attempt=1):
+        self.taken[metric.name] = self.rows.pop(metric.name, None)
+        return metric.name if self.taken[metric.name] else None
+
+    def claim_records(self, metric, now, limit=None, attempt=1):
+        return self.claim(metric, None, now)
+
+    def claimed_cells(self, claim, metric):
+        return metric.fold(self.claimed_records(claim, metric))
+
+    def claimed_records(self, claim, metric):
+        return __import__("functools").reduce(lambda a, b: a.unionByName(b), self.taken[claim])
+
+    def ack(self, claim, metric):
+        del self.taken[claim]
+
+    def release(self, claim):
+        self.rows[claim] = self.taken.pop(claim)
+
+    def recover(self, metric, now):
+        return []
+
+    def take_turn(self, name, now, interval):
+        return name
+
+    def return_turn(self, name, token):
+        return True
+
+
+def test_a_house_on_a_store_of_another_make(spark, clock, sink):
+    warned = []
+    e = Event("seen", {"n": int_()}, write=sink, flush="5s")
+    v = Level("depth", {"queue": str_()}, resolution="1s", flush="2s", grace="0s", write=sink)
+    house = House(spark, Held(spark), [counter(sink), e, v], now=clock, on_warn=warned.append)
+    assert warned
+    house.write("hits", hits(spark, (100, "a", 1), (200, "a", 2)))
+    house.write("seen", spark.createDataFrame([(7, 1)], "n long, seq long"))
+    house.write("depth", spark.createDataFrame([(at(T0 + 2100), "q", 5.0)], "ts timestamp_ntz, queue string, value double"))
+    assert house.snapshot()["hits"].first().value == 3 and house.pending("seen") == 1 and house.peek("seen").first().n == 7 and house.current()["hits"].count() == 0
+    sink.broken = True
+    assert set(house.flush(final=True).failed) == {"hits", "seen", "depth"} and house.pending("hits") == 2
+    sink.broken = False
+    house.flush(final=True).raise_if_failed()
+    assert {ctx.metric for _, ctx in sink.batches} == {"hits", "seen", "depth"}
+
+
+def test_values_that_no_longer_fit_are_reported(spark, tmp_path, clock, sink):
+    warned = []
+    old = Event("seen", {"n": str_()}, flush="5s")
+    Ledger(spark, str(tmp_path)).append(old, old.staged(spark.createDataFrame([("x",), ("5",)], "n string"), clock()))
+    house = House(spark, str(tmp_path), [Event("seen", {"n": int_()}, write=sink, flush="5s")], now=clock, on_warn=warned.append)
+    house.flush().raise_if_failed()
+    assert warned == ["seen: values that do not fit: n in 1 records"] and {str(r["n"]) for r in sink.batches[0][0]} == {"x", "5"}
+
+
 def test_events_ship_in_order_and_in_parts(spark, tmp_path, clock, sink):
     e = Event("seen", {"n": int_()}, write=sink, flush="5s")
     house = House(spark, str(tmp_path), [e], now=clock, claim_limit=3)

@@ -16,7 +16,7 @@ def parse_duration(value: str | int, name: str = "duration") -> int:
     """Milliseconds of ``'250ms'``, ``'10s'``, ``'5m'``, ``'2h'``, ``'1d'`` or a whole number."""
     if isinstance(value, int) and not isinstance(value, bool) and 0 <= value <= SAFE_INTEGER:
         return value
-    m = re.fullmatch(r"(\d+)(ms|s|m|h|d)", value) if isinstance(value, str) else None
+    m = re.fullmatch(r"([0-9]+)(ms|s|m|h|d)", value.strip()) if isinstance(value, str) else None
     if m is None:
         raise ValueError(f"{name}: not a duration: {value!r}")
     found = int(m[1]) * _UNITS[m[2]]
@@ -51,8 +51,8 @@ def bucket_start(ms: int, resolution: int) -> int:
 
 
 def bucket_range(start: int, end: int, resolution: int) -> range:
-    """Starts of the windows that begin in ``[start, end)``."""
-    return range(-(-start // resolution) * resolution, end, resolution)
+    """Starts of the windows that ``[start, end)`` touches: the first is the one that ``start`` falls into; none if it is empty."""
+    return range(bucket_start(start, resolution), end if end > start else 0, resolution)
 
 
 def closed_up_to(resolution: int, now: int, grace: int) -> int:

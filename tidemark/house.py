@@ -17,7 +17,7 @@ from tidemark.operators.base import DEFAULT_FLUSH, DEFAULT_GRACE, EVENT_FLUSH, B
 from tidemark.operators.event import Event
 from tidemark.operators.level import Level
 from tidemark.plans.snapshot import open_cells, snapshot
-from tidemark.sources.ledger import Claim, Ledger
+from tidemark.sources.ledger import Claim, Ledger, Store
 
 #: Claims that one flush ships at most.
 CLAIMS = 100
@@ -66,7 +66,7 @@ class House:
     def __init__(
         self,
         spark: SparkSession,
-        store: Ledger | str,
+        store: Store | str,
         metrics: Iterable[Metric] = (),
         *,
         now: Callable[[], int] | None = None,
@@ -162,13 +162,8 @@ class House:
 
     def cells(self, metric: Bucketed) -> DataFrame:
         if isinstance(metric, Level):
-            rows = self.store._rows(metric)
-            found = None if rows is None else metric.fold(self.store._ordered(metric, rows))
-            first = self.store.shipped_to(metric)
-            if found is not None and first is not None:  # windows that have shipped are no longer live, what they hold is
-                latest = found.where(F.col("bucket_ms") < first).groupBy(*metric.series).agg(F.max_by("value", "bucket_ms").alias("value"), F.max("bucket_ms").alias("bucket_ms"))
-                found = found.where(F.col("bucket_ms") >= first).unionByName(latest)
-            return found if found is not None else self._no_cells(metric)
+            found = self.store.level_cells(metric)
+            return self._no_cells(metric) if found is None else found
         found = self.store.read_buckets(metric)
         return self._no_cells(metric) if found is None else found
 
@@ -208,11 +203,15 @@ class House:
         """Rows to the sink, then settle; a sink that raises puts them back for the next attempt."""
         try:
             if isinstance(metric, Event):
-                stored = self.store.claimed(claim, metric).orderBy("seq")
-                rows, b = metric.reread(stored).drop("_misfits"), metric.bounds(stored)
+                stored = self.store.claimed_records(claim, metric)
+                rows, b = metric.reread(stored), metric.bounds(stored)
+                self._report_misfits(metric, rows)
+                rows = rows.drop("_misfits")
             else:
                 cells = self.store.claimed_cells(claim, metric)
                 rows, b = metric.rows(cells), metric.bounds(cells)
+                if b["rows"]:
+                    self._report_unreadable(metric, cells)
             if b["rows"] and metric.write is not None:
                 metric.write(rows, WriteContext(metric.name, metric.kind, b["bucket_from"], b["bucket_to"], b["total"], self._attempts.get(metric.name, 1), source))
         except BaseException:
@@ -223,6 +222,21 @@ class House:
         self._attempts.pop(metric.name, None)
         return b["rows"]
 
+    def _report_misfits(self, metric: Event, rows: DataFrame) -> None:
+        """Tell how many records of a batch, and which fields, no longer fit the declaration; they ship as they are."""
+        found = rows.where(F.size("_misfits") > 0).select(F.explode("_misfits").alias("f")).groupBy("f").agg(F.count("*").alias("n")).orderBy("f").collect()
+        if found:
+            self.on_warn(f"{metric.name}: values that do not fit: {', '.join(f'{r.f} in {r.n} records' for r in found)}")
+
+    def _report_unreadable(self, metric: Bucketed, cells: DataFrame) -> None:
+        """Tell which dims of stored keys cannot be read under the declaration as it is now."""
+        raw = [f"_raw_{d}" for d in metric.dims]
+        if not raw:
+            return
+        found = metric.decoded(cells.select("dim_key").distinct()).agg(*[F.count(F.col(c)).alias(c) for c in raw]).first()
+        if bad := [f"{d} in {found[f'_raw_{d}']} series" for d in metric.dims if found[f"_raw_{d}"]]:
+            self.on_warn(f"{metric.name}: keys that cannot be read: {', '.join(bad)}")
+
     def flush_one(self, metric: Metric | str, *, final: bool = False, force: bool = False, source: str = "flush") -> FlushReport:
         """Recover, claim and ship one metric, unless it shipped within its interval or another process has its turn."""
         metric = self._metrics[metric] if isinstance(metric, str) else metric

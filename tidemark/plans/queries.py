@@ -351,9 +351,14 @@ def event_defaults(spark, sf_dir):
     return e.staged(rows, NOW, ids=_id()).select("event_id", "price", "referrer")
 
 
-@query("SELECT event_id, props AS text, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN to_json(props) ELSE props END AS text, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
 def event_json_text(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.col("props").alias("text"), F.expr("variant_get(parse_json(props), '$.k', 'bigint')").alias("k"))
+    """A json field keeps JSON as it is and ships what is none as a JSON text (every third is broken here on purpose)."""
+    e = Event("noted", {"event_id": int_(), "props": json_()})
+    rows = events(spark, sf_dir).withColumn("props", F.when(F.col("event_id") % 3 == 0, F.to_json(F.array("props")).substr(F.lit(2), F.length(F.to_json(F.array("props"))) - 2)).otherwise(F.col("props")))
+    stored = e.staged(rows.select("event_id", F.col("ts").alias("at"), "props", "seq"), NOW, ids=_id())
+    found = e.reread(stored)
+    return found.select("event_id", F.col("props").alias("text"), F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
 
 
 @query(f"SELECT {_TS} AS ts, user_id, event_type, value, props FROM events ORDER BY event_id LIMIT 15")
@@ -479,17 +484,100 @@ def claim_context(spark, sf_dir):
     return spark.createDataFrame(seen, "bucket_from long, bucket_to long, total long, rows long")
 
 
-@query(f"SELECT date_trunc('hour', ts) AS bucket_ts, event_type, {_FOLD} FROM events GROUP BY ALL")
+_HALF = OPENED - 10 * DAY
+# even ids come first; a claim then closes the windows below the last of them that is over, and is released
+_CLOSED = f"(SELECT max({MS}) + {HOUR} FROM events WHERE event_id % 2 = 0 AND {MS} < {_HALF})"
+_HALVES = f"(SELECT *, CASE WHEN event_id % 2 = 0 THEN {MS} ELSE greatest({MS}, coalesce({_CLOSED}, 0)) END AS ms FROM events)"
+
+
+@query(
+    f"""SELECT make_timestamp(ms * 1000) AS bucket_ts, event_type, arg_max(value, event_id + CASE WHEN event_id % 2 = 1 THEN 1000000000000 ELSE 0 END) AS last, min(value) AS min, max(value) AS max,
+    CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum, count(*) AS count FROM {_HALVES} GROUP BY ALL"""
+)
 def release_merge(spark, sf_dir):
-    """A released claim (even ids) and what came since (odd ids) fold as one."""
+    """A released claim's rows (even ids) are live again and merge with what came since (odd ids), which moved past its windows."""
     e = worth(events(spark, sf_dir))
     store = _stored(spark, WORTH, e.where("seq % 2 = 0"))
-    claim = store.claim(WORTH, 2**62, NOW)
-    store.release(claim)
-    store.files.write(f"meta/{WORTH.name}.json", {"kind": WORTH.kind, "floor": 0})  # as if the claim had not closed them
-    # the ids stand for the order of arrival
-    rows = store.live(WORTH).drop("batch", "seq").withColumnRenamed("arrival", "seq").unionByName(WORTH.ops(e.where("seq % 2 = 1")).withColumn("moved", F.lit(False)))
-    return rounded(WORTH.rows(WORTH.fold(rows)).drop("id"))
+    claim = store.claim(WORTH, _HALF, NOW)
+    store.append(WORTH, WORTH.ops(e.where("seq % 2 = 1")))
+    if claim is not None:
+        store.release(claim)
+    return rounded(WORTH.rows(store.read_buckets(WORTH)).drop("id"))
+
+
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id % 4, event_id) - 1) // 100 AS BIGINT) AS claim FROM (SELECT event_id FROM events ORDER BY event_id % 4, event_id LIMIT 1050)")
+def claim_fifo(spark, sf_dir):
+    """Records of four batches, each over many partitions, ship in their order of arrival, 100 by 100."""
+    e = Event("queued", {"event_id": int_()})
+    first = events(spark, sf_dir).select("event_id", F.col("ts").alias("at"), "seq")
+    store = Ledger(spark, scratch(spark))
+    for part in range(4):
+        store.append(e, e.staged(first.where(F.col("event_id") % 4 == part).repartition(16), NOW, ids=_id()))
+    out = None
+    for n in range(11):
+        claim = store.claim_records(e, NOW, 100 if n < 10 else 50)
+        if claim is None:
+            break
+        rows = store.claimed_records(claim, e).select("event_id", F.lit(n).cast("long").alias("claim"))
+        out = rows if out is None else out.unionByName(rows)
+        store.ack(claim, e)
+    return out
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY event_id % 2, event_id) AS BIGINT) AS place FROM events")
+def append_order(spark, sf_dir):
+    """Pending records come batch by batch, and within each as they arrived, whatever their partitions."""
+    e = Event("queued", {"event_id": int_()})
+    store = Ledger(spark, scratch(spark))
+    for part in range(2):
+        rows = events(spark, sf_dir).where(F.col("event_id") % 2 == part).select("event_id", F.col("ts").alias("at"), "seq")
+        store.append(e, e.staged(rows.repartition(16), NOW, ids=_id()))
+    pending = store.read_pending(e).select("event_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return spark.createDataFrame(pending, "event_id long, place long")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS value FROM events GROUP BY ALL")
+def resend_once(spark, sf_dir):
+    """A batch that broke off before it was committed, then one sent twice under its key, count once."""
+    store, rows = Ledger(spark, scratch(spark)), EVENTS.ops(unit_events(events(spark, sf_dir)))
+    number, _ = store._number(EVENTS, "stream-0")  # the first try dies after half of its rows
+    rows.limit(100).write.parquet(f"{store.path}/rows/{EVENTS.name}/batch={number}")
+    for _ in range(2):
+        store.append(EVENTS, rows, key="stream-0")
+    return store.read_buckets(EVENTS).groupBy("event_type").agg(F.sum("value").alias("value"))
+
+
+# half of the events come after the windows up to _HALF have shipped; what is late then lands in the first open window
+_LATE_HALF = f"(SELECT event_id, event_type, value, event_id % 2 AS late, {MS} AS own, CASE WHEN event_id % 2 = 1 THEN greatest({MS}, {_HALF}) ELSE {MS} END AS ms FROM events WHERE {RANGE})"
+
+
+def _in_two(spark, sf_dir, level: Level, rows: DataFrame) -> DataFrame:
+    """Cells of a level whose even ids ship up to ``_HALF`` before the odd ids come."""
+    store = _stored(spark, level, rows.where("seq % 2 = 0"))
+    store.ack(store.claim(level, _HALF, NOW), level)
+    store.append(level, level.ops(rows.where("seq % 2 = 1")))
+    return level.rows(store.read_buckets(level)).drop("id")
+
+
+@query(
+    f"""WITH d AS (SELECT *, late = 1 AND ms > own AS moved FROM {_LATE_HALF}), own AS (SELECT event_type, ms, min(late * 1000000000000 + event_id) AS first FROM d WHERE NOT moved GROUP BY ALL),
+    kept AS (SELECT d.* FROM d LEFT JOIN own USING (event_type, ms) WHERE NOT (moved AND first IS NOT NULL AND first < late * 1000000000000 + event_id))
+    SELECT make_timestamp(ms * 1000) AS bucket_ts, event_type, arg_max(value, late * 1000000000000 + event_id) AS value FROM kept WHERE ms >= {_HALF} GROUP BY ALL"""
+)
+def level_late_set(spark, sf_dir):
+    """A late set moves to the first open window, and gives way to a reading that the window has of its own."""
+    return _in_two(spark, sf_dir, Level("last_value", {"event_type": str_()}, resolution="1h"), worth(before_now(spark, sf_dir)))
+
+
+@query(
+    f"""WITH d AS (SELECT event_type, ms, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) AS v FROM {_LATE_HALF} GROUP BY ALL),
+    r AS (SELECT event_type, ms, sum(v) OVER (PARTITION BY event_type ORDER BY ms) AS value FROM d)
+    SELECT make_timestamp(ms * 1000) AS bucket_ts, event_type, CAST(value AS DOUBLE) AS value FROM r WHERE ms >= {_HALF}"""
+)
+def level_late_add(spark, sf_dir):
+    """A late move counts from the first open window on, on top of what shipped before."""
+    rows = before_now(spark, sf_dir).select("ts", "event_type", F.when(F.col("event_id") % 3 == 0, -1.0).otherwise(1.0).alias("value"), F.lit("add").alias("mode"), "seq")
+    return _in_two(spark, sf_dir, Level("moves", {"event_type": str_()}, resolution="1h"), rows)
 
 
 _PARTS = "(SELECT *, CAST((event_id - (SELECT min(event_id) FROM events)) * 4 // (SELECT count(*) FROM events) AS INT) AS part FROM events)"

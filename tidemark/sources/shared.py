@@ -12,10 +12,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below one of our own only where none is set.  Deleted at the end."""
+    """A new folder below ``spark.checkpoint.dir``; below one of our own only where none is set and all run in this process.  Deleted at the end."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
         if not known.isDefined():
             spark.sparkContext.setCheckpointDir(root)
