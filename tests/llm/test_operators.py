@@ -254,6 +254,68 @@ def test_containers_without_article():
     assert extract("<div class='post-header'><h1>T</h1></div><div class=post><p>Text, of the post, at some length for points.</p></div>").split("\n")[-1].startswith("Text")
 
 
+def test_short_parts_beside_the_best_container_stay():
+    long = "<p>The main part, which goes on for a while, with commas, and with enough said in it to be the best by far.</p>" * 4
+    page = "<body><div class=menu><a href=1>Home</a></div><div class=page>%s</div><div class=footer>Bye.</div></body>"
+    got = extract(page % f"<p>Short intro.</p>Bare words too.<div>{long}</div><p>Another.</p><div><p>A closing section of some length, with one comma</p><p>and its end.</p></div>Final words.<p><a href=2>More of this</a></p><div>Logo</div><div>© Them.</div>")
+    lines = got.split("\n")
+    assert lines[:2] == ["Short intro.", "Bare words too."] and lines[6:] == ["Another.", "A closing section of some length, with one comma", "and its end.", "Final words."]
+
+
+def test_names_alone_do_not_decide_in_a_marked_article():
+    page = (
+        "<article><h1>T</h1><section class='related-work'><p>Others have, too.</p></section><div class='notice-of-motion'>Moved, and seconded.</div>"
+        "<div class='search-results-we-found'>They were few.</div><div class='related-posts box'><p>Read this, too.</p></div><div class='share-buttons'>Share</div><div class=ad>Buy.</div>"
+        "<div class='related-reading-tips'><a href=1>All of it a link</a></div><p>End.</p></article>"
+    )
+    assert extract(page).split("\n") == ["T", "Others have, too.", "Moved, and seconded.", "They were few.", "End."]
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 400 + "<p>Deep down, there is, after all, a paragraph of some length to find here.</p>" + "</div>" * 400
+    assert extract(f"<body><div class=nav>x</div>{deep}</body>").startswith("Deep down")
+    many = "".join(f"<p>Paragraph {i}, with some text, that is long enough.</p>" for i in range(20_000))
+    assert len(extract(f"<body><div>{many}</div></body>").split("\n")) == 20_000
+
+
+def plain_points(html):
+    """Texts of an unmarked page's best container by the rule as it is told: points halved at each ancestor, less the share in links."""
+    import xml.etree.ElementTree as et
+
+    root = et.fromstring(html)
+    up = {c: p for p in root.iter() for c in p}
+    score = Counter()
+    for p in root.iter("p"):
+        text, at, points = "".join(p.itertext()), up[p], 1.0
+        points += text.count(",") + min(len(text) / 100, 3)
+        while at is not None:
+            score[at] += points
+            at, points = up.get(at), points / 2
+    linked = lambda n: sum(len("".join(a.itertext())) for a in n.iter("a")) / max(1, len("".join(n.itertext())))
+    best = max((n for n in root.iter() if n in score), key=lambda n: score[n] * (1 - linked(n)))
+    return ["".join(p.itertext()).strip() for p in best.iter("p")]
+
+
+def test_best_container_against_plain_points():
+    rng = random.Random(11)
+    for _ in range(60):
+        part = lambda: f"<p>{'word, ' * rng.randint(0, 6)}{'x' * rng.randint(30, 200)}.</p>"
+        boxes = ["".join(part() for _ in range(rng.randint(1, 5))) for _ in range(3)]
+        links = "".join(f"<p><a href='u'>{'link, ' * 4}</a></p>" for _ in range(rng.randint(1, 6)))
+        page = f"<html><body><div><div>{boxes[0]}</div></div><ul>{links}</ul><div><section>{boxes[1]}</section></div><div>{links}</div><div>{boxes[2]}</div></body></html>"
+        assert set(plain_points(page)) <= set(extract(page).split("\n"))
+
+
+def test_unmarked_pages_of_the_tables(spark):
+    """The tables' pages with the mark of their article taken away: nothing of it goes, nothing else comes."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    whole = 0
+    for r in pages:
+        plain = re.sub(r"<(/?)article>", r"<\1div>", r.html)
+        whole += extract(plain) == extract(r.html)
+    assert whole >= 0.95 * len(pages)
+
+
 def test_pages_of_the_tables(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in q.op6_html_text(spark, SF).collect():

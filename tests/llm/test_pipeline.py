@@ -4,11 +4,11 @@ from zlib import crc32
 
 import numpy as np
 from test_operators import plain_dedup
-from test_simhash import plain_components
 
 import corpus_pipeline as p
 from tidemark.llm.decontaminate import LEAST_WORDS, WINDOW, template
 from tidemark.llm.packing import default_path, tokenizer
+from tidemark.llm.simhash import _majority, bits_apart, shingle_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +18,23 @@ def plain_lines(rows):
     return [(i, kept) for (i, t), (kept, cut) in zip(rows, plain_dedup([t for _, t in rows]), strict=True) if kept or not cut]
 
 
+def plain_near(rows):
+    """The smallest id of each group of texts whose fingerprints of 256 bits are as near as a similarity of 0.8 makes them."""
+    fps = [(i, int.from_bytes(_majority(shingle_hashes(t.encode(), 5), 4).tobytes(), "little")) for i, t in rows]
+    own = {i: i for i, _ in fps}
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for i, a in fps:
+        for j, b in fps:
+            if (a ^ b).bit_count() <= bits_apart(0.8) and root(i) != root(j):
+                own[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i, _ in fps}
+
+
 def plain_windows(text):
     toks = template(text)
     return {tuple(toks[i : i + min(WINDOW, len(toks))]) for i in range(max(1, len(toks) - WINDOW + 1))}
@@ -28,8 +45,8 @@ def test_against_a_plain_version(spark):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t)]
     rows = plain_lines(rows)
-    own = plain_components(rows)
-    rows = [(i, t) for i, t in rows if own[i][1] == i]
+    own = plain_near(rows)
+    rows = [(i, t) for i, t in rows if own[i] == i]
     leaks = {w for t in items for w in plain_windows(t) if sum(x[0] != "\x01" for x in w) >= min(LEAST_WORDS, len(w))}
     rows = [(i, t) for i, t in rows if not leaks & plain_windows(t)]
     want = set()

@@ -1,11 +1,14 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.queries import op9_simhash
-from tidemark.llm.simhash import block_masks, fingerprint, keep_one, simhash_groups
+from tidemark.llm.simhash import _by_key, block_masks, fingerprint, keep_one, near_links, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -65,10 +68,102 @@ def test_components_against_all_pairs(spark, tmp_path):
     assert got == plain_components(rows)
 
 
+def test_large_keys_are_split(spark):
+    """Thousands of fingerprints that share every key of the first level, some of them linked."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = {base ^ (rng.getrandbits(24) << 40 if i % 2 else rng.getrandbits(24)) for i in range(600)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps)[:80]}
+    own = {f: f for f in fps}
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 3 and root(a) != root(b):
+                own[max(root(a), root(b))] = min(root(a), root(b))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for most in (32, 100, 4096):
+        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in near_links(df, most=most).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in links)
+        mine = {f: f for f in fps}
+
+        def find(x, mine=mine):
+            while mine[x] != x:
+                x = mine[x]
+            return x
+
+        for a, b in links:
+            if find(a) != find(b):
+                mine[max(find(a), find(b))] = min(find(a), find(b))
+        assert {f: find(f) for f in fps} == {f: root(f) for f in fps}
+
+
+def test_keys_that_go_on_over_batches():
+    rng = np.random.default_rng(1)
+    rows = np.column_stack([np.sort(rng.integers(0, 3, 400)), np.zeros(400, np.int64), np.arange(400)])
+    for size in (1, 7, 100, 400):
+        for most in (3, 60, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i : i + size].T], names=["t", "key", "x"]) for i in range(0, 400, size)]
+            seen = list(_by_key(iter(batches), lambda r: [("whole", r)], lambda r: [("large", r)], most))
+            assert np.array_equal(np.concatenate([r for _, r in seen]), rows)
+            for kind, r in seen:
+                for k in np.unique(r[:, 0]):
+                    whole = (rows[:, 0] == k).sum()
+                    assert (kind == "whole") == (whole <= most) and (kind == "large" or (r[:, 0] == k).sum() == whole)
+
+
+def test_a_hot_key_takes_bounded_time(spark):
+    import time
+
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 1 << 40, 100_000)) << 12  # one key, next to no links
+    began = time.perf_counter()
+    near_links(spark.createDataFrame(pd.DataFrame({"fp": fps})).repartition(4)).count()
+    assert time.perf_counter() - began < 60
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_five_words_go(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(2000)]
+    texts = [rng.choices(vocabulary, k=rng.randint(150, 400)) for _ in range(120)]
+    rows, near = [(i, " ".join(t)) for i, t in enumerate(texts)], []
+    for i, t in enumerate(texts):
+        own = list(t)
+        for _ in range(rng.randint(1, 6)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        near.append((1000 + i, " ".join(own)))
+    kept = {r.doc_id for r in keep_one(spark.createDataFrame(rows + near, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows} <= kept  # other texts stay
+    like = [i for (i, a), (_, b) in zip(near, rows, strict=True) if jaccard(a, b) >= 0.85]
+    assert len(like) >= 60 and sum(i not in kept for i in like) >= 0.9 * len(like)
+
+
+def test_rows_of_a_large_group_leave_one(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(300)]
+    rows = [(5000 - i, " ".join(base[:-1] + [f"x{i % 900}"])) for i in range(3000)] + [(9000, "something else that stands here for itself alone")]
+    assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()) == [2001, 9000]
+
+
 def test_edge_rows(spark):
     rows = [(None, "x y z w", 1), (7, "x y z w", 2), (7, "x y z w", 2), (None, "q r s t u", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_groups(docs).collect())
     assert got == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
-    assert sorted(str(r.doc_id) for r in keep_one(docs).collect()) == ["7", "None"]
+    assert sorted((str(r.doc_id), r.fp) for r in keep_one(docs).collect()) == [("7", 2), ("None", 3)]
+    odd = [(1, None, 0), (2, "", 0), (3, " \t", 0), (4, "one", 0), (4, "two words", 0), (4, "two words", 1), (None, "one", 0), (None, None, 0)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, th int")
+    assert keep_one(odd).columns == odd.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in keep_one(odd).collect()) == [("1", "None"), ("4", "one"), ("4", "two words")]
+    assert keep_one(odd.limit(0)).count() == 0
     assert simhash_groups(docs.limit(0)).count() == 0

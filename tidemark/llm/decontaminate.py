@@ -371,7 +371,7 @@ def _keyed(held: Filter):
             at = 0
             while at < len(texts):
                 first, taken = at, 0
-                while at < len(texts) and taken < 4 * _STEP:
+                while at < len(texts) and taken < _STEP:
                     taken += len(texts[at])
                     at += 1
                 keys += [sorted(held.keys(t)) if t else [] for t in held.parts(texts[first:at])]

@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import reachable
+
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -30,6 +31,11 @@ BOILERPLATE = frozenset(
     "breadcrumbs footer masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notification alert popup modal overlay "
     "newsletter subscribe subscription signup share sharing social related recommended pagination pager toolbar topbar widget complementary contentinfo search disclaimer copyright".split()
 )
+# Words that only say what kind of part such a word names.
+KINDS = frozenset(
+    "area article articles bar block body bottom box button buttons card container content entry feed footer form group header heading holder inner item items left "
+    "link links list main more module outer panel post posts right row section slot space stories story tab tags text title top unit wrap wrapper zone".split()
+)
 # Words before such a word that tell of the page, not the element; words that make a header one of an article.
 ABOUT_PAGE = frozenset("has with without no not hide show".split())
 OF_ARTICLE = frozenset("article entry post story content headline".split())
@@ -43,12 +49,11 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Ancestors that a paragraph passes points to.
-_REACH = 30
+_SENTENCE = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "block", "score", "length", "linked", "good", "within", "kept")
+    __slots__ = ("tag", "parent", "children", "skip", "block", "score", "length", "linked", "good", "within", "kept", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool = False):
         self.tag, self.parent, self.skip = tag, parent, skip
@@ -58,10 +63,15 @@ class Node:
         self.length = self.linked = 0
         self.good = tag in ("article", "main")
         self.within = self.good or parent is not None and parent.within  # a marked article or something in one
-        self.kept = False
+        self.kept = self.doubt = False
+
 
+def _unwanted(tag: str, attributes: str, within: bool) -> bool | None:
+    """Whether an element is no part of an article; None where its links must tell.
 
-def _unwanted(tag: str, attributes: str, within: bool) -> bool:
+    Within a marked article a name like ``related-work`` does not decide, only one whose every word says the same.
+    """
+    doubt = False
     if tag in SKIPPED or tag == "header" and not within:
         return True
     if not attributes:
@@ -76,10 +86,13 @@ def _unwanted(tag: str, attributes: str, within: bool) -> bool:
         elif tag not in ("html", "body"):
             words = [w.lower() for w in _WORD.findall(value)]
             if any(w in BOILERPLATE and (i == 0 or words[i - 1] not in ABOUT_PAGE) for i, w in enumerate(words)):
-                return True
+                names = [[w.lower() for w in _WORD.findall(x)] for x in value.split()]
+                if not within or any(BOILERPLATE.intersection(n) and (BOILERPLATE | KINDS).issuperset(n) for n in names):
+                    return True
+                doubt = True
             if "header" in words and not within and not OF_ARTICLE.intersection(words):
                 return True
-    return False
+    return None if doubt else False
 
 
 def parse(html: str) -> list[Node]:
@@ -121,7 +134,9 @@ def parse(html: str) -> list[Node]:
                 elif up.block and not ends:
                     break
                 up = up.parent
-        node = Node(tag, now, now.skip or _unwanted(tag, m[3], now.within))
+        unwanted = _unwanted(tag, m[3], now.within)
+        node = Node(tag, now, now.skip or unwanted is True)
+        node.doubt = unwanted is None
         now.children.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -140,12 +155,6 @@ def _closed(now: Node, to: Node, open_: Counter[str]) -> Node:
     return to
 
 
-def _up(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 def blocks(node: Node) -> list[tuple[str, Node, int]]:
     """Texts of blocks below ``node`` in page order: text, innermost block element, characters of it in links."""
     out: list[tuple[str, Node, int]] = []
@@ -193,11 +202,12 @@ def extract(html: str) -> str:
     for text, owner, linked in found:
         paragraph = owner.tag in PARAGRAPHS
         points = 1 + text.count(",") + min(len(text) / 100, 3) if paragraph or len(text) >= 25 else 0.2
-        for step, up in enumerate(islice(_up(owner.parent if paragraph else owner), _REACH)):
-            up.score += points / 2**step
+        start = owner.parent if paragraph else owner
+        start.score += points
         owner.length += len(text)
         owner.linked += linked
-    for node in reversed(nodes[1:]):
+    for node in reversed(nodes[1:]):  # children before parents
+        node.parent.score += node.score / 2
         node.parent.length += node.length
         node.parent.linked += node.linked
 
@@ -211,16 +221,33 @@ def extract(html: str) -> str:
     while best.tag in PARTS and not best.parent.skip:
         best = best.parent
     best.kept = True
+    beside: set[int] = set()  # texts of no element of their own beside the best container
     if best.parent is not None and not best.good:
-        bar = max(5.0, 0.2 * worth(best))
+        own: dict[int, list[str]] = {}
+        for i, (text, owner, linked) in enumerate(found):
+            top = owner
+            while top.parent is not None and top.parent is not best.parent:
+                top = top.parent
+            if top.parent is best.parent:
+                own.setdefault(id(top), []).append(text)
+            elif owner is best.parent and not linked and _said([text]):
+                beside.add(i)
+        bar = 0.2 * worth(best)
         for near in best.parent.children:
-            if isinstance(near, Node) and not near.skip:
-                dense = near.linked / max(1, near.length)
-                long = near.tag in PARAGRAPHS and (near.length > 80 and dense < 0.25 or near.length and dense == 0 and near.tag[0] == "h")
-                near.kept = near.kept or worth(near) >= bar or long
+            if isinstance(near, Node) and not near.skip and near.length:
+                dense = near.linked / near.length
+                plain = near.tag in PARAGRAPHS and dense < 0.25 or dense == 0 and _said(own.get(id(near), []))
+                near.kept = near.kept or plain or dense < 0.5 and worth(near) >= bar
     for node in nodes[1:]:
         node.kept = node.kept or node.parent.kept
-    return "\n".join(text for text, owner, _ in found if owner.kept)
+        if node.doubt and node.linked > node.length / 2:
+            node.kept = False
+    return "\n".join(text for i, (text, owner, _) in enumerate(found) if owner.kept or i in beside)
+
+
+def _said(texts: list[str]) -> bool:
+    """Whether there is a sentence among texts, not names or labels alone, and none that claims a copyright."""
+    return any(_SENTENCE.search(t) or len(t) > 80 for t in texts) and not any("©" in t for t in texts)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +260,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page.
 
     Null or blank html gives an empty text, never null; repeated rows give equal rows; an empty table none.  Among
-    equal containers the first that ends wins.  Other columns are not read.
+    equal containers the first wins.  Pages of any length and depth are read whole, in time that grows with them.  Beside the
+    best container all paragraphs stay that are not mostly links, and all else that holds a sentence and no link, or scores a fifth of
+    it.  Other columns are not read.
     """
+    reachable(pages.sparkSession)
     slim = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     kinds = dict(slim.dtypes)
     return slim.mapInArrow(_extracted, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

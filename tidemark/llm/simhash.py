@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
-from math import comb
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +18,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import connected_components, text_bytes, written
+from tidemark.llm.common import connected_components, reachable, text_bytes, written
 
 SEED = 42
 WORDS = 3
 DISTANCE = 3
-#: Candidates per fingerprint and key that unrelated fingerprints may give; more blocks are used beyond it.
+#: Near copies (:func:`keep_one`): words of a shingle, least similarity, words of 64 bits of a fingerprint, least probability
+#: that a pair of the least similarity meets, rows of a key that are compared at once.
+WORDS_NEAR, SIMILARITY, LANES, RECALL, MOST_NEAR = 5, 0.8, 4, 0.9, 65_536
+_LANES = [f"f{i}" for i in range(LANES)]
+_MIX = (0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Candidates per fingerprint and key that unrelated fingerprints may give; more blocks are used beyond it, up to about 200 keys.
 CANDIDATES = 2.0
+#: Fingerprints of one key that are compared with each other; larger keys are split.
+MOST = 1024
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """SimHash of UTF-8 bytes: A-Z lowered, ASCII white space splits, every shingle counts as often as it stands."""
+    return int(_majority(shingle_hashes(text, words))[0])
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     flat = b" ".join(parts)
     if len(parts) <= words:
-        return xxh64_intdigest(flat, SEED)
+        return np.array([xxh64_intdigest(flat, SEED)], "<u8")
     starts = list(accumulate((len(p) + 1 for p in parts), initial=0))
     n = len(parts) - words + 1
     spans = map(slice, starts, [s - 1 for s in starts[words:]])
-    hashes = np.fromiter(map(xxh64_intdigest, map(flat.__getitem__, spans), repeat(SEED)), "<u8", n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
-        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter(map(xxh64_intdigest, map(flat.__getitem__, spans), repeat(SEED)), "<u8", n)
+
+
+def _majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """Bits set in over half the hashes, as ``lanes`` words of 64 bits; lanes after the first mix each hash anew."""
+    out = np.zeros(lanes, "<u8")
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 65_536):
+            own = hashes[i : i + 65_536]
+            if lane:
+                own = (own ^ own >> np.uint64(31)) * np.uint64(_MIX[lane - 1])
+                own = (own ^ own >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+                own = own ^ own >> np.uint64(32)
+            ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[lane] = int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return out
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,56 +109,133 @@ def spanning_links(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int,
     return links
 
 
-def _links(distance: int):
-    def of_runs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _run_links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between positions of ``fp`` (sorted by ``key``) within each run of equal keys."""
+    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
+    size = np.diff(cuts)
+    run = np.repeat(np.arange(len(size)), size)
+    small = np.repeat(size <= 6, size)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, 6):
+        i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
+        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= distance]
+        a.append(i)
+        b.append(i + d)
+    for r in np.flatnonzero(size > 6):
+        if links := spanning_links(fp[cuts[r] : cuts[r + 1]], distance):
+            i, j = np.array(links).T
+            a.append(i + cuts[r])
+            b.append(j + cuts[r])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], whole, large, most: int) -> Iterator[pa.RecordBatch]:
+    """``whole`` of rows with the whole of each key they hold, ``large`` of parts of keys that more than ``most`` rows have.
+
+    Rows come sorted by their first two columns, the key; never more than a batch and ``most`` rows are held.
+    """
+    held: list[np.ndarray] = []
+    n, long = 0, False  # rows held, all of one key, and whether earlier rows of it have gone to ``large``
+
+    def flush():
+        nonlocal held, n
+        rows = np.concatenate(held)
+        held, n = [], 0
+        key = rows[:, :2]
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
         size = np.diff(cuts)
-        run = np.repeat(np.arange(len(size)), size)
-        small = np.repeat(size <= 6, size)
-        a, b = [], []
-        for d in range(1, 6):
-            i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= distance]
-            a.append(fp[i])
-            b.append(fp[i + d])
-        for r in np.flatnonzero(size > 6):
-            own = fp[cuts[r] : cuts[r + 1]]
-            if links := spanning_links(own, distance):
-                i, j = np.array(links).T
-                a.append(own[i])
-                b.append(own[j])
-        return np.concatenate(a), np.concatenate(b)
+        big = np.repeat(size > most, size)
+        if (~big).any():
+            yield from whole(rows[~big])
+        for r in np.flatnonzero(size > most):
+            yield from large(rows[cuts[r] : cuts[r + 1]])
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns])
+        if not len(rows):
+            continue
+        new = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
+        cut = int(new[-1]) + 1 if len(new) else 0  # the last key may go on in the next batch
+        if held and (held[-1][-1, :2] != rows[0, :2]).any() or long and (last != rows[0, :2]).any():
+            if held:
+                yield from (large(np.concatenate(held)) if long else flush())
+                held, n = [], 0
+            long = False
+        if cut:
+            if long:
+                same = int(np.argmax((rows[:, :2] != last).any(1)))
+                yield from large(np.concatenate([*held, rows[:same]]))
+                held, n, long = [], 0, False
+                if cut > same:
+                    held.append(rows[same:cut])
+            else:
+                held.append(rows[:cut])
+            if held:
+                yield from flush()
+        held.append(rows[cut:])
+        n, last = n + len(held[-1]), rows[-1, :2].copy()
+        if n > most:
+            yield from large(np.concatenate(held))
+            held, n, long = [], 0, True
+    if held:
+        yield from (large(np.concatenate(held)) if long else flush())
 
-        def out(rows: np.ndarray):
-            a, b = of_runs(rows[:, :2], np.ascontiguousarray(rows[:, 2]).view("<u8"))
-            return pa.RecordBatch.from_arrays([pa.array(a.view("<i8")), pa.array(b.view("<i8"))], names=["a", "b"])
 
-        for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype("<i8") for c in batch.columns])
-            if not len(rows):
-                continue
-            new = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
-            cut = new[-1] + 1 if len(new) else 0  # the last key may go on in the next batch
-            if cut or (held and (held[-1][-1, :2] != rows[0, :2]).any()):
-                yield out(np.concatenate([*held, rows[:cut]]))
-                held = []
-            held.append(rows[cut:])
-        if held:
-            yield out(np.concatenate(held))
+def sub_masks(mask: int, distance: int = DISTANCE) -> list[int]:
+    """Masks that split a key further: ``mask`` with two of ``distance + 2`` blocks of the bits that it leaves."""
+    left = [i for i in range(64) if not mask >> i & 1]
+    blocks = distance + 2
+    parts = [sum(1 << i for i in left[len(left) * k // blocks : len(left) * (k + 1) // blocks]) for k in range(blocks)]
+    masks = [mask % (1 << 64) | x | y for x, y in combinations(parts, 2)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+_LINK = "kind int, a long, b long, c long"
+
+
+def _links(distance: int, most: int):
+    """Rows ``(mask, key, fp)`` to links (kind 0: two fingerprints) and to rows under finer masks where a key has too many (kind 1)."""
+
+    def batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns[0])
+        rest = [np.zeros(n, np.int64)] * (3 - len(columns))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(c) for c in (*columns, *rest)]], names=["kind", "a", "b", "c"])
+
+    def whole(rows: np.ndarray):
+        fp = np.ascontiguousarray(rows[:, 2])
+        i, j = _run_links(rows[:, :2], fp.view("<u8"), distance)
+        yield batch(0, fp[i], fp[j])
+
+    def large(rows: np.ndarray):
+        fp = np.ascontiguousarray(rows[:, 2])
+        for m in sub_masks(int(rows[0, 0]), distance):
+            yield batch(1, np.full(len(fp), m, np.int64), fp & m, fp)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_key(batches, whole, large, most)
 
     return over
 
 
-def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links ``(a, b)`` between distinct values of column ``fp`` that connect all pairs within ``distance`` bits."""
+def near_links(fps: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
+    """Links ``(a, b)`` between distinct values of column ``fp`` that connect all pairs within ``distance`` bits.
+
+    A key that more than ``most`` fingerprints share is split by the bits that it leaves, of which two blocks of
+    ``distance + 2`` agree in a close pair, until all keys are small; so no task compares more than ``most`` with each other.
+    """
+    if most < 2 ** (distance + 2):
+        raise ValueError("keys of so few fingerprints may have no bits left to split by")
     masks = block_masks(fps.count(), distance)
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    rows = fps.select(F.explode(keys).alias("k"), "fp").select(F.col("k.t").cast("long").alias("t"), "k.key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    return rows.mapInArrow(_links(distance), "a long, b long")
+    keys = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for m in masks])
+    rows = fps.select(F.explode(keys).alias("k"), "fp").select(F.col("k.mask").cast("long").alias("mask"), "k.key", "fp")
+    links = None
+    while True:
+        found = written(rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_links(distance, most), _LINK))
+        own = found.where("kind = 0").select("a", "b")
+        links = own if links is None else links.unionByName(own)
+        rows = found.where("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("key"), F.col("c").alias("fp"))
+        if not rows.limit(1).count():
+            return links
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -143,8 +243,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     component_id is the smallest id reachable over links.  Null or blank texts have fingerprint zero and link as any
     other.  Rows that repeat an id each get a row.  A null id takes part and never names a component (null if its
-    component has no other).  An empty table gives no rows; other columns are not read.
+    component has no other).  Long texts are read whole.  An empty table gives no rows; other columns are not read.
     """
+    reachable(docs.sparkSession)
     made = written(fingerprints(docs, id_col, text_col))
     nodes = written(made.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(near_links(nodes.select("fp"), distance))
@@ -154,16 +255,106 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` without near-copies: of each component the row with the smallest doc_id stays, once.
+# ---- near copies by similarity ----
+
+
+def bits_apart(similarity: float, bits: int = 64 * LANES) -> float:
+    """Expected differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    return bits * acos(2 * similarity / (1 + similarity)) / pi
+
+
+def lookups(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+    """Bits of each table's key, for ``n`` fingerprints.
+
+    Keys are wide enough that few unrelated fingerprints share one, and there are as many tables as make a pair of just
+    this similarity share a key with probability ``recall``; closer pairs share more.
+    """
+    width = max(8, n.bit_length() + 1)
+    agree = (1 - bits_apart(similarity, 1)) ** width
+    tables = ceil(log(1 - recall) / log(1 - agree))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(64 * LANES, width, replace=False)) for _ in range(tables)]
+
+
+def _wide(words: int):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([_majority(shingle_hashes(t.as_py(), words), LANES) for t in batch.column(2)], "<u8").reshape(-1, LANES).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(LANES)]], names=["doc_id", "th", *_LANES])
+
+    return over
+
+
+def _addressed(tables: list[np.ndarray]):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                lanes = np.column_stack([c.to_numpy() for c in part.columns[1:]]).astype("<i8")
+                bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
+                for t, columns in enumerate(tables):
+                    key = np.zeros(len(bits), np.int64)
+                    for c in columns.tolist():
+                        key = key << 1 | bits[:, c]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int64)), pa.array(key), part.column(1), part.column(0)], names=["t", "key", "f0", "node"])
+
+    return over
+
+
+def _near(distance: int, most: int):
+    """Rows ``(t, key, f0, node)`` to candidate links between nodes whose first 64 bits are near."""
+
+    def whole(rows: np.ndarray):
+        i, j = _run_links(rows[:, :2], np.ascontiguousarray(rows[:, 2]).view("<u8"), distance)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[i, 3]), pa.array(rows[j, 3])], names=["a", "b"])
+
+    def large(rows: np.ndarray):
+        for at in range(0, len(rows), most):  # neighbours in the order of bits, then from part to part
+            yield from whole(rows[at : at + most])
+            yield from whole(rows[max(0, at - 1) : at + 1])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_key(batches, whole, large, most)
+
+    return over
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without near copies: of texts linked by a similarity of ``similarity`` or more, one stays, once.
 
-    Rows without a doc_id stay only if no row with one is in their component.
+    Similarity is that of the sets of ``words``-word shingles, as told by fingerprints of ``64 * LANES`` bits: two are linked
+    if they differ in no more bits than two texts of just this similarity do on average.  Fingerprints that could be linked
+    share a key of some table with probability ``RECALL`` or more; texts with equal fingerprints always are one.  Of a group the
+    row of the smallest id stays (then by a hash of the text; rows without an id last); rows that share an id alone are
+    different rows, those that repeat id and text are one.  Null and blank texts are copies of each other, a text of
+    fewer words is one shingle.  Other columns stay as they are, whatever their names; an empty table stays empty.
     """
-    groups = simhash_groups(docs, distance=distance)
-    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    ids = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(first).alias("stays"), F.count("*").alias("rows"))
-    # far fewer rows go than stay, so texts are matched with those that go
-    ids = written(ids.where("not stays or rows > 1"))
-    out = docs.join(ids.where("not stays").select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    # ids are nearly always unique; only if one is not must the rows be brought together
-    return out.dropDuplicates(["doc_id"]) if ids.where("stays").limit(1).count() else out
+    reachable(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), text_bytes(F.col(text_col)).alias("t"))
+    made = written(slim.mapInArrow(_wide(words), ", ".join(["doc_id long", "th long", *[f"{x} long" for x in _LANES]])))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    nodes = made.groupBy(*_LANES).agg(F.min(place).alias("first"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes)
+    tables = lookups(nodes.count(), similarity)
+    rows = nodes.select("node", *_LANES).mapInArrow(_addressed(tables), "t long, key long, f0 long, node long")
+    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "f0")
+    # a pair of the least similarity differs in no more of the first 64 bits than three standard deviations above the mean
+    share = bits_apart(similarity, 1)
+    links = rows.mapInArrow(_near(int(64 * share + 3 * (64 * share * (1 - share)) ** 0.5), MOST_NEAR), "a long, b long").distinct()
+    for end in "ab":
+        links = links.join(nodes.select(F.col("node").alias(end), *[F.col(x).alias(f"{end}{x}") for x in _LANES]), end)
+    apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _LANES), F.lit(0))
+    roots = connected_components(links.where(apart <= bits_apart(similarity)).select("a", "b"))
+    linked = nodes.join(roots, "node", "left").select("node", "first", "rows", *_LANES, F.coalesce("root", "node").alias("root"))
+    best = linked.groupBy("root").agg(F.min("first").alias("best"), F.sum("rows").alias("all")).where("all > 1")
+    # only rows of groups are matched with the texts; far fewer go than stay
+    several = written(linked.join(best, "root").select(*_LANES, "best"))
+    rows = made.join(several, _LANES).groupBy("doc_id", "th").agg(F.bool_or(F.col("best") == place).alias("stays"), F.count("*").alias("n"))
+    rows = written(rows)
+    gone = rows.where("not stays")
+    here = [docs[id_col].cast("long"), F.xxhash64(docs[text_col])]
+    out = docs.join(gone, here[0].eqNullSafe(gone["doc_id"]) & (here[1] == gone["th"]), "left_anti")
+    if not rows.where("stays and n > 1").limit(1).count():
+        return out
+    marked = out.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(text_col)})
+    return marked.dropDuplicates(["__id", "__th"]).drop("__id", "__th")
