@@ -32,32 +32,29 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 
 def words_at(buf: np.ndarray) -> np.ndarray:
-    """Big-endian 8-byte word that starts at each position; bytes past the end are zero."""
-    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
-    out = np.zeros(len(buf), np.uint64)
-    for i in range(8):
-        out <<= np.uint64(8)
-        out |= wide[i : i + len(buf)]
-    return out
+    """Big-endian 8-byte word that starts at each position but the last seven, as a view."""
+    return np.ndarray((max(0, len(buf) - 7),), ">u8", np.ascontiguousarray(buf), strides=(1,))
 
 
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = DEPTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``depth`` bytes, and whether each differs from the one before.
 
-    ``buf`` must go on ``depth`` bytes beyond every start.
+    ``buf`` must go on ``depth + 8`` bytes beyond every start.
     """
     n = len(starts)
-    word = words_at(buf)
+    words = words_at(buf)
+    word = lambda at: words[at].astype(np.uint64)
     # shallow: multikey sort with 8-byte words as letters, partitioned by sorting each word; only groups equal so far go on
-    order = np.argsort(word[starts])
-    key = word[starts[order]]
+    key = word(starts)
+    order = np.argsort(key)
+    key = key[order]
     new = np.r_[True, key[1:] != key[:-1]][:n]
     for at in range(8, shallow, 8):
         group = np.cumsum(new) - 1
         open_ = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1)
         if not len(open_):
             break
-        key = word[starts[order[open_]] + at]
+        key = word(starts[order[open_]] + at)
         own = np.argsort(key)
         own = own[np.argsort(group[open_][own], kind="stable")]
         order[open_], key = order[open_][own], key[own]
@@ -78,7 +75,7 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = DEPTH, shallo
         path = np.zeros(len(s), np.int64)
         left = np.arange(len(s))
         for at in range(shallow, depth, 8):
-            mine, theirs = word[s[left] + at], word[rep[left] + at]
+            mine, theirs = word(s[left] + at), word(rep[left] + at)
             diff = mine ^ theirs
             if at + 8 > depth:
                 diff &= last
@@ -126,19 +123,22 @@ class Block:
         self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
         self.edges = np.r_[0, np.cumsum([len(t) for t in self.texts], dtype=np.int64)]
 
-    def grams(self) -> dict[int, np.ndarray]:
-        """Hash of the 1, 2, 4, ... 64 bytes from each position on."""
+    def grams(self, *sizes: int) -> dict[int, np.ndarray]:
+        """Hash of so many bytes (1, 2, 4, ... 64) from each position on."""
         h = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)[self.buf]
-        out = {1: h}
+        out = {1: h} if 1 in sizes else {}
         for i, mix in enumerate(_MIX):
             size = 1 << i
+            if 2 * size > max(sizes):
+                break
             h = h[:-size] * mix + h[size:] if len(h) > size else h[:0]
-            out[2 * size] = h
+            if 2 * size in sizes:
+                out[2 * size] = h
         return out
 
     def strings(self) -> np.ndarray:
         """Hash of the ``DEPTH`` bytes from each position on."""
-        h = self.grams()
+        h = self.grams(*[1 << i for i in range(7) if DEPTH >> i & 1])
         n = max(0, len(self.buf) - DEPTH + 1)
         at, out, left = 0, np.zeros(n, np.uint64), DEPTH
         for size in sorted(h, reverse=True):
@@ -153,7 +153,7 @@ class Block:
         none = np.zeros(0, np.int64)
         if n < depth:
             return none.astype(np.uint64), none, none
-        h = _mixed(self.grams()[gram])
+        h = _mixed(self.grams(gram)[gram])
         low = np.uint64(0xFFFFFFFF)  # the same for all blocks, so that equal strings choose equal anchors: leftmost of the least upper halves
         least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         size = 1
@@ -334,15 +334,18 @@ def _sort(sent: pa.Table) -> pa.Table:
         order, group = order[whole], group[whole]
         if len(order):
             w, s = which[order], step[order]
-            by = np.lexsort((inside[w] + s, ids[w], group))
-            group, w, s = group[by], w[by], s[by]
-            later = np.r_[False, group[1:] == group[:-1]]
+            rank = np.unique(ids, return_inverse=True)[1]
+            place = rank[w] << 32 | inside[w] + s
+            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            earliest = np.minimum.reduceat(place, head)
+            later = place != np.repeat(earliest, np.diff(np.r_[head, len(group)]))
             w, s = w[later], s[later]
-            at, of = first[w] + s, block[w]
-            by = np.lexsort((at, of))
-            at, of = at[by], of[by]
-            for b in np.unique(of).tolist():
-                rows.append((own[b]["block"], _spans(np.unique(at[of == b])).tobytes()))
+            packed = np.sort(block[w].astype(np.int64) << 40 | first[w] + s)
+            of, at = packed >> 40, packed & (1 << 40) - 1
+            cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)]), len(of)].tolist()
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                mine = at[i:j]  # sorted; strings at one place come once
+                rows.append((own[of[i]]["block"], _spans(mine[np.r_[True, mine[1:] != mine[:-1]]]).tobytes()))
     return _table(_SPANS, rows)
 
 
@@ -372,7 +375,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a string of ``DEPTH`` bytes over it also starts earlier: in a smaller id, or before it in the
     same document.  Null text is empty; a null id counts as smaller than any.  Rows that repeat id and text are one
     document and get equal rows; of rows that share an id alone, the one whose string starts at the smaller place counts as
-    earlier.  ``block_bytes`` and ``hot`` divide the work and change no result; a text longer than a block is one by itself.
+    earlier, and neither where both start at one place.  ``block_bytes`` and ``hot`` divide the work and change no result; a text longer than a block is one by itself.
     An empty table gives no rows; other columns are not read.
     """
     reachable(docs.sparkSession)
