@@ -38,7 +38,8 @@ LEAST_CLASSES, MOST_CLASSES, GROWS_AT = 16, 128, 8_000_000
 #: Hashed rows of both weight tables, at least and for each frequent class.
 LEAST_ROWS, ROWS_A_CLASS = 8192, 128
 STEPS, RATE, SMOOTH, DECAY = 8, 0.7, 3.0, 0.5
-BLOCK_BYTES = 12_000_000
+#: UTF-8 bytes of a block of documents, and the fewest blocks, so that a few do not meet in one task by chance.
+BLOCK_BYTES, LEAST_BLOCKS = 12_000_000, 32
 #: Training tokens whose histories one bucket counts and one task sums up; the most buckets (there are fewer than 2**25
 #: histories); tokens that are counted or scored at once; histories at once; parts that a sum of gradients is cut into.
 BUCKET_TOKENS, TASK_TOKENS, MOST_BUCKETS, BATCH, CHUNK, PIECES = 2_000_000, 16_000_000, 4096, 1_000_000, 8192, 16
@@ -483,7 +484,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     reachable(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_bytes(F.col(text_col)).alias("t"))
     sizes = slim.agg(F.sum(F.octet_length("t")), F.sum((~F.col("held_out")).cast("long"))).first()
-    n, ends = max(1, -(-(sizes[0] or 0) // block_bytes)), sizes[1] or 0
+    n, ends = max(LEAST_BLOCKS, -(-(sizes[0] or 0) // block_bytes)), sizes[1] or 0
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(n)).cast("int")).repartition("block")
     counted = written(dealt.groupBy("block").applyInArrow(_send(n), "bucket int, block int, words binary, counts binary").groupBy("bucket").applyInArrow(_count, _COUNTED))
     all_ = counted.where("block = -1")
