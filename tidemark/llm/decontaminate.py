@@ -16,7 +16,7 @@ import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -158,11 +158,11 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 20
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
+@lru_cache(1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64, up to ``2**bits``."""
     inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x), dtype=np.uint64)]) for x in (_ODD, inverse))
+    return tuple(np.cumprod(np.r_[np.ones(1, np.uint64), np.full(1 << bits, x)], dtype=np.uint64) for x in (_ODD, inverse))
 
 
 def runs(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,8 +184,8 @@ def runs(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     odd = (raw >= 0x80) & ~after & (raw != 0xC3) | after & ((raw == 0x97) | (raw == 0xB7))
     upper[:-1] |= upper[1:]  # the first of the two bytes of a capital, which is where a run may begin
     capital = (raw >= 65) & (raw <= 90) | upper
-    power, inverse = _powers(len(raw))
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:-1][: len(raw)], dtype=np.uint64)]
+    power, inverse = _powers(max(10, len(raw).bit_length()))
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)]
     h = (total[end] - total[start]) * inverse[start]
     strange = np.r_[0, np.cumsum(odd)]
     size = np.where(strange[end] > strange[start], end - start, 1)

@@ -27,11 +27,11 @@ END = b"\0\0\0\0"
 #: Pieces that one task packs at once; share of a sequence from which a bin is nearly full, and final.
 GROUP, NEARLY_FULL = 8192, 0.98
 #: Words whose ids a Python worker remembers, and as many pieces of words.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: UTF-8 bytes of the pieces that are merged together, at most.
 _SIZES = (4, 8, 12, 24)
 #: Characters of a text that are taken apart at once.
-_STEP = 2_000_000
+_STEP = 1_000_000
 _LONGEST, _BREAK = _SIZES[-1], b"\xff\xff\xff\xff"
 
 
@@ -260,7 +260,7 @@ _BLANK, _LETTER, _DIGIT, _SIGN = range(4)
 _KIND = np.array([_BLANK if b == 32 or 9 <= b <= 13 else _LETTER if 97 <= b <= 122 or b >= 128 else _DIGIT if 48 <= b <= 57 else _SIGN for b in range(256)], np.uint8)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     odd = 0xD6E8FEB86659FD93
