@@ -211,6 +211,44 @@ def test_neighbours_against_all(spark, tmp_path):
     assert nearest(vectors.limit(0), _every(20)).count() == 0
 
 
+def test_candidates_are_a_smaller_share_of_more_rows():
+    from tidemark.llm.ann import Hashes, _ranks, choose
+
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (500, 5000, 50_000):
+        x = rng.standard_normal((n, 12))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        queries = x[:40]
+        order = [np.argsort(-(x @ q), kind="stable")[1:21] for q in queries]
+        centre = x.mean(0)
+        norm = float(np.linalg.norm(x - centre, axis=1).max())
+        projections, width, probes, recall, _ = choose(queries, [x[o] for o in order], x[-4096:], centre, norm)
+        hashes = Hashes(centre, norm, 4, projections, width)
+        own, seen = hashes.own(x), hashes.probes(queries, probes)
+        met = [_ranks(s, own) < probes for s in seen]
+        assert recall >= 0.9 and np.mean([m[o].mean() for m, o in zip(met, order, strict=True)]) >= 0.9
+        shares.append(float(np.mean(met)))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3
+
+
+def test_one_vector_of_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.HOT_PARTS", 4)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 8)).astype(np.float32).astype(float)
+    x[::3] = x[0]
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, h int").repartition(4)
+    got = defaultdict(list)
+    for r in sorted(nearest(rows, _every(20)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    for i in range(0, 900, 60):  # those of the common vector: all twenty others that come first are copies
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = np.lexsort((np.arange(900), -s))[:20]
+        assert got[i] == [(int(j), round(float(s[j]), 9)) for j in best]
+    assert set(got) == set(range(0, 900, 20)) and all(len(v) == 20 for v in got.values())
+
+
 def _every(n):
     from pyspark.sql import functions as F
 
