@@ -3,6 +3,7 @@
 from zlib import crc32
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import plain_dedup
 
 import corpus_pipeline as p
@@ -57,3 +58,26 @@ def test_against_a_plain_version(spark):
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
     whole = len({r.sequence_id for r in got})
     assert whole <= 1.05 * sum(r.length for r in got) / 2048 + 1
+
+
+def test_stages_with_odd_rows(spark):
+    """Clashing names, null ids and texts, repeated ids and rows, long texts, ties; then an empty table."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["_key", "_row", "_id", "_of", "_lines", "_cut_lines", "_gone", "_text", "stays", "th", "row", "first", "node", "best", "doc_id_", "lang_pred", "score", "_salt"]
+    rows = plain.limit(60)
+    a, b = plain.where("length(text) > 400").orderBy("doc_id").select("text").limit(2).collect()
+    own = [(5, a.text, "en", "s", 1), (5, b.text, "en", "s", 2), (None, a.text, "en", "s", 3), (None, None, None, None, None), (8, None, "en", "s", 0), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (9, "word " * 200_000, "en", "s", 1_000_000)]
+    rows = rows.unionByName(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(plain.schema[c].dataType).alias(c) for c in plain.columns]))
+    for i, name in enumerate(odd):
+        rows = rows.withColumn(name, F.lit(i))
+    rows = rows.repartition(3)
+    for name, stage in p.STAGES[:-1]:
+        kept = stage(spark, rows, SF)
+        found = kept.collect()
+        assert kept.columns == rows.columns and 0 < len(found) <= 68, name
+        assert all(r[c] == i for r in found for i, c in enumerate(odd)), name
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
+    texts = {(r.doc_id, r.text) for r in p.line_dedup(spark, rows, SF).collect()}
+    assert (8, None) in texts and (8, "") in texts
+    assert sorted(str(r.doc_id) for r in p.near_dedup(spark, spark.createDataFrame(own[:3], "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()) == ["5", "5"]
+    assert p.packing(spark, rows, SF).where("doc_id = 9").count() > 50 and p.packing(spark, rows.limit(0), SF).count() == 0
