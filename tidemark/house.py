@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import bucket_start, closed_up_to, parse_duration, parse_interval
+from tidemark.functions.time import bucket_start, closed_up_to, landing, parse_duration, parse_interval
 from tidemark.operators.base import DEFAULT_FLUSH, DEFAULT_GRACE, EVENT_FLUSH, Bucketed, Metric, WriteContext
 from tidemark.operators.event import Event
 from tidemark.operators.level import Level
@@ -151,20 +151,20 @@ class House:
         if isinstance(metric, Event):
             self.flush_one(metric, force=True, source="immediate")
             return
-        cells = self.cells(metric)
         at = bucket_start(self.now(), metric.res)
-        rows = cells.where(F.col("bucket_ms") >= at)
+        rows = self.cells(metric, at).where(F.col("bucket_ms") >= at)
         b = metric.bounds(rows)
         if b["rows"] and metric.write is not None:
             metric.write(metric.rows(rows), WriteContext(metric.name, metric.kind, b["bucket_from"], b["bucket_to"], b["total"], 1, "immediate"))
 
     # ---- reads ----
 
-    def cells(self, metric: Bucketed) -> DataFrame:
+    def cells(self, metric: Bucketed, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Live cells; of all but a level, whose values come from earlier windows, only those that begin in ``[start, end)``."""
         if isinstance(metric, Level):
             found = self.store.level_cells(metric)
             return self._no_cells(metric) if found is None else found
-        found = self.store.read_buckets(metric)
+        found = self.store.read_buckets(metric, start, end)
         return self._no_cells(metric) if found is None else found
 
     def _no_cells(self, metric: Bucketed) -> DataFrame:
@@ -183,12 +183,18 @@ class House:
                     out[m.name] = m.snapshot(pending.drop("batch", "arrival"), **{k: v for k, v in options.items() if k in ("start", "end", "order_by", "direction", "limit")})
             else:
                 own = options if not isinstance(m, Level) or self.store.shipped_to(m) is None else {**options, "start": max(options.get("start") or 0, self.store.shipped_to(m))}
-                out[m.name] = snapshot(m, self.cells(m), self.now(), **own)
+                out[m.name] = snapshot(m, self.cells(m, own.get("start"), own.get("end")), self.now(), **own)
         return out
 
     def current(self, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
         """The open window of every bucketed metric."""
-        return {m.name: m.rows(open_cells(m, self.cells(m), self.now(), floor=self.store.floor(m))) for m in self._chosen(only, False)[0] if isinstance(m, Bucketed)}
+        out = {}
+        for m in self._chosen(only, False)[0]:
+            if isinstance(m, Bucketed):
+                now, floor = self.now(), self.store.floor(m)
+                at = landing(bucket_start(now, m.res), floor, m.res)
+                out[m.name] = m.rows(open_cells(m, self.cells(m, at, at + m.res), now, floor=floor))
+        return out
 
     def pending(self, name: str) -> int:
         return self.store.count_pending(self._metrics[name])
@@ -201,6 +207,7 @@ class House:
 
     def _ship(self, metric: Metric, claim: Claim, source: str) -> int:
         """Rows to the sink, then settle; a sink that raises puts them back for the next attempt."""
+        held: DataFrame | None = None
         try:
             if isinstance(metric, Event):
                 stored = self.store.claimed_records(claim, metric)
@@ -208,7 +215,7 @@ class House:
                 self._report_misfits(metric, rows)
                 rows = rows.drop("_misfits")
             else:
-                cells = self.store.claimed_cells(claim, metric)
+                held = cells = self.store.claimed_cells(claim, metric).persist()  # read for the bounds, then for the sink
                 rows, b = metric.rows(cells), metric.bounds(cells)
                 if b["rows"]:
                     self._report_unreadable(metric, cells)
@@ -218,6 +225,9 @@ class House:
             self._attempts[metric.name] = self._attempts.get(metric.name, 1) + 1
             self.store.release(claim)
             raise
+        finally:
+            if held is not None:
+                held.unpersist()
         self.store.ack(claim, metric)
         self._attempts.pop(metric.name, None)
         return b["rows"]

@@ -103,8 +103,18 @@ class Bucketed(Metric):
     def fold(self, ops: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def cells(self, df: DataFrame) -> DataFrame:
-        return self.fold(self.ops(df))
+    def cells(self, df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Cells of the windows that begin in ``[start, end)``: only writes of their time are read, if the source can tell."""
+        return self.fold(self.ops(self.within(df, start, end)))
+
+    def within(self, df: DataFrame, start: int | None, end: int | None) -> DataFrame:
+        """Writes of the windows that begin in ``[start, end)``, by a plain comparison of ``ts`` that a scan can use."""
+        kind = df.schema["ts"].dataType
+        for bound, sign in ((start, 1), (end, -1)):
+            if bound is not None:
+                at = F.timestamp_millis(F.lit(bound + -bound % self.res)).cast(kind)
+                df = df.where(df["ts"] >= at if sign > 0 else df["ts"] < at)
+        return df
 
     def _shown(self) -> Mapping[str, Column]:
         """Value columns of a sink row."""

@@ -50,10 +50,15 @@ class Gauge(Bucketed):
         return F.sum("sum")
 
     def merged(self, rows: DataFrame, keys: list[str], more: list[Column]) -> DataFrame:
-        """``last`` survives only where the newest window holds one series."""
+        """``last`` survives only where the newest window holds one series.
+
+        ``more`` sees one row for each window, with its ``_members`` cells and the ``_first`` of their keys.
+        """
         by_window = rows.groupBy(*dict.fromkeys([*keys, "bucket_ms"])).agg(
             F.count_distinct("dim_key").alias("_series"),
             F.first("last").alias("last"),
+            F.count("*").alias("_members"),
+            F.min("dim_key").alias("_first"),
             F.min("min").alias("min"),
             F.max("max").alias("max"),
             F.sum("sum").alias("sum"),

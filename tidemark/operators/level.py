@@ -76,6 +76,10 @@ class Level(Bucketed):
         value = F.sum(F.coalesce("_set", F.lit(0.0)) + F.col("_moved")).over(W.partitionBy("dim_key", "_run").orderBy("bucket_ms"))
         return steps.withColumn("value", value.cast(self._value_type("value"))).select(*place, "value")
 
+    def within(self, df: DataFrame, start: int | None, end: int | None) -> DataFrame:
+        """What a level holds comes from earlier windows too."""
+        return super().within(df, None, end)
+
     def carried(self, cells: DataFrame, up_to: int) -> DataFrame:
         """Cells of all windows below ``up_to`` that the level holds in, written or not."""
         own = W.partitionBy("dim_key").orderBy("bucket_ms")

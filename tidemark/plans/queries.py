@@ -127,7 +127,7 @@ def counter_negative_delta(spark, sf_dir):
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS value FROM events WHERE {RANGE} AND ts >= date_trunc('hour', TIMESTAMP '2024-01-20 12:34:56')")
 def counter_current(spark, sf_dir):
-    return EVENTS.current(EVENTS.cells(unit_events(before_now(spark, sf_dir))), NOW)
+    return EVENTS.current(EVENTS.cells(unit_events(before_now(spark, sf_dir)), OPENED), NOW)
 
 
 # ---- gauges and timers ----
@@ -157,12 +157,12 @@ def gauge_subset(spark, sf_dir):
 
 @query(f"SELECT min(value) AS min, max(value) AS max, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum, count(*) AS count FROM events WHERE {RANGE} AND ts >= TIMESTAMP '2024-01-20 12:00:00' HAVING count(*) > 0")
 def gauge_totals(spark, sf_dir):
-    return rounded(WORTH.totals(WORTH.cells(worth(before_now(spark, sf_dir))), NOW))
+    return rounded(WORTH.totals(WORTH.cells(worth(before_now(spark, sf_dir)), OPENED), NOW))
 
 
 @query(f"SELECT {_FOLD} FROM events WHERE {RANGE} AND ts >= TIMESTAMP '2024-01-20 12:00:00' AND event_type = 'view' HAVING count(*) > 0")
 def gauge_current(spark, sf_dir):
-    return rounded(WORTH.current(WORTH.cells(worth(before_now(spark, sf_dir))), NOW, {"event_type": "view"}))
+    return rounded(WORTH.current(WORTH.cells(worth(before_now(spark, sf_dir)), OPENED), NOW, {"event_type": "view"}))
 
 
 @query("SELECT date_trunc('hour', ts) AS bucket_ts, event_type, min(value) AS min, max(value) AS max, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum, count(*) AS count FROM events GROUP BY ALL")
@@ -252,7 +252,8 @@ def snap_dims_filter(spark, sf_dir):
 @query(f"SELECT {_ROW} FROM {_CELLS} WHERE b >= TIMESTAMP '2024-01-10' AND b < TIMESTAMP '2024-01-11'")
 def snap_range(spark, sf_dir):
     start = int(dt.datetime(2024, 1, 10, tzinfo=dt.UTC).timestamp() * 1000)
-    return _snap(spark, sf_dir, start=start, end=start + DAY)
+    cells = EVENTS.cells(unit_events(before_now(spark, sf_dir)), start, start + DAY)
+    return snapshot(EVENTS, cells, NOW, start=start, end=start + DAY)
 
 
 @query(f"SELECT {_ROW} FROM {_CELLS} WHERE ms < {OPENED}")
@@ -262,7 +263,7 @@ def snap_complete(spark, sf_dir):
 
 @query(f"SELECT b AS bucket_ts, event_type, value FROM {_CELLS} WHERE ms = {OPENED}")
 def snap_open(spark, sf_dir):
-    return EVENTS.rows(open_cells(EVENTS, EVENTS.cells(unit_events(before_now(spark, sf_dir))), NOW)).drop("id")
+    return EVENTS.rows(open_cells(EVENTS, EVENTS.cells(unit_events(before_now(spark, sf_dir)), OPENED), NOW)).drop("id")
 
 
 _MERGED = f"bool_or({NOW} - ms < {HOUR}) AS bucket_open"
@@ -613,8 +614,8 @@ def late_batch_split(spark, sf_dir):
 @query("SELECT date_trunc('minute', ts) AS minute, event_type, CAST(count(*) AS BIGINT) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-19 12:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL")
 def rate_per_minute(spark, sf_dir):
     c = Counter("events_total", {"event_type": str_()}, resolution="10s")
-    rows = c.rows(c.cells(unit_events(events(spark, sf_dir))))
-    rows = rows.where((F.col("bucket_ts") >= F.lit("2024-01-19 12:00:00").cast("timestamp_ntz")) & (F.col("bucket_ts") < F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")))
+    start = OPENED - DAY
+    rows = c.rows(c.cells(unit_events(events(spark, sf_dir)), start, start + DAY))
     return rows.groupBy(F.date_trunc("minute", "bucket_ts").cast("timestamp_ntz").alias("minute"), "event_type").agg(F.sum("value").alias("value"))
 
 

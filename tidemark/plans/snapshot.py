@@ -133,14 +133,17 @@ def snapshot(
 
 def _merged(metric: Bucketed, rows: DataFrame, keys: list[str], is_open: Column, elapsed: Column) -> DataFrame:
     """Merged values with liveness: open if any window is, elapsed summed over distinct windows."""
-    windows = rows.groupBy(*dict.fromkeys([*keys, "bucket_ms"])).agg(F.count("*").alias("_n"), F.min("dim_key").alias("_k"))
-    live = windows.groupBy(*keys).agg(
-        F.bool_or(is_open).alias("bucket_open"), F.sum(elapsed).alias("bucket_elapsed_ms"), F.sum("_n").alias("_members"), F.min("_k").alias("_first")
-    )
-    values = metric.merged(rows, keys, [])
+    live = [F.bool_or(is_open).alias("bucket_open"), F.sum(elapsed).alias("bucket_elapsed_ms"), F.sum("_members").alias("_members"), F.min("_first").alias("_first")]
     if isinstance(metric, Gauge):
-        values = values.select(*keys, *metric._shown())
-    right = live.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "bucket_open", "bucket_elapsed_ms", "_members", "_first")
+        return metric.merged(rows, keys, live).select(*keys, *metric._shown(), "bucket_open", "bucket_elapsed_ms", "_members", "_first")
+    if not isinstance(metric, Level):
+        # every window that is over has elapsed whole, and at most one is not: distinct windows need no grouping of their own
+        over = F.count_distinct(F.when(elapsed == metric.res, F.col("bucket_ms"))) * metric.res
+        part = F.coalesce(F.max(F.when(elapsed < metric.res, elapsed)), F.lit(0))
+        return metric.merged(rows, keys, [live[0], (over + part).alias("bucket_elapsed_ms"), F.count("*").alias("_members"), F.min("dim_key").alias("_first")])
+    windows = rows.groupBy(*dict.fromkeys([*keys, "bucket_ms"])).agg(F.count("*").alias("_members"), F.min("dim_key").alias("_first"))
+    right = windows.groupBy(*keys).agg(*live).select(*[F.col(k).alias(f"_r_{k}") for k in keys], "bucket_open", "bucket_elapsed_ms", "_members", "_first")
+    values = metric.merged(rows, keys, [])
     same = None
     for k in keys:
         c = values[k].eqNullSafe(right[f"_r_{k}"])
