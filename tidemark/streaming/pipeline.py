@@ -71,24 +71,27 @@ class LevelState(StatefulProcessor):
         self.cells = handle.getMapState("cells", "bucket long", "value double, own boolean")
         self.base = handle.getValueState("base", "value double, written long, floor long")
 
-    def apply(self, cells: dict[int, tuple[float, bool]], base: tuple[float | None, int, int], bucket: int, mode: str, value: float) -> None:
+    def apply(self, cells: dict[int, tuple[float, bool]], base: tuple[float | None, int, int], bucket: int, mode: str, value: float) -> list[int]:
+        """Apply one write; the windows that it touched."""
         held, written, floor = base
         moved = bucket < floor
         at = -(-floor // self.resolution) * self.resolution if moved else bucket
         if moved and mode == "set" and cells.get(at, (0, False))[1]:
-            return
-        earlier = [b for b in cells if b < at]
-        before = cells[max(earlier)][0] if earlier else held
-        last = max(earlier) if earlier else written
+            return []
+        last = max((b for b in cells if b < at), default=None)
+        before, last = (held, written) if last is None else (cells[last][0], last)
         if before is None or self.hold is not None and last + self.hold < at:
             before = 0.0
         if mode == "set":
             cells[at] = (value, not moved or cells.get(at, (0, False))[1])
+            return [at]
         else:
             was = cells.get(at)
             cells[at] = ((was[0] if was else before) + value, (was[1] if was else False) or not moved)
-            for b in sorted(x for x in cells if x > at):
+            after = [b for b in cells if b > at]
+            for b in after:
                 cells[b] = (cells[b][0] + value, cells[b][1])
+            return [at, *after]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         cells = {k[0]: (v[0], v[1]) for k, v in self.cells.iterator()}
@@ -96,9 +99,7 @@ class LevelState(StatefulProcessor):
         changed = set()
         for part in rows:
             for r in part.sort_values("seq", kind="stable").itertuples():
-                before = dict(cells)
-                self.apply(cells, (base[0], base[1], base[2]), int(r.bucket_ms), r.mode, float(r.value))
-                changed |= {b for b in cells if before.get(b) != cells[b]}
+                changed.update(self.apply(cells, (base[0], base[1], base[2]), int(r.bucket_ms), r.mode, float(r.value)))
         for b in changed:
             self.cells.updateValue((b,), cells[b])
         old = sorted(b for b in cells if b < max(cells) - self.keep * self.resolution) if cells else []
