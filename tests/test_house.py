@@ -300,6 +300,38 @@ def test_a_house_on_a_store_of_another_make(spark, clock, sink):
     assert {ctx.metric for _, ctx in sink.batches} == {"hits", "seen", "depth"}
 
 
+def test_records_wait_in_memory_by_size_and_age(spark, clock, sink):
+    from tidemark.sources.staging import LocalStage
+
+    e = Event("seen", {"n": int_()}, write=sink, flush="5s")
+    stage = LocalStage(spark, e, max_size=3, max_age="10s", max_staged=8, now=clock)
+    stage.record_many([{"n": i} for i in range(5)])
+    assert [[r["n"] for r in rows] for rows, _ in sink.batches] == [[0, 1, 2]] and len(stage) == 2 and stage.poll() == 0
+    clock.ms += 10_000
+    assert stage.poll() == 2 and sink.batches[1][1].source == "batch"
+    sink.broken = True
+    stage.record_many([{"n": i} for i in range(3)])
+    sink.broken = False
+    stage.record({"n": 3})  # too early after the failure
+    assert len(stage) == 4 and len(sink.batches) == 2
+    with pytest.raises(ValueError):
+        stage.record_many([{"n": 0}] * 5)
+    clock.ms += 10_000
+    stage.record({"n": 4})
+    assert [[r["n"] for r in rows] for rows, _ in sink.batches[2:]] == [[0, 1, 2]] and sink.batches[2][1].attempt == 2
+    assert stage.drain() == 2 and len(stage) == 0
+    with pytest.raises(ValueError):
+        stage.record({"m": 1})
+    with pytest.raises(ValueError):
+        LocalStage(spark, Event("kept", {"n": int_()}, durability="durable"))
+
+
+def test_texts_are_ordered_as_people_expect(spark, tmp_path, clock, sink):
+    house = House(spark, str(tmp_path), [counter(sink)], now=clock)
+    house.write("hits", hits(spark, *[(5100, p, 1) for p in ("b", "B", "é", "a", "z", "E")]))
+    assert [r.page for r in house.snapshot(order_by="page", direction="asc")["hits"].collect()] == ["a", "b", "B", "E", "é", "z"]
+
+
 def test_values_that_no_longer_fit_are_reported(spark, tmp_path, clock, sink):
     warned = []
     old = Event("seen", {"n": str_()}, flush="5s")

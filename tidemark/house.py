@@ -96,6 +96,8 @@ class House:
         self._stop = threading.Event()
         if not self.store.durable:
             self.on_warn("what is not flushed is lost when this process ends")
+        if self.delivery == "immediate":
+            self.on_warn("rows of an open window are sent again as it fills: the sink must keep one for each id, and a flush row before others")
         self.register(*metrics)
 
     # ---- registry ----
@@ -105,6 +107,9 @@ class House:
         names = [m.name for m in metrics]
         if taken := {n for n in names if names.count(n) > 1 or n in self._metrics}:
             raise ValueError(f"registered already: {sorted(taken)}")
+        for m in metrics:
+            if isinstance(m, Event) and m.durability == "durable" and not self.store.durable:
+                self.on_warn(f"{m.name}: asks to be durable, which this store is not")
         self._metrics |= {m.name: m for m in metrics}
         self._busy |= {n: threading.Lock() for n in names}
 

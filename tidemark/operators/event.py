@@ -120,7 +120,10 @@ class Event(Metric):
             rows = rows.where(millis(F.col("ts")) < end)
         tie = [F.col("seq")]
         if order_by is not None:
-            tie.insert(0, F.col(order_by).desc_nulls_last() if direction == "desc" else F.col(order_by).asc_nulls_last())
+            from tidemark.plans.snapshot import LOCALE
+
+            at = F.collate(order_by, LOCALE) if dict(rows.dtypes)[order_by] == "string" else F.col(order_by)
+            tie.insert(0, at.desc_nulls_last() if direction == "desc" else at.asc_nulls_last())
         rows = rows.orderBy(*tie)
         rows = rows if limit is None else rows.limit(limit)
         return rows.drop("seq").withColumns({"bucket_open": F.lit(False), "bucket_elapsed_ms": F.lit(0).cast("long")})

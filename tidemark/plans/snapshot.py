@@ -15,6 +15,10 @@ from tidemark.operators.gauge import Gauge
 from tidemark.operators.level import Level
 
 
+#: How texts are ordered where a caller orders by them.
+LOCALE = "UNICODE"
+
+
 def matching(metric: Bucketed, rows: DataFrame, dims: Mapping[str, Any] | None) -> DataFrame:
     """Rows whose dims equal those given; None asks for absence."""
     if unknown := set(dims or {}) - set(metric.dims):
@@ -65,12 +69,12 @@ def snapshot(
     order_by: str | None = None,
     direction: str = "desc",
     limit: int | None = None,
-    collation: str | None = None,
+    collation: str | None = LOCALE,
 ) -> DataFrame:
     """Rows as the sink would get them, with ``bucket_open`` and ``bucket_elapsed_ms``.
 
     ``rollup='sum'`` merges windows, ``group_by`` keeps only some dims; both at once merge both.  Without ``order_by``
-    rows come by window, then series; texts sort by bytes, or by ``collation`` (``'UNICODE'``).  An id stays where a row is one series in one window.
+    rows come by window, then series; texts sort as people expect them, or by another ``collation`` (None: by bytes).  An id stays where a row is one series in one window.
     """
     if rollup not in ("none", "sum"):
         raise ValueError("rollup is 'none' or 'sum'")

@@ -387,6 +387,10 @@ class Ledger:
         rows = self._rows(metric)
         return 0 if rows is None else rows.where(self._not_of(self.claims(metric, ACKED))).count()
 
+    def key_for(self, metric: Metric) -> str:
+        """Where the rows of a metric are, for a look with other tools."""
+        return f"{self.path}/rows/{metric.name}"
+
     def scan_series(self, metric: Bucketed) -> DataFrame | None:
         rows = self.live(metric)
         return None if rows is None else rows.select("dim_key").distinct()
