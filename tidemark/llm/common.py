@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(who: str, forget: Callable[[], None]) -> None:
+    """Say how an operator lets go of what it remembers in a Python worker from task to task."""
+    _FORGET[who] = forget
+
+
+def at_work(who: str) -> None:
+    """Begin a task of an operator: a worker that turned to it lets go of what others remember."""
+    for other, forget in _FORGET.items():
+        if other != who:
+            forget()
+
+
 def text_bytes(spark_col) -> F.Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(spark_col, F.lit("")).cast("binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from tidemark.llm.common import reachable, salted_join, text_bytes, written
+from tidemark.llm.common import at_work, reachable, remembers, salted_join, text_bytes, written
 
 WINDOW = 13
 #: Words, not placeholders, from which a window may have other values; with fewer its values must be the item's own.
@@ -155,7 +155,7 @@ _CLASS = np.array([_LETTER if b >= 128 or chr(b).isalpha() else _DIGIT if 48 <=
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes whose runs are told apart at once.
-_STEP = 1 << 20
+_STEP = 1 << 19
 
 
 @lru_cache(1)
@@ -282,6 +282,7 @@ class Filter:
 #: What may stand after a number without being in any item.
 _UNIT_HASHES = np.array([run_hash(x) for u in UNITS.split("|") for x in {re.sub(r"\(.*?\)\?|.\?", "", u), u.replace("(?:", "").replace(")", "").replace("?", "")}], np.uint64)
 _LAST: list[Filter] = []
+remembers("decontaminate", lambda: (_LAST.clear(), _powers.cache_clear()))
 
 
 def _restored(*parts) -> Filter:
@@ -365,6 +366,7 @@ def _itemised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(held: Filter):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontaminate")
         for batch in batches:
             texts = batch.column(3).to_pylist()
             keys = []

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reachable
+from tidemark.llm.common import at_work, reachable
 
 DIMENSIONS = 512
 SEED = 20_240_601
@@ -26,7 +26,7 @@ SYMBOLS = 128
 LEAST_SCORE, SHORT = 0.1, 64
 #: Sums that one task adds up.
 ADDED = 512
-_CHUNK, _CELLS, _SLICE = 1_000_000, 4_000_000, 16_384
+_CHUNK, _CELLS, _SLICE = 500_000, 2_000_000, 16_384
 
 
 @cache
@@ -94,6 +94,7 @@ def bundles(texts: list[bytes], owner: np.ndarray, owners: int, dimensions: int
 
 def _learn(dimensions: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("language_id")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
@@ -143,6 +144,7 @@ def classify(texts: list[bytes], known: dict[str, np.ndarray], dimensions: int =
 
 def _predict(known: dict[str, np.ndarray], dimensions: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("language_id")
         for batch in batches:
             names, score = classify(batch.column(2).to_pylist(), known, dimensions)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -179,6 +181,7 @@ def keep_identified(docs: DataFrame, wanted: Collection[str] | None = None, leas
     place = docs.columns.index("text")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("language_id")
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()]
             found = zip(texts, *classify(texts, known, dimensions), strict=True)

@@ -20,18 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reachable, text_bytes, written
+from tidemark.llm.common import at_work, reachable, remembers, text_bytes, written
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Pieces that one task packs at once; share of a sequence from which a bin is nearly full, and final.
 GROUP, NEARLY_FULL = 8192, 0.98
 #: Words whose ids a Python worker remembers, and as many pieces of words.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: UTF-8 bytes of the pieces that are merged together, at most.
 _SIZES = (4, 8, 12, 24)
 #: Characters of a text that are taken apart at once.
-_STEP = 1_000_000
+_STEP = 500_000
 _LONGEST, _BREAK = _SIZES[-1], b"\xff\xff\xff\xff"
 
 
@@ -276,6 +276,14 @@ def tokenizer(path: str) -> WordTokenizer:
     return own
 
 
+def _forget() -> None:
+    tokenizer.cache_clear()
+    _powers.cache_clear()
+
+
+remembers("packing", _forget)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -287,6 +295,7 @@ def _cut(path: str, capacity: int):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("packing")
         own = tokenizer(path)
         for batch in batches:
             at = 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import connected_components, reachable, text_bytes, written
+from tidemark.llm.common import at_work, connected_components, reachable, text_bytes, written
 
 SEED = 42
 WORDS = 3
@@ -69,6 +69,7 @@ def _majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at_work("simhash")
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], "<u8")
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"))], names=["doc_id", "fp"])
@@ -278,6 +279,7 @@ def lookups(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> l
 
 def _wide(words: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("simhash")
         for batch in batches:
             found = np.array([_majority(shingle_hashes(t.as_py(), words), LANES) for t in batch.column(2)], "<u8").reshape(-1, LANES).view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(LANES)]], names=["doc_id", "th", *_LANES])
