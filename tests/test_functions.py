@@ -101,5 +101,6 @@ def test_checked_columns(spark):
         checked(shape, {"other": df["n"]}, "m")
     bad = spark.createDataFrame([("c", 1, 1.0), (None, 1, 1.0), ("a", 2**53, 1.0), ("a", 1, float("nan")), ("a", 1, 1.0)], "kind string, n long, x double")
     assert [r[0] for r in bad.select(misfit(shape, {c: bad[c] for c in bad.columns})).collect()] == [True, True, True, True, False]
+    bad = bad.coalesce(1)  # else whichever bad row's task is first decides what the error says
     with pytest.raises(Exception, match="kind"):
         bad.select(*[c.alias(k) for k, c in checked(shape, {c: bad[c] for c in bad.columns}, "m").items()]).collect()
