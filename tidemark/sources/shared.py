@@ -16,7 +16,7 @@ def scratch(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+        if not known.isDefined() and spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
         if not known.isDefined():
