@@ -17,6 +17,7 @@ from tidemark.llm.line_dedup import dedup_lines, keep_new_lines
 from tidemark.llm.lm_scoring import lm_scores
 from tidemark.llm.packing import best_fit, default_path, pack, tokenizer
 from tidemark.llm.sharding import shard
+from tidemark.llm.simhash import simhash_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -653,6 +654,26 @@ def test_lm_edge_rows(spark):
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score <= 0
 
 
+def test_very_long_texts_and_ties(spark):
+    """Texts of megabytes beside short ones; words of equal count, equal cosines, repeated ids."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(500)]
+    long = " ".join(rng.choices(vocabulary, k=400_000))
+    rows = [(1, long, "en"), (2, long[: len(long) // 2], "en"), (2, "b a", "en"), (3, "a b", "de"), (11, "a b", "en"), (None, long, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, held_out int").repartition(3)
+    scored = sorted(lm_scores(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
+    assert [r.n_tokens for r in scored] == [400_001, 3, len(long[: len(long) // 2].split()) + 1, 3, 3, 400_001]
+    assert scored[0].score == pytest.approx(scored[-1].score) and scored[3].score == pytest.approx(scored[4].score)
+    told = identify(docs).collect()
+    assert len(told) == 6 and len({(r.lang_pred, round(r.score, 9)) for r in told if r.doc_id in (3, 11)}) == 1
+    kept = simhash_groups(docs).collect()
+    assert {str(r.component_id) for r in kept if r.doc_id in (1, None)} == {"1"} and len({r.fp for r in kept if r.doc_id in (1, None)}) == 1
+    packed = pack(docs).collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) == sum(r.length for r in packed if r.doc_id is None)
+    sizes = {(r.doc_id, r.size) for r in shard(docs, 3).collect()}
+    assert (1, len(long) + 16) in sizes and len(sizes) == 6
+
+
 # ---- the pipeline ----
 
 

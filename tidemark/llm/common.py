@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 _WRITTEN: dict[str, SparkSession] = {}
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and workers are one machine's, in one process tree."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set and all run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
@@ -65,18 +71,23 @@ _SHIPPED: set[str] = set()
 def reachable(spark: SparkSession) -> None:
     """Let Python workers import this package: from the driver's folder in local mode, else Spark ships it to them."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
-    if sc.master.startswith("local"):
+    if _local(spark):
         env = sc.environment
         if str(root) not in env.get("PYTHONPATH", "").split(os.pathsep):
             env["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), env.get("PYTHONPATH")]))
     elif sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
-        with tempfile.TemporaryDirectory() as folder:  # the driver serves its own copy of the file
-            packed = f"{folder}/tidemark-package.zip"
-            with zipfile.ZipFile(packed, "w") as z:
-                for f in sorted((root / "tidemark").rglob("*.py")):
-                    z.write(f, f.relative_to(root))
-            sc.addPyFile(packed)
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted((root / "tidemark").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}.zip"
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+        stream.write(bytearray(packed.getvalue()))
+        stream.close()
+        _WRITTEN[path] = spark
+        sc.addPyFile(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

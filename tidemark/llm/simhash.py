@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import at_work, connected_components, reachable, text_bytes, written
+from tidemark.llm.common import at_work, connected_components, reachable, salted_join, text_bytes, written
 
 SEED = 42
 WORDS = 3
@@ -253,7 +253,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    return salted_join(made, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 # ---- near copies by similarity ----
@@ -351,7 +351,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     best = linked.groupBy("root").agg(F.min("first").alias("best"), F.sum("rows").alias("all")).where("all > 1")
     # only rows of groups are matched with the texts; far fewer go than stay
     several = written(linked.join(best, "root").select(*_LANES, "best"))
-    rows = made.join(several, _LANES).groupBy("doc_id", "th").agg(F.bool_or(F.col("best") == place).alias("stays"), F.count("*").alias("n"))
+    rows = salted_join(made, several, _LANES).groupBy("doc_id", "th").agg(F.bool_or(F.col("best") == place).alias("stays"), F.count("*").alias("n"))
     rows = written(rows)
     gone = rows.where("not stays")
     here = [docs[id_col].cast("long"), F.xxhash64(docs[text_col])]
