@@ -224,7 +224,7 @@ def test_candidates_are_a_smaller_share_of_more_rows():
         order = [np.argsort(-(x @ q), kind="stable")[1:21] for q in queries]
         centre = x.mean(0)
         norm = float(np.linalg.norm(x - centre, axis=1).max())
-        projections, width, probes, recall, _ = choose(queries, [x[o] for o in order], x[-4096:], centre, norm)
+        projections, width, probes, recall, _ = choose(queries, [x[o] for o in order], x[-4096:], centre, norm, n)
         hashes = Hashes(centre, norm, 4, projections, width)
         own, seen = hashes.own(x), hashes.probes(queries, probes)
         met = [_ranks(s, own) < probes for s in seen]
@@ -233,6 +233,21 @@ def test_candidates_are_a_smaller_share_of_more_rows():
     assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3
 
 
+def test_queries_whose_cells_hold_too_few_are_searched_whole(spark, monkeypatch):
+    """Neighbours far from any sample: a cluster for the sample's choice, and a few vectors that point elsewhere."""
+    monkeypatch.setattr("tidemark.llm.ann.LADDER", ((6, 0.15),))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(nearest(rows, _every(20)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    for i in range(0, 400, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert got[i] == np.lexsort((np.arange(400), -s))[:20].tolist()
+
+
 def test_one_vector_of_a_third_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr("tidemark.llm.common.HOT_PARTS", 4)
     rng = np.random.default_rng(6)

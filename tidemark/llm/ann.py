@@ -27,8 +27,8 @@ NEAREST = 20
 TABLES, MOST_PROBES = 4, 48
 #: Settings that are tried: projections, and cell width in units of the largest norm.
 LADDER = ((1, 1.0), (2, 1.0), (2, 1.5), (3, 1.5), (4, 1.5), (4, 2.0), (5, 2.0), (6, 2.0), (6, 2.5))
-#: Recall that the sample must reach; queries and points of the sample.
-TARGET, SAMPLE_QUERIES, SAMPLE_POINTS = 0.95, 64, 4096
+#: Recall that the sample must reach; queries and points of the sample; what it costs to visit a cell, in candidates.
+TARGET, SAMPLE_QUERIES, SAMPLE_POINTS, CELL = 0.95, 64, 8192, 50
 SEED = 11
 #: Points and queries of a cell that one task holds.
 BLOCK = 8192
@@ -85,9 +85,10 @@ def _ranks(seen: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(hit.any(2), hit.argmax(2), seen.shape[1]).min(1)
 
 
-def choose(queries: np.ndarray, near: list[np.ndarray], points: np.ndarray, centre: np.ndarray, norm: float, tables: int = TABLES) -> tuple[int, float, int, float, float]:
+def choose(queries: np.ndarray, near: list[np.ndarray], points: np.ndarray, centre: np.ndarray, norm: float, n: int, tables: int = TABLES) -> tuple[int, float, int, float, float]:
     """Projections, width and probes, with the recall and the share of candidates that they come to on a sample.
 
+    Of settings with enough recall the one that costs least among ``n`` points: the candidates, and the cells to be visited.
     ``near``: the true neighbours of each query; ``points``: any points.
     """
     best: tuple[tuple, tuple] | None = None
@@ -101,7 +102,7 @@ def choose(queries: np.ndarray, near: list[np.ndarray], points: np.ndarray, cent
         recall = np.bincount(wanted, minlength=most + 1)[:most].cumsum() / max(1, len(wanted))
         enough = np.flatnonzero(recall >= TARGET) if len(wanted) else np.array([most - 1])
         probes = int(enough[0]) if len(enough) else most - 1
-        rank = (len(enough) == 0, met[probes] if len(enough) else -recall[probes])
+        rank = (len(enough) == 0, met[probes] * n + CELL * tables * (probes + 1) if len(enough) else -recall[probes])
         if best is None or rank < best[0]:
             best = rank, (projections, width, probes + 1, float(recall[probes]), float(met[probes]))
     return best[1]
@@ -129,7 +130,9 @@ def _nearest_in_batch(ids: np.ndarray, queries: np.ndarray, keep: int, kind: str
     return over
 
 
-def _addressed(hashes: Hashes, probes: int | None, kind: str):
+def _addressed(hashes: Hashes, probes: int | None, kind: str, some: np.ndarray | None = None, keep: int = 0):
+    """Rows ``(t, cell, id, v, low)``: ``low`` is a score that a query's ``keep`` best reach, as they do among ``some`` points."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -138,6 +141,11 @@ def _addressed(hashes: Hashes, probes: int | None, kind: str):
                 codes = hashes.own(vectors)[:, :, None] if probes is None else hashes.probes(vectors, probes)
                 n, tables, each = codes.shape
                 raw = pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary())
+                low = np.full(n, -np.inf)
+                if some is not None and len(some) >= keep:
+                    score = vectors @ some.T
+                    low = np.partition(score, len(some) - keep, axis=1)[:, len(some) - keep]
+                    low -= 1e-9 * (1 + np.abs(low))  # rounding decides nothing
                 row = np.repeat(np.arange(n), tables * each)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,8 +153,9 @@ def _addressed(hashes: Hashes, probes: int | None, kind: str):
                         pa.array(codes.reshape(-1)),
                         part.column(0).take(pa.array(row)),
                         raw.take(pa.array(row)),
+                        pa.array(low[row]),
                     ],
-                    names=["t", "cell", "id", "v"],
+                    names=["t", "cell", "id", "v", "low"],
                 )
 
     return over
@@ -170,6 +179,7 @@ def _best(keep: int, kind: str):
             points = points.sort_by("id")
             ids, vectors = points["id"].to_numpy(), _stack(points["v"], kind)
             whose, asked = queries["id"].to_numpy(), _stack(queries["v"], kind)
+            low = queries["low"].to_numpy() if "low" in queries.column_names else np.full(len(whose), -np.inf)
             step = max(1, 4_000_000 // len(ids))
             for i in range(0, len(whose), step):
                 score = asked[i : i + step] @ vectors.T
@@ -177,6 +187,8 @@ def _best(keep: int, kind: str):
                 top = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(ids) else np.broadcast_to(np.arange(len(ids)), score.shape)
                 q = np.repeat(np.arange(i, i + len(score)), n)
                 p = top.reshape(-1)
+                enough = score[q - i, p] >= low[q]
+                q, p = q[enough], p[enough]
                 out.append((whose[q], ids[p], np.einsum("ij,ij->i", asked[q], vectors[p])))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
         return pa.Table.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -235,11 +247,11 @@ def nearest(
     near = [np.array([np.frombuffer(r["v"], kind) for r in tops if r["q"] == q], float).reshape(-1, len(centre)) for q in names.tolist()]
     points = np.array([r["v"] for r in classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_POINTS).collect()], float)
     # all points may be one and the same: any width will do
-    projections, width, probes, _, _ = choose(sample, near, points, centre, float(np.sqrt(norm)) or 1.0, tables)
+    projections, width, probes, _, _ = choose(sample, near, points[:4096], centre, float(np.sqrt(norm)) or 1.0, total, tables)
     hashes = Hashes(centre, float(np.sqrt(norm)) or 1.0, tables, projections, width)
-    address = "t int, cell long, id long, v binary"
+    address, some = "t int, cell long, id long, v binary, low double", points[: total // 8]
     points = classes.select("rep", "v").mapInArrow(_addressed(hashes, None, kind), address)
-    probing = probing_of.mapInArrow(_addressed(hashes, probes, kind), address)
+    probing = probing_of.mapInArrow(_addressed(hashes, probes, kind, some, k + 1), address)
     points, probing = written(points), written(probing.dropDuplicates(["t", "cell", "id"]))
     sizes = points.groupBy("t", "cell").agg(F.count("*").alias("np")).join(probing.groupBy("t", "cell").agg(F.count("*").alias("nq")), ["t", "cell"])
     sizes = sizes.select("t", "cell", F.ceil(F.col("np") / BLOCK).cast("int").alias("pb"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("qb"))
@@ -247,7 +259,7 @@ def nearest(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ["t", "cell", "p", "q"]
     points = points.join(sizes, ["t", "cell"]).withColumn("p", part("pb")).withColumn("q", every("qb")).select(*key, "id", "v")
-    probing = probing.join(sizes, ["t", "cell"]).withColumn("q", part("qb")).withColumn("p", every("pb")).select(*key, "id", "v")
+    probing = probing.join(sizes, ["t", "cell"]).withColumn("q", part("qb")).withColumn("p", every("pb")).select(*key, "id", "v", "low")
     found = probing.groupBy(*key).cogroup(points.groupBy(*key)).applyInArrow(_best(k + 1, kind), "query long, point long, score double")
     found = found.groupBy("query", "point").agg(F.max("score").alias("score"))
     found = written(found)
@@ -257,7 +269,7 @@ def nearest(
     short = short.mapInArrow(_raw(kind), "id long, v binary").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     full = classes.select("rep", "v").mapInArrow(_raw(kind), "id long, v binary").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     if short.limit(1).count():  # queries whose cells held too few: all rows, in blocks
-        full = full.join(short.select("p", "q").distinct(), "p")
+        full = full.join(short.select("p", F.col("q").alias("_q")).distinct(), "p").withColumnRenamed("_q", "q")
         more = short.groupBy("p", "q").cogroup(full.groupBy("p", "q")).applyInArrow(_best(k + 1, kind), "query long, point long, score double")
         found = found.unionByName(more).groupBy("query", "point").agg(F.max("score").alias("score"))
     first = W.partitionBy("query").orderBy(F.desc("score"), "point")
