@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tidemark.plans import house_queries  # noqa: F401  adds its queries
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

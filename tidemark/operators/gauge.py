@@ -18,10 +18,10 @@ AGGREGATES = ("last", "min", "max", "sum", "count")
 class Gauge(Bucketed):
     """``value`` is the observation; ``seq`` orders those of a window for ``last``."""
 
+    value_columns: tuple[str, ...] = AGGREGATES
     aggregates: tuple[str, ...] = field(default=AGGREGATES, kw_only=True)
 
     kind = "gauge"
-    value_columns = AGGREGATES
 
     def __post_init__(self) -> None:
         if not self.aggregates or len(set(self.aggregates)) != len(self.aggregates) or set(self.aggregates) - set(AGGREGATES):
