@@ -252,7 +252,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(near_links(nodes.select("fp"), distance))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    named = salted_join(linked, least, ["root"]).select("fp", "component_id")
     return salted_join(made, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
@@ -350,7 +350,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     linked = nodes.join(roots, "node", "left").select("node", "first", "rows", *_LANES, F.coalesce("root", "node").alias("root"))
     best = linked.groupBy("root").agg(F.min("first").alias("best"), F.sum("rows").alias("all")).where("all > 1")
     # only rows of groups are matched with the texts; far fewer go than stay
-    several = written(linked.join(best, "root").select(*_LANES, "best"))
+    several = written(salted_join(linked, best, ["root"]).select(*_LANES, "best"))
     rows = salted_join(made, several, _LANES).groupBy("doc_id", "th").agg(F.bool_or(F.col("best") == place).alias("stays"), F.count("*").alias("n"))
     rows = written(rows)
     gone = rows.where("not stays")
