@@ -31,7 +31,7 @@ LADDER = ((1, 1.0), (2, 1.0), (2, 1.5), (3, 1.5), (4, 1.5), (4, 2.0), (5, 2.0),
 TARGET, SAMPLE_QUERIES, SAMPLE_POINTS, CELL = 0.95, 64, 8192, 50
 SEED = 11
 #: Points and queries of a cell that one task holds.
-BLOCK = 8192
+BLOCK = 1024
 #: More candidates than asked for are scored again exactly, so that rounding in the bulk product decides nothing.
 SPARE = 4
 
