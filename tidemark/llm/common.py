@@ -144,8 +144,8 @@ def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "in
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of an edge list of longs; root is the smallest node reachable.
 
-    Alternates large-star and small-star rounds (each a map-side aggregated minimum and one join); a hub's edges
-    are dealt over several tasks.  Every round is written to the shared folder.  Self-loops and
+    Alternates large-star and small-star rounds (each a map-side aggregated minimum and one join).  A hub's edges meet
+    its minimum in one join key, which adaptive execution splits where it is large.  Every round is written to the shared folder.  Self-loops and
     null ends are ignored; no edges give no rows.
     """
     now = written(
@@ -157,7 +157,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         before_round, now = now, written(large)
         discard(before_round)
         low = now.groupBy("u").agg(F.min("v").alias("m"))

@@ -119,6 +119,7 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Each task hands on one sum for each language it saw; what the driver gets is one vector for each distinct label.
     Null labels and null texts are left out.
     """
+    reachable(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     shape = "part int, lang string, v binary"
     sums = rows.select(F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("lang")).mapInArrow(_learn(dimensions), shape)

@@ -77,6 +77,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id long, fp long)`` for every row; the fingerprint's 64 bits as a signed long."""
+    reachable(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -224,6 +225,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, most: int = MOST) -> Da
     A key that more than ``most`` fingerprints share is split by the bits that it leaves, of which two blocks of
     ``distance + 2`` agree in a close pair, until all keys are small; so no task compares more than ``most`` with each other.
     """
+    reachable(fps.sparkSession)
     if most < 2 ** (distance + 2):
         raise ValueError("keys of so few fingerprints may have no bits left to split by")
     masks = block_masks(fps.count(), distance)
