@@ -258,8 +258,8 @@ def nearest(
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ["t", "cell", "p", "q"]
-    points = points.join(sizes, ["t", "cell"]).withColumn("p", part("pb")).withColumn("q", every("qb")).select(*key, "id", "v")
-    probing = probing.join(sizes, ["t", "cell"]).withColumn("q", part("qb")).withColumn("p", every("pb")).select(*key, "id", "v", "low")
+    points = salted_join(points, sizes, ["cell", "t"]).withColumn("p", part("pb")).withColumn("q", every("qb")).select(*key, "id", "v")
+    probing = salted_join(probing, sizes, ["cell", "t"]).withColumn("q", part("qb")).withColumn("p", every("pb")).select(*key, "id", "v", "low")
     found = probing.groupBy(*key).cogroup(points.groupBy(*key)).applyInArrow(_best(k + 1, kind), "query long, point long, score double")
     found = found.groupBy("query", "point").agg(F.max("score").alias("score"))
     found = written(found)
