@@ -18,6 +18,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ DEPTH, GRAM, SHALLOW = 100, 32, 16
 BLOCK_BYTES = 4_000_000
 #: Occurrences from which on an anchor's strings go by their own hashes: another way to the same result.
 HOT = 4096
+#: Bytes whose hashes are made at once: few enough for a core's cache.
+SLICE = 1 << 15
+_LETTERS = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -123,53 +127,72 @@ class Block:
         self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
         self.edges = np.r_[0, np.cumsum([len(t) for t in self.texts], dtype=np.int64)]
 
-    def grams(self, *sizes: int) -> dict[int, np.ndarray]:
-        """Hash of so many bytes (1, 2, 4, ... 64) from each position on."""
-        h = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)[self.buf]
-        out = {1: h} if 1 in sizes else {}
-        for i, mix in enumerate(_MIX):
-            size = 1 << i
-            if 2 * size > max(sizes):
-                break
-            h = h[:-size] * mix + h[size:] if len(h) > size else h[:0]
-            if 2 * size in sizes:
-                out[2 * size] = h
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        """Hash of the ``DEPTH`` bytes from each of these sorted places on, all of which have as many after them."""
+        out = np.zeros(len(at), np.uint64)
+        cuts = range(0, len(self.buf), SLICE)
+        ends = np.searchsorted(at, [*cuts, len(self.buf)]).tolist()
+        for begin, i, j in zip(cuts, ends, ends[1:], strict=False):
+            if i == j:
+                continue
+            h = grams(self.buf[begin : begin + SLICE + DEPTH - 1], *[1 << k for k in range(7) if DEPTH >> k & 1])
+            place, own, left = at[i:j] - begin, np.zeros(j - i, np.uint64), DEPTH
+            for size in sorted(h, reverse=True):
+                while left >= size:
+                    own = own * _MIX[5] + h[size][place]
+                    place, left = place + size, left - size
+            out[i:j] = _mixed(own)
         return out
 
-    def strings(self) -> np.ndarray:
-        """Hash of the ``DEPTH`` bytes from each position on."""
-        h = self.grams(*[1 << i for i in range(7) if DEPTH >> i & 1])
-        n = max(0, len(self.buf) - DEPTH + 1)
-        at, out, left = 0, np.zeros(n, np.uint64), DEPTH
-        for size in sorted(h, reverse=True):
-            while left >= size:
-                out = out * _MIX[5] + h[size][at : at + n]
-                at, left = at + size, left - size
-        return _mixed(out)
-
     def anchors(self, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each anchor, and the first and the number of the starts whose string it stands for."""
         n, width = len(self.buf), depth - gram + 1
         none = np.zeros(0, np.int64)
         if n < depth:
             return none.astype(np.uint64), none, none
-        h = _mixed(self.grams(gram)[gram])
-        low = np.uint64(0xFFFFFFFF)  # the same for all blocks, so that equal strings choose equal anchors: leftmost of the least upper halves
-        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        size = 1
-        while 2 * size <= width:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < width:
-            least = np.minimum(least[: size - width], least[width - size :])
         inside = np.zeros(n + 1, np.int32)
         long = np.diff(self.edges) >= depth
         np.add.at(inside, self.edges[:-1][long], 1)
         np.add.at(inside, self.edges[1:][long] - depth + 1, -1)
-        starts = np.flatnonzero(np.cumsum(inside[: len(least)]) > 0)
-        at = (least[starts] & low).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else none
-        return h[at[first]], starts[first], np.diff(np.r_[first, len(at)])
+        low = np.uint64(0xFFFFFFFF)  # the same for all blocks, so that equal strings choose equal anchors: leftmost of the least upper halves
+        hashes, firsts, places = [none.astype(np.uint64)], [none], [none]
+        total, last, depth_now = 0, -1, 0
+        for begin in range(0, n - depth + 1, SLICE):
+            h = _mixed(grams(self.buf[begin : begin + SLICE + depth - 1], gram)[gram])
+            least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+            size = 1
+            while 2 * size <= width:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            if size < width:
+                least = np.minimum(least[: size - width], least[width - size :])
+            own = np.cumsum(inside[begin : begin + len(least)]) + depth_now
+            depth_now = own[-1]
+            starts = np.flatnonzero(own > 0)
+            if not len(starts):
+                continue
+            at = (least[starts] & low).astype(np.int64)
+            first = np.flatnonzero(np.r_[at[0] + begin != last, at[1:] != at[:-1]])
+            hashes.append(h[at[first]])
+            firsts.append(starts[first] + begin)
+            places.append(first + total)
+            total, last = total + len(at), at[-1] + begin
+        places = np.concatenate(places)
+        return np.concatenate(hashes), np.concatenate(firsts), np.diff(np.r_[places, total])
+
+
+def grams(buf: np.ndarray, *sizes: int) -> dict[int, np.ndarray]:
+    """Hash of so many bytes (1, 2, 4, ... 64) from each position on."""
+    h = _LETTERS[buf]
+    out = {1: h} if 1 in sizes else {}
+    for i, mix in enumerate(_MIX):
+        size = 1 << i
+        if 2 * size > max(sizes):
+            break
+        h = h[:-size] * mix + h[size:] if len(h) > size else h[:0]
+        if 2 * size in sizes:
+            out[2 * size] = h
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -183,9 +206,30 @@ def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _table(schema: pa.Schema, columns: list) -> pa.Table:
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _none(schema: pa.Schema) -> pa.Table:
+    return _table(schema, [[] for _ in schema])
+
+
+# Blocks times buckets rows pass between the steps, more of them in a GB the more GB there are: none is handled by itself.
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array | pa.ChunkedArray:
+    """Binary column whose rows hold so many of ``values``, one after the other."""
+    values = np.ascontiguousarray(values)
+    ends = np.r_[0, np.cumsum(sizes)] * values.itemsize
+    if ends[-1] >= 1 << 31:  # more than one array can hold
+        return pa.array([values.data.cast("B")[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column without nulls, and how many each row holds."""
+    dtype = np.dtype(dtype)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype), pc.binary_length(column).to_numpy().astype(np.int64) // dtype.itemsize
 
 
 _SEEN = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
@@ -195,21 +239,20 @@ _SPANS = pa.schema([("block", pa.int32()), ("spans", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _cuts(codes: np.ndarray) -> list[tuple[int, int, int]]:
-    """Bucket and range of each run of sorted codes."""
+def _cuts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and length of each run of codes sorted by bucket."""
     b = codes >> np.uint64(32)
-    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    return list(zip(b[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)], strict=True))
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
+    return b[first].astype(np.int32), np.diff(np.r_[first, len(b)])
 
 
 def _counted(codes: np.ndarray, block: int) -> pa.Table:
     codes, count = np.unique(codes, return_counts=True)
+    buckets, sizes = _cuts(codes)
+    more = count > 1
+    several = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[more], minlength=len(sizes))
     short = codes.astype("<u4")
-    rows = []
-    for b, i, j in _cuts(codes):
-        more = count[i:j] > 1
-        rows.append((b, block, short[i:j][~more].tobytes(), short[i:j][more].tobytes(), count[i:j][more].astype("<i8").tobytes()))
-    return _table(_SEEN, rows)
+    return _table(_SEEN, [buckets, np.full(len(buckets), block, np.int32), _packed(short[~more], sizes - several), _packed(short[more], several), _packed(count[more].astype("<i8"), several)])
 
 
 def _see(buckets: int):
@@ -221,29 +264,34 @@ def _see(buckets: int):
 
 def _repeat(whole: bool, hot: int | None):
     def of(seen: pa.Table) -> pa.Table:
-        once = [np.frombuffer(x, "<u4") for x in seen["once"].to_pylist()]
-        more = [np.frombuffer(x, "<u4") for x in seen["more"].to_pylist()]
-        counts = [np.frombuffer(x, "<i8") for x in seen["counts"].to_pylist()]
-        known, place = np.unique(np.concatenate([*once, *more]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([np.ones(sum(map(len, once))), *counts]), minlength=len(known))
-        often = known[total > hot] if hot is not None else known[:0]
-        known = known[total > 1]
-        rows = []
-        for block, a, b in zip(seen["block"].to_pylist(), once, more, strict=True):
-            own = np.concatenate([a, b])
-            own = own[np.isin(own, known, kind="sort")]
-            much = np.isin(own, often, kind="sort")
-            if len(own):
-                rows.append((block, seen["bucket"][0].as_py(), whole, own[~much].tobytes(), own[much].tobytes()))
-        return _table(_REPEATED, rows)
+        once, n_once = _unpacked(seen["once"], "<u4")
+        more, n_more = _unpacked(seen["more"], "<u4")
+        codes = np.concatenate([once, more])
+        known, place = np.unique(codes, return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([np.ones(len(once)), _unpacked(seen["counts"], "<i8")[0]]), minlength=len(known))[place]
+        n = seen.num_rows
+        row = np.concatenate([np.repeat(np.arange(n), n_once), np.repeat(np.arange(n), n_more)])
+        much = total > (np.inf if hot is None else hot)
+
+        def of_rows(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            which = np.flatnonzero(which)
+            return codes[which[np.argsort(row[which], kind="stable")]], np.bincount(row[which], minlength=n)
+
+        few, n_few = of_rows((total > 1) & ~much)
+        often, n_often = of_rows((total > 1) & much)
+        any_ = n_few + n_often > 0
+        left = int(any_.sum())
+        block, bucket = (seen[c].to_numpy()[any_] for c in ("block", "bucket"))
+        return _table(_REPEATED, [block, bucket, np.full(left, whole), _packed(few, n_few[any_]), _packed(often, n_often[any_])])
 
     return of
 
 
 def _full(rows: pa.Table, column: str, whole: bool) -> np.ndarray:
     """Codes with their buckets, of anchors or of whole strings."""
-    own = [x for x in rows.to_pylist() if x["whole"] == whole]
-    return np.concatenate([np.zeros(0, np.uint64), *[np.uint64(x["bucket"]) << np.uint64(32) | np.frombuffer(x[column], "<u4").astype(np.uint64) for x in own]])
+    own = rows.filter(pc.equal(rows["whole"], whole))
+    codes, sizes = _unpacked(own[column], "<u4")
+    return np.repeat(own["bucket"].to_numpy().astype(np.uint64), sizes) << np.uint64(32) | codes.astype(np.uint64)
 
 
 def _starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -254,11 +302,11 @@ def _see_strings(buckets: int):
     def of(docs: pa.Table, repeated: pa.Table) -> pa.Table:
         hot = _full(repeated, "hot", False)
         if not docs.num_rows or not len(hot):
-            return _table(_SEEN, [])
+            return _none(_SEEN)
         block = Block(docs)
         h, first, count = block.anchors()
         own = np.isin(_codes(h, buckets), hot)
-        return _counted(_codes(block.strings()[_starts(first[own], count[own])], buckets), docs["block"][0].as_py())
+        return _counted(_codes(block.strings(_starts(first[own], count[own])), buckets), docs["block"][0].as_py())
 
     return of
 
@@ -266,7 +314,7 @@ def _see_strings(buckets: int):
 def _send(buckets: int):
     def of(docs: pa.Table, repeated: pa.Table) -> pa.Table:
         if not docs.num_rows or not repeated.num_rows:
-            return _table(_SENT, [])
+            return _none(_SENT)
         block = Block(docs)
         name = docs["block"][0].as_py()
         h, first, count = block.anchors()
@@ -275,7 +323,7 @@ def _send(buckets: int):
         own = np.isin(codes, _full(repeated, "codes", False))
         if hot.any():
             at = _starts(first[hot], count[hot])
-            by = _codes(block.strings()[at], buckets)
+            by = _codes(block.strings(at), buckets)
             again = np.isin(by, _full(repeated, "codes", True))
             codes, first, count = np.r_[codes[own], by[again]], np.r_[first[own], at[again]], np.r_[count[own], np.ones(int(again.sum()), np.int64)]
             order = np.argsort(first, kind="stable")
@@ -298,14 +346,15 @@ def _send(buckets: int):
         sent = sent[np.argsort(codes[sent] >> np.uint64(32), kind="stable")]
         ids = np.array(block.ids, np.int64)[doc]
         inside = first - block.edges[doc]
-        rows = []
-        for b, i, j in _cuts(codes[sent]):
-            s = sent[i:j]
-            context = b"".join([flat[a : a + c + DEPTH - 1] for a, c in zip(first[s].tolist(), count[s].tolist(), strict=True)])
-            rows.append((b, name, ids[s].tobytes(), np.column_stack([inside[s], first[s], count[s]]).tobytes(), context))
+        own, sizes = _cuts(codes[sent])
+        length = count[sent] + DEPTH - 1
+        context = np.frombuffer(b"".join([flat[a : a + c] for a, c in zip(first[sent].tolist(), length.tolist(), strict=True)]), np.uint8)
+        ends = np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(sizes)]]
+        places = np.column_stack([inside[sent], first[sent], count[sent]]).astype("<i8")
+        out = _table(_SENT, [own, np.full(len(own), name, np.int32), _packed(ids[sent], sizes), _packed(places.ravel(), 3 * sizes), _packed(context, np.diff(ends))])
         if local:  # what an earlier place of this block holds whole needs no sorting; it only passes through
-            rows.append((name % buckets, name, None, np.column_stack([first[local], count[local]]).tobytes(), None))
-        return _table(_SENT, rows)
+            out = pa.concat_tables([out, _table(_SENT, [[name % buckets], [name], [None], [np.column_stack([first[local], count[local]]).tobytes()], [None]])])
+        return out
 
     return of
 
@@ -317,14 +366,14 @@ def _spans(positions: np.ndarray) -> np.ndarray:
 
 
 def _sort(sent: pa.Table) -> pa.Table:
-    rows = [(b, s) for b, s, i in zip(sent["block"].to_pylist(), sent["places"].to_pylist(), sent["ids"].to_pylist(), strict=True) if i is None]
-    own = [x for x in sent.to_pylist() if x["ids"] is not None]
-    if own:
-        places = [np.frombuffer(x["places"], "<i8").reshape(-1, 3) for x in own]
-        ids = np.concatenate([np.frombuffer(x["ids"], "<i8") for x in own])
-        block = np.repeat(np.arange(len(own)), [len(p) for p in places])
-        inside, first, count = np.concatenate(places).T
-        buf = np.frombuffer(b"".join(x["context"] for x in own) + bytes(DEPTH + 8), np.uint8)
+    through = pc.is_null(sent["ids"])
+    local, own = sent.filter(through), sent.filter(pc.invert(through))
+    out = pa.Table.from_arrays([local["block"].cast(pa.int32()), local["places"].cast(pa.binary())], schema=_SPANS)
+    if own.num_rows:
+        ids, sizes = _unpacked(own["ids"], "<i8")
+        block = np.repeat(own["block"].to_numpy().astype(np.int64), sizes)
+        inside, first, count = _unpacked(own["places"], "<i8")[0].reshape(-1, 3).T
+        buf = np.frombuffer(b"".join([*own["context"].to_pylist(), bytes(DEPTH + 8)]), np.uint8)
         begin = np.r_[0, np.cumsum(count + DEPTH - 1)[:-1]]
         which = np.repeat(np.arange(len(ids)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -340,24 +389,24 @@ def _sort(sent: pa.Table) -> pa.Table:
             earliest = np.minimum.reduceat(place, head)
             later = place != np.repeat(earliest, np.diff(np.r_[head, len(group)]))
             w, s = w[later], s[later]
-            packed = np.sort(block[w].astype(np.int64) << 40 | first[w] + s)
-            of, at = packed >> 40, packed & (1 << 40) - 1
-            cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)]), len(of)].tolist()
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                mine = at[i:j]  # sorted; strings at one place come once
-                rows.append((own[of[i]]["block"], _spans(mine[np.r_[True, mine[1:] != mine[:-1]]]).tobytes()))
-    return _table(_SPANS, rows)
+            packed = np.sort(block[w] << 40 | first[w] + s)
+            if len(packed):
+                packed = packed[np.r_[True, packed[1:] != packed[:-1]]]  # strings at one place come once
+                spans = _spans(packed)  # none goes over into the next block, whose first place is 2**40 further on
+                blocks, sizes = np.unique(spans[:, 0] >> 40, return_counts=True)
+                spans[:, 0] &= (1 << 40) - 1
+                out = pa.concat_tables([out, _table(_SPANS, [blocks.astype(np.int32), _packed(spans.astype("<i8").ravel(), 2 * sizes)])])
+    return out
 
 
 def _finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
     if not docs.num_rows:
-        return _table(_OUT, [])
+        return _none(_OUT)
     block = Block(docs)
     change = np.zeros(len(block.buf) + 1, np.int32)
-    for raw in spans["spans"].to_pylist():
-        first, count = np.frombuffer(raw, "<i8").reshape(-1, 2).T
-        np.add.at(change, first, 1)
-        np.add.at(change, first + count + DEPTH - 1, -1)
+    first, count = _unpacked(spans["spans"], "<i8")[0].reshape(-1, 2).T
+    np.add.at(change, first, 1)
+    np.add.at(change, first + count + DEPTH - 1, -1)
     gone = np.cumsum(change[:-1]) > 0
     found = []
     for i, text in enumerate(block.texts):
@@ -366,7 +415,7 @@ def _finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
         runs = int((own[1:] & ~own[:-1]).sum() + own[0]) if len(own) else 0
         kept = block.buf[block.edges[i] : block.edges[i + 1]][~own].tobytes() if n else text
         found.append((len(text), n, runs, sha256(kept).hexdigest()))
-    return _table(_OUT, [(i, *found[r]) for i, r in zip(docs["doc_id"].to_pylist(), block.row, strict=True)])
+    return _table(_OUT, [docs["doc_id"].combine_chunks(), *[[found[r][k] for r in block.row] for k in range(4)]])
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
