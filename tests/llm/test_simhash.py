@@ -8,7 +8,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.queries import op9_simhash
-from tidemark.llm.simhash import _by_key, block_masks, fingerprint, keep_one, near_links, simhash_groups
+from tidemark.llm.simhash import LANES, _by_key, _majority, bits_apart, block_masks, cell_components, fingerprint, keep_one, near_blocks, near_links, shingle_hashes, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -167,3 +167,69 @@ def test_edge_rows(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in keep_one(odd).collect()) == [("1", "None"), ("4", "one"), ("4", "two words")]
     assert keep_one(odd.limit(0)).count() == 0
     assert simhash_groups(docs.limit(0)).count() == 0
+
+
+def wide_components(fps, most, also=lambda i, j: True):
+    own = np.arange(len(fps))
+    for i in range(len(fps)):
+        apart = np.bitwise_count(fps[i] ^ fps).astype(int).sum(1)
+        for j in np.flatnonzero((apart <= most) & also(i, slice(None))):
+            own[own == max(own[i], own[j])] = min(own[i], own[j])
+    return own.tolist()
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.95, 1.0])
+def test_no_link_of_wide_fingerprints_is_without_a_block(similarity):
+    rng = random.Random(4)
+    most, blocks = int(bits_apart(similarity)), near_blocks(similarity)
+    assert sorted(b for (lo, hi), _ in blocks for b in range(lo, hi)) == list(range(64 * LANES))
+    for _ in range(300):
+        differ = set(rng.sample(range(64 * LANES), most))
+        assert any(not differ & set(range(*own)) and len([b for r in beside for b in range(*r) if b in differ]) <= 2 for own, beside in blocks)
+
+
+def test_cells_by_pairs_and_by_bits_join_the_same():
+    """Pairs at the limit, a large group of copies and rows of their own, by either way and against all pairs."""
+    rng = np.random.default_rng(9)
+    flips = lambda n: np.packbits(np.isin(np.arange(256), rng.choice(256, n, replace=False)), bitorder="little").view("<u8")
+    fps = [rng.integers(0, 1 << 63, 4, dtype=np.uint64) for _ in range(150)]
+    fps += [fps[i] ^ flips(36 + i % 5) for i in range(100)]
+    base = fps[0]
+    fps += [base ^ flips(int(rng.integers(0, 24))) for _ in range(300)] + [base ^ flips(int(rng.integers(30, 60))) for _ in range(100)]
+    fps = np.array(fps)[rng.permutation(len(fps))]
+    rest = (fps[:, 0] & np.uint64(0x1FFF)).astype(np.int64)
+    lanes = [fps[:, k].view("<i8") for k in range(4)]
+    near = lambda i, j: np.bitwise_count(rest[i] ^ rest[j]) <= 2
+    groups = []
+    for few in (10_000, 0):
+        got = cell_components(rest, lanes, 38, few)
+        assert (got[got] == got).all()
+        groups.append([int(np.flatnonzero(got == g)[0]) for g in got])
+    want, whole = wide_components(fps, 38, near), wide_components(fps, 38)
+    for got in groups:  # all links within two bits of rest, and nothing that is no link
+        assert all(got[i] == got[w] for i, w in enumerate(want)) and all(whole[i] == whole[g] for i, g in enumerate(got))
+
+
+def test_no_near_copy_is_left_out(spark):
+    """Texts whose fingerprints differ by about the limit: each link counts, however the work is divided."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(2000)]
+    rows = []
+    for i in range(250):
+        text = rng.choices(vocabulary, k=120)
+        rows.append((i, " ".join(text)))
+        for k in rng.sample(range(120), rng.randint(1, 3)):
+            text[k] = rng.choice(vocabulary)
+        rows.append((1000 + i, " ".join(text)))
+    base = rng.choices(vocabulary, k=120)
+    for i in range(80):  # a chain
+        base[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((2000 + i, " ".join(base)))
+    rows.sort()
+    fps = np.array([_majority(shingle_hashes(t.encode(), 5), LANES) for _, t in rows])
+    want = {i for (i, _), own in zip(rows, wide_components(fps, bits_apart(0.8)), strict=True) if rows[own][0] == i}
+    limit = [int(np.bitwise_count(fps[k] ^ fps[k + 250]).sum()) for k in range(250)]
+    assert sum(32 <= x <= 38 for x in limit) >= 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few, dealt in ((3000, None), (0, 5)):
+        assert {r.doc_id for r in keep_one(docs, few=few, dealt=dealt).collect()} == want

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
-from math import acos, ceil, comb, log, pi
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,11 @@ from tidemark.llm.common import at_work, connected_components, reachable, salted
 SEED = 42
 WORDS = 3
 DISTANCE = 3
-#: Near copies (:func:`keep_one`): words of a shingle, least similarity, words of 64 bits of a fingerprint, least probability
-#: that a pair of the least similarity meets, rows of a key that are compared at once.
-WORDS_NEAR, SIMILARITY, LANES, RECALL, MOST_NEAR = 5, 0.8, 4, 0.9, 65_536
+#: Near copies (:func:`keep_one`): words of a shingle, least similarity, words of 64 bits of a fingerprint.
+WORDS_NEAR, SIMILARITY, LANES = 5, 0.8, 4
+#: Blocks that a part has, fewest blocks in all; rows of a cell up to which all pairs are looked at, fewest and most rows from which
+#: on a cell is dealt over tasks, pairs that are compared at once.
+BLOCKS, LEAST_BLOCKS, FEW, DEALT, MOST_DEALT, PAIRS = 3, 39, 1500, 16_384, 1 << 20, 1 << 20
 _LANES = [f"f{i}" for i in range(LANES)]
 _MIX = (0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Candidates per fingerprint and key that unrelated fingerprints may give; more blocks are used beyond it, up to about 200 keys.
@@ -266,17 +268,18 @@ def bits_apart(similarity: float, bits: int = 64 * LANES) -> float:
     return bits * acos(2 * similarity / (1 + similarity)) / pi
 
 
-def lookups(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
-    """Bits of each table's key, for ``n`` fingerprints.
+def near_blocks(similarity: float) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Ranges of bits, and for each those of the same part beside it: all links agree on a range and next to it but for two bits.
 
-    Keys are wide enough that few unrelated fingerprints share one, and there are as many tables as make a pair of just
-    this similarity share a key with probability ``recall``; closer pairs share more.
+    A link differs in fewer bits than there are blocks.  So some part of three blocks differs in no more than two bits
+    (were it three or more in each, they would be as many as the blocks), and one of its blocks in none.
     """
-    width = max(8, n.bit_length() + 1)
-    agree = (1 - bits_apart(similarity, 1)) ** width
-    tables = ceil(log(1 - recall) / log(1 - agree))
-    rng = np.random.default_rng(SEED)
-    return [np.sort(rng.choice(64 * LANES, width, replace=False)) for _ in range(tables)]
+    blocks = max(LEAST_BLOCKS, int(bits_apart(similarity)) + 1)
+    if blocks > 64 * LANES:
+        raise ValueError("so low a similarity tells no texts apart")
+    edges = [(64 * LANES * i // blocks, 64 * LANES * (i + 1) // blocks) for i in range(blocks)]
+    parts = [edges[i : i + BLOCKS] for i in range(0, blocks, BLOCKS)]
+    return [(own, [b for b in part if b != own]) for part in parts for own in part]
 
 
 def _wide(words: int):
@@ -289,46 +292,220 @@ def _wide(words: int):
     return over
 
 
-def _addressed(tables: list[np.ndarray]):
+def _values(bits: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    out = np.zeros(len(bits), np.int64)
+    for lo, hi in ranges:
+        for c in range(lo, hi):
+            out = out << 1 | bits[:, c]
+    return out
+
+
+def _bits(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for at in range(0, batch.num_rows, 8192):
+        part = batch.slice(at, 8192)
+        lanes = np.column_stack([part.column(x).to_numpy() for x in _LANES]).astype("<i8")
+        yield part, np.asfortranarray(np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little"))
+
+
+def _cell_sizes(blocks: list):
+    """Rows with all lanes to ``(cell, n)``: the block's number in the upper bits, its value in the lower 32."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
-                lanes = np.column_stack([c.to_numpy() for c in part.columns[1:]]).astype("<i8")
-                bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
-                for t, columns in enumerate(tables):
-                    key = np.zeros(len(bits), np.int64)
-                    for c in columns.tolist():
-                        key = key << 1 | bits[:, c]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), t, np.int64)), pa.array(key), part.column(1), part.column(0)], names=["t", "key", "f0", "node"])
+            for _, bits in _bits(batch):
+                for k, (own, _) in enumerate(blocks):
+                    value, n = np.unique(_values(bits, [own]), return_counts=True)
+                    for c, x in zip((value + (k << 32)).tolist(), n.tolist(), strict=True):
+                        found[c] = found.get(c, 0) + x
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["cell", "n"])
 
     return over
 
 
-def _near(distance: int, most: int):
-    """Rows ``(t, key, f0, node)`` to candidate links between nodes whose first 64 bits are near."""
+def _addressed(blocks: list, dealt: dict[int, int]):
+    """A row for each block, with the cell that those meet in who agree on it, and the part's other bits.
 
-    def whole(rows: np.ndarray):
-        i, j = _run_links(rows[:, :2], np.ascontiguousarray(rows[:, 2]).view("<u8"), distance)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[i, 3]), pa.array(rows[j, 3])], names=["a", "b"])
+    The rows of a cell in ``dealt`` go by hash to so many shares; each two shares meet in a task of their own.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, bits in _bits(batch):
+                node = part.column("node").to_numpy()
+                share = ((node.astype(np.uint64) * np.uint64(_MIX[1])) >> np.uint64(33)).astype(np.int64)
+                for k, (own, beside) in enumerate(blocks):
+                    value, rest = _values(bits, [own]), _values(bits, beside)
+                    cell, times = value + (k << 32), np.ones(len(value), np.int64)
+                    for c in set(np.unique(cell).tolist()) & dealt.keys():
+                        times[cell == c] = dealt[c]
+                    at = np.repeat(np.arange(len(value)), times)
+                    n = times[at]
+                    me, other = share[at] % n, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    pair = np.minimum(me, other) * n + np.maximum(me, other)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[at]), pa.array(pair), pa.array(rest[at]), *[part.column(x).take(pa.array(at)) for x in _LANES], pa.array(node[at])],
+                        names=["cell", "pair", "rest", *_LANES, "node"],
+                    )
+
+    return over
 
-    def large(rows: np.ndarray):
-        for at in range(0, len(rows), most):  # neighbours in the order of bits, then from part to part
-            yield from whole(rows[at : at + most])
-            yield from whole(rows[max(0, at - 1) : at + 1])
+
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least position of each component once ``a`` and ``b`` are joined; ``root`` holds those of before."""
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def cell_components(rest: np.ndarray, lanes: np.ndarray, most: int, few: int = FEW) -> np.ndarray:
+    """Component of each row, as the position of one row of it, over links of ``most`` bits or fewer between rows whose ``rest`` differs in two or fewer.
+
+    Links of rows that differ more in ``rest`` may join components too.
+    """
+    n = len(rest)
+    order = np.argsort(rest, kind="stable")
+    rest = rest[order]
+    f = [np.ascontiguousarray(x[order]).view("<u8") for x in lanes]
+    root = np.arange(n)
+
+    def apart(i, j):
+        return np.bitwise_count(f[0][i] ^ f[0][j]).astype(np.int16) + np.bitwise_count(f[1][i] ^ f[1][j])
+
+    def links(i, j):
+        nonlocal root
+        differ = root[i] != root[j]
+        i, j = i[differ], j[differ]
+        d = apart(i, j)
+        near = d <= most
+        i, j, d = i[near], j[near], d[near]
+        for x in f[2:]:
+            d = d + np.bitwise_count(x[i] ^ x[j])
+        near = d <= most
+        if near.any():
+            root = _merge(root, i[near], j[near])
+
+    # many rows with the same bits are likely copies of one text: a star joins them, and they need not be compared with each other
+    first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
+    size = np.diff(np.r_[first, n])
+    dense = np.flatnonzero(size > max(8, 4 * n >> 13))
+    star = np.zeros(n, np.int64)
+    for c in dense[np.argsort(-size[dense], kind="stable")][:64]:
+        free = np.flatnonzero(star[first[c] : first[c] + size[c]] == 0)
+        if len(free) <= 8:
+            continue
+        at = first[c] + free[0]
+        d = apart(slice(None), at)
+        for x in f[2:]:
+            d += np.bitwise_count(x ^ x[at])
+        near = np.flatnonzero((d <= most) & (star == 0))
+        if len(near) > 8:
+            star[near] = at + 1
+            root = _merge(root, near, np.full(len(near), at))
+    if n <= few:
+        short = rest.astype(np.uint16) if n and rest[-1] < 1 << 16 else rest
+        for a in range(0, n, 512):
+            for b in range(a, n, 4096):
+                near = np.bitwise_count(short[a : a + 512, None] ^ short[None, b : b + 4096]) < BLOCKS
+                if star.any():
+                    near &= (star[a : a + 512, None] != star[None, b : b + 4096]) | (star[a : a + 512, None] == 0)
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                i, j = i + a, j + b
+                later = i < j
+                links(i[later], j[later])
+    else:
+        by = np.lexsort((star, rest))
+        back = order[by]
+        rest, star, f = rest[by], star[by], [x[by] for x in f]
+        root = np.argsort(by)[root[by]]
+        root = _merge(np.arange(n), np.arange(n), root)
+        width = int(rest[-1]).bit_length()
+        begin = np.searchsorted(rest, np.arange((1 << width) + 1))
+        key = rest * (n + 1) + star if star.any() else None
+        for flips in range(BLOCKS):
+            for chosen in combinations(range(width), flips):
+                flip = sum(1 << c for c in chosen)
+                other = rest ^ flip
+                i = np.flatnonzero(rest <= other)
+                lo, hi = begin[other[i]], begin[other[i] + 1]
+                if not flip:
+                    lo = i + 1
+                pieces = [(lo, hi)]
+                if key is not None:
+                    same = other[i] * (n + 1) + star[i]
+                    skip = star[i] > 0
+                    a = np.clip(np.where(skip, np.searchsorted(key, same), hi), lo, hi)
+                    b = np.clip(np.where(skip, np.searchsorted(key, same, side="right"), hi), lo, hi)
+                    pieces = [(lo, a), (b, hi)]
+                for lo, hi in pieces:
+                    count = hi - lo
+                    own = np.flatnonzero(count > 0)
+                    ends = np.cumsum(count[own])
+                    done = 0  # pairs are made PAIRS at a time; a row has at most as many as the cell has rows
+                    at = 0
+                    while at < len(own):
+                        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+                        c = count[own[at:to]]
+                        x = np.repeat(i[own[at:to]], c)
+                        y = np.repeat(lo[own[at:to]] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
+                        links(x, y)
+                        done, at = int(ends[to - 1]), to
+        order = back
+    out = np.empty(n, np.int64)
+    out[order] = order[root]
+    return out
+
+
+def _near(most: int, few: int):
+    """Rows of cells, sorted by cell and pair of shares, to links ``(a, b)`` that join the nodes of each component."""
+
+    def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1), True]).tolist()
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i > 1:
+                own = rows[i:j]
+                root = cell_components(np.ascontiguousarray(own[:, 2]), own[:, 3 : 3 + LANES].T, most, few)
+                linked = np.flatnonzero(root != np.arange(len(root)))
+                found.append(np.column_stack([own[root[linked], -1], own[linked, -1]]))
+        a, b = np.concatenate(found).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_key(batches, whole, large, most)
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if not len(rows):
+                continue
+            new = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
+            cut = int(new[-1]) + 1 if len(new) else 0  # the last cell may go on in the next batch
+            if held and (cut or (held[-1][-1, :2] != rows[0, :2]).any()):
+                yield from flush(np.concatenate([*held, rows[:cut]]))
+                held = []
+            elif cut:
+                yield from flush(rows[:cut])
+            held.append(rows[cut:])
+        if held:
+            yield from flush(np.concatenate(held))
 
     return over
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_NEAR, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS_NEAR, similarity: float = SIMILARITY, few: int = FEW, dealt: int | None = None
+) -> DataFrame:
     """``docs`` without near copies: of texts linked by a similarity of ``similarity`` or more, one stays, once.
 
     Similarity is that of the sets of ``words``-word shingles, as told by fingerprints of ``64 * LANES`` bits: two are linked
-    if they differ in no more bits than two texts of just this similarity do on average.  Fingerprints that could be linked
-    share a key of some table with probability ``RECALL`` or more; texts with equal fingerprints always are one.  Of a group the
+    if they differ in no more bits than two texts of just this similarity do on average.  No link is missed: its two
+    fingerprints agree on one of the blocks of :func:`near_blocks`, whose rows are compared in one task, or in several where they
+    are many.  ``few`` and ``dealt`` divide the work and change no result.  Of a group the
     row of the smallest id stays (then by a hash of the text; rows without an id last); rows that share an id alone are
     different rows, those that repeat id and text are one.  Null and blank texts are copies of each other, a text of
     fewer words is one shingle.  Other columns stay as they are, whatever their names; an empty table stays empty.
@@ -339,16 +516,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     nodes = made.groupBy(*_LANES).agg(F.min(place).alias("first"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes)
-    tables = lookups(nodes.count(), similarity)
-    rows = nodes.select("node", *_LANES).mapInArrow(_addressed(tables), "t long, key long, f0 long, node long")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "f0")
-    # a pair of the least similarity differs in no more of the first 64 bits than three standard deviations above the mean
-    share = bits_apart(similarity, 1)
-    links = rows.mapInArrow(_near(int(64 * share + 3 * (64 * share * (1 - share)) ** 0.5), MOST_NEAR), "a long, b long").distinct()
-    for end in "ab":
-        links = links.join(nodes.select(F.col("node").alias(end), *[F.col(x).alias(f"{end}{x}") for x in _LANES]), end)
-    apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _LANES), F.lit(0))
-    roots = connected_components(links.where(apart <= bits_apart(similarity)).select("a", "b"))
+    blocks = near_blocks(similarity)
+    if dealt is None:  # four times what a cell of even rows would hold
+        dealt = min(MOST_DEALT, max(DEALT, 4 * nodes.count() * len(blocks) // sum(1 << hi - lo for (lo, hi), _ in blocks)))
+    sizes = nodes.select(*_LANES).mapInArrow(_cell_sizes(blocks), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    large = {r.cell: -(-r.n // dealt) for r in sizes.where(F.col("n") > dealt).collect()}
+    rows = nodes.select("node", *_LANES).mapInArrow(_addressed(blocks, large), ", ".join(f"{x} long" for x in ("cell", "pair", "rest", *_LANES, "node")))
+    rows = rows.repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+    roots = connected_components(rows.mapInArrow(_near(int(bits_apart(similarity)), few), "a long, b long"))
     linked = nodes.join(roots, "node", "left").select("node", "first", "rows", *_LANES, F.coalesce("root", "node").alias("root"))
     best = linked.groupBy("root").agg(F.min("first").alias("best"), F.sum("rows").alias("all")).where("all > 1")
     # only rows of groups are matched with the texts; far fewer go than stay
